@@ -9,7 +9,8 @@ from urlrisk.functions.urls import is_valid_url, with_reject_reason
 from urlrisk.operators.dedupe import keep_first, later_copies
 
 _REJECT_COLUMNS = ["source", "src_priority", "row_ord", "url", "reason"]
-_GOOD = F.col("valid") & F.col("label").isNotNull()
+# The rows to keep, over the columns of an audited table.
+_GOOD = "valid AND label IS NOT NULL"
 
 
 def audit(rows: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def accepted(audited: DataFrame) -> DataFrame:
 
 def bad_rows(audited: DataFrame) -> DataFrame:
     """Rows without a valid URL or a usable label, with the reason."""
-    reasoned = with_reject_reason(audited.filter(~_GOOD))
+    reasoned = with_reject_reason(audited.filter(f"NOT ({_GOOD})"))
     return reasoned.withColumn("reason", F.coalesce("reason", F.lit("bad_label")))
 
 
@@ -38,7 +39,7 @@ def stage_counts(audited: DataFrame) -> DataFrame:
     return audited.groupBy("source").agg(
         F.count(F.lit(1)).alias("rows_read"),
         F.count_if("valid").alias("rows_valid_url"),
-        F.count_if(_GOOD).alias("rows_accepted"),
+        F.count_if(F.expr(_GOOD)).alias("rows_accepted"),
     )
 
 
