@@ -27,12 +27,17 @@ def audited(spark, sf_dir):
     return sources(spark, sf_dir).audited()
 
 
+def audited_table(spark, sf_dir):
+    """For the queries that pass over the rows more than once."""
+    return prepare.audited_table(sources(spark, sf_dir))
+
+
 def good(spark, sf_dir):
     return quality.accepted(audited(spark, sf_dir))
 
 
 def clean(spark, sf_dir):
-    return prepare.clean_urls(audited(spark, sf_dir)).select("url", "label")
+    return prepare.clean_table(audited(spark, sf_dir))
 
 
 @query(oracle(sql.SOURCE_VIEWS, "SELECT url, label FROM clean", sql.CLEAN))
@@ -156,7 +161,7 @@ def url_parts(spark, sf_dir):
 
 @query(oracle(sql.SOURCE_VIEWS, "SELECT * FROM rejected", sql.REJECTS))
 def rejects(spark, sf_dir):
-    return quality.rejects(audited(spark, sf_dir))
+    return quality.rejects(audited_table(spark, sf_dir))
 
 
 @query(
@@ -192,7 +197,7 @@ def stage_counts(spark, sf_dir):
     )
 )
 def drop_report(spark, sf_dir):
-    return quality.drop_report(audited(spark, sf_dir))
+    return quality.drop_report(audited_table(spark, sf_dir))
 
 
 @query(oracle(sql.SOURCE_VIEWS, "SELECT source, row_ord, url, label FROM clean", sql.CLEAN))
@@ -208,7 +213,8 @@ def dedupe_first(spark, sf_dir):
     )
 )
 def duplicate_members(spark, sf_dir):
-    return dedupe.duplicate_members(good(spark, sf_dir)).select("source", "row_ord", "url", "label")
+    rows = quality.accepted(audited_table(spark, sf_dir))
+    return dedupe.duplicate_members(rows).select("source", "row_ord", "url", "label")
 
 
 @query(
@@ -293,7 +299,7 @@ _MERGE = {
 
 
 def _merge_inputs(spark, sf_dir):
-    rows = good(spark, sf_dir)
+    rows = quality.accepted(audited_table(spark, sf_dir))
     existing = dedupe.keep_first(rows.filter("source = 'structured'"))
     return existing, rows.filter("source = 'flat'"), ("row_ord",)
 

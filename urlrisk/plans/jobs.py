@@ -18,7 +18,7 @@ from urlrisk.operators.metrics import decode_scores, score_errors
 from urlrisk.operators.normalize import rename_precomputed, reconstruct_url
 from urlrisk.operators.sample import balanced_sample
 from urlrisk.plans import expand, model as forest, prepare, scoring
-from urlrisk.session import build_session, materialize
+from urlrisk.session import build_session
 from urlrisk.sources import readers, sinks
 from urlrisk.streaming import serve
 
@@ -32,9 +32,9 @@ def run_prepare(spark: SparkSession, args) -> None:
         flat=readers.read_optional(spark, args.flat, readers.text_schema("URL", "LABEL")),
         ranked=readers.read_optional(spark, args.ranked, readers.text_schema("domain"), header=not args.no_header),
     )
-    audited = materialize(sources.audited(), "audited")
-    clean = materialize(prepare.clean_urls(audited).select("url", "label"), "clean")
-    sinks.write_version(balanced_sample(clean, args.cap, args.seed), args.out)
+    audited = prepare.audited_table(sources)
+    sample = balanced_sample(prepare.clean_table(audited), args.cap, args.seed)
+    sinks.write_version(sample, args.out)
     if args.rejects:
         stamped = quality.rejects(audited).withColumn("rejected_at", F.current_timestamp())
         stamped.write.mode("append").parquet(args.rejects)

@@ -16,6 +16,7 @@ from urlrisk.operators.normalize import (
 from urlrisk.operators.quality import accepted, audit
 from urlrisk.operators.sample import balanced_sample
 from urlrisk.schema import CLASS_CAP, SEED
+from urlrisk.session import materialize
 
 
 @dataclass(frozen=True)
@@ -35,10 +36,21 @@ class Sources:
         )
 
 
+def audited_table(sources: Sources) -> DataFrame:
+    """The audited rows, written once for jobs that pass over them repeatedly."""
+    return materialize(sources.audited(), "audited")
+
+
 def clean_urls(audited: DataFrame) -> DataFrame:
     """Accepted rows, one per URL."""
     return keep_first(accepted(audited))
 
 
+def clean_table(audited: DataFrame) -> DataFrame:
+    """``(url, label)`` after de-duplication, written once: later steps read it
+    several times and must not repeat the shuffle."""
+    return materialize(clean_urls(audited).select("url", "label"), "clean")
+
+
 def prepare(sources: Sources, cap: int = CLASS_CAP, seed: int = SEED) -> DataFrame:
-    return balanced_sample(clean_urls(sources.audited()).select("url", "label"), cap, seed)
+    return balanced_sample(clean_table(sources.audited()), cap, seed)

@@ -30,7 +30,7 @@ def _numbered(spark: SparkSession, folder: str, prefix: str) -> list[int]:
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
-    """Finished versions: those whose first segment is complete."""
+    """Finished versions: those with a complete segment."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     path = hadoop.Path(root)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
