@@ -256,8 +256,8 @@ def register_sql_functions(spark) -> None:
 
     The bodies are SQL expressions, so the optimizer inlines them.
     """
-    junk = "".join(f"\\u{code:04x}" for code in range(1, 0x21))
-    text = f"translate(ltrim('{junk}' FROM u), '\\t\\r\\n', '')"
+    junk = "".join(f"\\u{code:04x}" for code in range(0x21))
+    text = f"translate(trim(LEADING '{junk}' FROM u), '\\t\\r\\n', '')"
     bodies = {
         "url_scheme": ("STRING", f"lower(regexp_extract({text}, r'{SCHEME}', 1))"),
         "url_netloc": ("STRING", f"regexp_extract({text}, r'{NETLOC}', 1)"),
