@@ -43,16 +43,15 @@ def later_copies(df: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
     window over the copies of a URL: no task ever holds all copies of one.
     """
     winners = keep_first(df, order=order).select(*order)
-    return df.join(winners, list(order), "left_anti")
+    return df.join(winners, list(order), "left_anti").select(*df.columns)
 
 
 def duplicate_members(df: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
     """Every row of every URL that occurs more than once."""
     firsts = copies_per_url(df, order)
     repeated = firsts.filter("copies > 1").select(*order)
-    return df.join(firsts.select(*order), list(order), "left_anti").unionByName(
-        df.join(repeated, list(order), "left_semi")
-    )
+    others = df.join(firsts.select(*order), list(order), "left_anti")
+    return others.unionByName(df.join(repeated, list(order), "left_semi")).select(*df.columns)
 
 
 def label_conflicts(df: DataFrame) -> DataFrame:
