@@ -54,8 +54,9 @@ def test_later_copies_and_members(spark, rows):
     copies = Counter(r[3] for r in rows)
     for df in layouts(spark, rows):
         assert {tuple(r) for r in dedupe.later_copies(df).collect()} == set(rows) - winners
-        members = [tuple(r) for r in dedupe.duplicate_members(df).collect()]
-        assert sorted(members) == sorted(r for r in rows if copies[r[3]] > 1)
+        for rows_per_task in (10, 10**6):
+            members = [tuple(r) for r in dedupe.duplicate_members(df, rows_per_task=rows_per_task).collect()]
+            assert sorted(members) == sorted(r for r in rows if copies[r[3]] > 1)
 
 
 def test_label_conflicts(spark, rows):

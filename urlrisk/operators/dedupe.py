@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from urlrisk.operators.skew import ROWS_PER_TASK, hot_keys_of_counts, lookup_join
+
 ROW_ORDER = ("src_priority", "row_ord")
 
 
@@ -28,14 +30,6 @@ def first_per_domain(links: DataFrame, order: Sequence[str] = ("seed_ord", "link
     return keep_first(links, "netloc", order)
 
 
-def copies_per_url(df: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
-    """Per URL: number of copies and the position of the first one."""
-    return df.groupBy("url").agg(
-        F.count(F.lit(1)).alias("copies"),
-        F.min(F.struct(*order)).alias("_first"),
-    ).select("url", "copies", *[F.col(f"_first.{name}").alias(name) for name in order])
-
-
 def later_copies(df: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
     """All rows that keep-first drops.
 
@@ -46,12 +40,18 @@ def later_copies(df: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
     return df.join(winners, list(order), "left_anti").select(*df.columns)
 
 
-def duplicate_members(df: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
-    """Every row of every URL that occurs more than once."""
-    firsts = copies_per_url(df, order)
-    repeated = firsts.filter("copies > 1").select(*order)
-    others = df.join(firsts.select(*order), list(order), "left_anti")
-    return others.unionByName(df.join(repeated, list(order), "left_semi")).select(*df.columns)
+def duplicate_members(
+    df: DataFrame, order: Sequence[str] = ROW_ORDER, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Every row of every URL that occurs more than once.
+
+    The copies are counted map-side first; the rows of a hot URL are then spread
+    over several tasks of the semi join.
+    """
+    counts = df.groupBy("url").agg(F.count(F.lit(1)).alias("copies"))
+    repeated = counts.filter("copies > 1").select("url")
+    hot = hot_keys_of_counts(counts, "url", "copies", rows_per_task)
+    return lookup_join(df, repeated, "url", order, "left_semi", hot=hot).select(*df.columns)
 
 
 def label_conflicts(df: DataFrame) -> DataFrame:

@@ -21,10 +21,20 @@ def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> Dat
     Only an 8-byte hash per distinct key is shuffled, after map-side counting.
     A hash collision merely splits a key that did not need it.
     """
+    counts = df.groupBy(F.xxhash64(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    return _hottest(counts, rows_per_task)
+
+
+def hot_keys_of_counts(
+    counts: DataFrame, key: str, count: str, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """The same from rows per key that are counted already."""
+    return _hottest(counts.select(F.xxhash64(key).alias("_key"), F.col(count).alias("_n")), rows_per_task)
+
+
+def _hottest(counts: DataFrame, rows_per_task: int) -> DataFrame:
     return (
-        df.groupBy(F.xxhash64(key).alias("_key"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > rows_per_task)
+        counts.filter(F.col("_n") > rows_per_task)
         .orderBy(F.desc("_n"), "_key")
         .limit(MAX_HOT_KEYS)
         .select("_key", F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_fan"))

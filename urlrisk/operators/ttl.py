@@ -98,13 +98,19 @@ def _jump(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     span = events.agg(F.min("_at"), F.max("_at")).first()
     longest_chain = (span[1] - span[0]) // ttl + 1
 
+    # ``hops`` leads 2**step fresh requests ahead. A request of the chain is either
+    # within that distance of the first one, hence in ``reached``, or the end of
+    # some hop; all others are dropped, which shortens the table in every round.
     reached = events.groupBy("url").agg(F.min("_at").alias("_at"))
     for step in range(int(longest_chain).bit_length()):
         ahead = reached.join(hops, ["url", "_at"]).select("url", F.col("_next").alias("_at"))
+        ends = hops.select("url", F.col("_next").alias("_at")).distinct()
+        starts = hops.join(ends.unionByName(reached), ["url", "_at"], "left_semi")
+        starts = materialize(starts, f"starts-{step}")
         reached = materialize(reached.unionByName(ahead), f"reached-{step}")
-        further = hops.select("url", F.col("_at").alias("_next"), F.col("_next").alias("_next2"))
+        further = starts.select("url", F.col("_at").alias("_next"), F.col("_next").alias("_next2"))
         hops = materialize(
-            hops.join(further, ["url", "_next"]).select("url", "_at", F.col("_next2").alias("_next")),
+            starts.join(further, ["url", "_next"]).select("url", "_at", F.col("_next2").alias("_next")),
             f"hops-{step}",
         )
     return events.join(reached, ["url", "_at"], "left_semi").select(*requests.columns)
