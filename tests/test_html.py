@@ -81,14 +81,19 @@ def test_null_and_hostile_pages(spark):
         (2, "http://a.com/", "<a " + "x='y' " * 240 + "href=/far>"),
         (3, "http://a.com/", "<a " + '"' * 20001 + "<a href=/x"),
         (4, "http://a.com/", "<a href='http://[bad/'>x</a><a href='/ok'>y</a>"),
-        (5, "http://a.com/", "<a " * 3000),
+        (5, "http://a.com/", "<a " * 300_000),
+        (6, "http://a.com/", "<script>" * 100_000 + "<a href=/in-script>"),
+        (7, "http://a.com/", "<a x='" * 100_000),
+        (8, "http://a.com/", "<meta " * 100_000),
     ]
     df = spark.createDataFrame(pages, "page_id INT, url STRING, html STRING")
     found = {}
     for row in links.distinct_links(df).collect():
         found.setdefault(row.page_id, []).append(row.link)
     assert found.get(1) is None
+    assert html.page_features(df).filter("num_forms > 0").count() == 0
     assert found[2] == ["http://a.com/far"]
+    assert found.get(6) is None
     assert found[4] == ["http://a.com/ok"]
     assert [r.url for r in links.failed_pages(df).collect()] == ["http://a.com/"]
 

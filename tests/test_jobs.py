@@ -12,7 +12,7 @@ def test_all_jobs(spark, tmp_path, capsys):
     sf_dir = "/root/testdata/sf0.01"
     path = {name: str(tmp_path / name) for name in (
         "structured ranked flat processed rejects dns store model lines scores log pages visited statuses found "
-        "requests answers streamlog checkpoint"
+        "requests answers streamlog checkpoint linkrejects"
     ).split()}
 
     def run(job, **options):
@@ -46,7 +46,7 @@ def test_all_jobs(spark, tmp_path, capsys):
     scores = spark.read.parquet(path["scores"])
     assert scores.count() == spark.read.text(path["lines"]).filter("trim(value) <> ''").count()
     assert spark.read.text(path["log"]).count() == scores.filter("error IS NULL").count()
-    run("score", model=path["model"], dns=path["dns"], url="https://example.com")
+    run("score", model=path["model"], dns=path["dns"], url="https://example.com", store=path["store"])
     assert "https://example.com" in capsys.readouterr().out
 
     pages = view(spark, sf_dir, "rich_pages")
@@ -56,9 +56,12 @@ def test_all_jobs(spark, tmp_path, capsys):
         path["statuses"]
     )
     run("expand-links", pages=path["pages"], visited=path["visited"], statuses=path["statuses"],
-        model=path["model"], dns=path["dns"], out=path["found"], cap=5)
+        model=path["model"], dns=path["dns"], out=path["found"], cap=5,
+        rejects=path["linkrejects"])
     found = sinks.read_table(spark, path["found"])
     assert found.count() == 5
+    reasons = {r.reason for r in spark.read.parquet(path["linkrejects"]).select("reason").distinct().collect()}
+    assert reasons == {"repeated_domain", "unreachable", "no_html"}
 
     before = processed.count()
     run("merge", table=path["processed"], found=path["found"], dry_run=True)

@@ -7,6 +7,7 @@ from urlrisk.catalogue.fixtures import STATUS_SQL, oracle, view
 from urlrisk.catalogue.registry import query
 from urlrisk.functions.html import page_features
 from urlrisk.operators import dedupe, links
+from urlrisk.session import materialize
 
 
 def pages(spark, sf_dir):
@@ -92,7 +93,9 @@ _STATUSES = {**sql.FRONTIER, "statuses": STATUS_SQL}
     )
 )
 def reachable_links(spark, sf_dir):
-    return links.reachable(links.distinct_links(pages(spark, sf_dir)), statuses(spark, sf_dir))
+    found = materialize(links.distinct_links(pages(spark, sf_dir)), "links")
+    answers = spark.sql("WITH links AS (SELECT * FROM {links}) " + STATUS_SQL, links=found)
+    return links.reachable_occurrences(found, answers, ["page_id", "link"])
 
 
 @query(
@@ -105,3 +108,21 @@ def reachable_links(spark, sf_dir):
 )
 def crawl_frontier(spark, sf_dir):
     return links.crawl_frontier(pages(spark, sf_dir), visited(spark, sf_dir), statuses(spark, sf_dir))
+
+
+@query(
+    oracle(
+        "visited rich_pages",
+        """SELECT seed_ord, link AS url, 'repeated_domain' AS reason FROM firsts
+          WHERE netloc IN (SELECT netloc FROM visited)
+        UNION ALL SELECT page_id, link, 'repeated_domain' FROM links l
+          WHERE NOT EXISTS (SELECT 1 FROM firsts f WHERE f.seed_ord = l.page_id AND f.link = l.link)
+        UNION ALL SELECT seed_ord, link, 'unreachable' FROM firsts
+          WHERE netloc NOT IN (SELECT netloc FROM visited)
+          AND link NOT IN (SELECT url FROM statuses WHERE status < 400)
+        UNION ALL SELECT page_id, url, 'no_html' FROM rich_pages WHERE html IS NULL""",
+        _STATUSES,
+    )
+)
+def link_rejects(spark, sf_dir):
+    return links.link_rejects(pages(spark, sf_dir), visited(spark, sf_dir), statuses(spark, sf_dir))

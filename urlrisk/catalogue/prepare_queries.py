@@ -9,7 +9,7 @@ from urlrisk.catalogue.fixtures import oracle, view
 from urlrisk.catalogue.registry import query
 from urlrisk.functions import urls
 from urlrisk.functions.urls import is_valid_url, strip, with_reject_reason
-from urlrisk.operators import dedupe, normalize, quality, sample
+from urlrisk.operators import dedupe, lookups, normalize, quality, sample
 from urlrisk.plans import prepare
 from urlrisk.session import new_path
 from urlrisk.sources import readers, sinks
@@ -334,5 +334,4 @@ def merge_report(spark, sf_dir):
 )
 def url_intersect(spark, sf_dir):
     rows = good(spark, sf_dir)
-    in_flat = rows.filter("source = 'flat'").select("url")
-    return rows.filter("source = 'structured'").select("url").intersect(in_flat)
+    return lookups.common_urls(rows.filter("source = 'structured'"), rows.filter("source = 'flat'"))

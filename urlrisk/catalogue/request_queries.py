@@ -8,7 +8,7 @@ from urlrisk.catalogue.fixtures import oracle, view
 from urlrisk.catalogue.registry import query
 from urlrisk.functions.labels import result_name
 from urlrisk.operators import metrics, ttl
-from urlrisk.operators.skew import lookup_join
+from urlrisk.operators.skew import hot_keys, lookup_join
 from urlrisk.schema import REQUESTS_PER_MINUTE, REQUESTS_PER_SECOND
 from urlrisk.sources import sinks
 from urlrisk.streaming import audit
@@ -55,7 +55,11 @@ _LOG = {
 @query(oracle("requests raw_scores", "SELECT * FROM log", _LOG, recursive=True))
 def prediction_log(spark, sf_dir):
     """What the service logs: fresh requests with a score, in full precision."""
-    scored = lookup_join(ttl_first_seen(spark, sf_dir), view(spark, sf_dir, "raw_scores"), "url", ["event_id"])
+    requests = view(spark, sf_dir, "requests")
+    scored = lookup_join(
+        ttl.first_seen(requests), view(spark, sf_dir, "raw_scores"), "url", ["event_id"],
+        hot=hot_keys(requests, "url"),
+    )
     return scored.filter("prediction IS NOT NULL").select(
         "ts", "url", result_name("prediction").alias("result"), "confidence"
     )

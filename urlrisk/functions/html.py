@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 
 from urlrisk.functions.urls import PARAMS, UrlColumns, clean, malformed_host, split_clean, staged
 
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>"
+# An unclosed one hides the rest of the page.
+HIDDEN = (
+    r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script[^>]*>|\z)|<style\b.*?(?:</style[^>]*>|\z)"
+)
 
 # A start tag, any attributes, then href. The repetition is bounded (250 quoted
 # attributes in front of href) because the JVM regex engine recurses per round.
-_ATTRIBUTES = r"""(?:[^>"']*(?:"[^"]*"|'[^']*')){0,250}(?:[^>"']*\s)?"""
+# Outside of quotes a new tag ends the search, so it stays linear on broken pages.
+_ATTRIBUTES = r"""(?:[^<>"']*(?:"[^"]*"|'[^']*')){0,250}(?:[^<>"']*\s)?"""
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s>"'][^\s>]*)"""
 HREF = rf"(?i)<a[\s/]{_ATTRIBUTES}href\s*=\s*{_VALUE}"
 
 FORM = r"(?i)<form\b"
 POPUP = r"window\.open|alert\("
-META_REFRESH = r"""(?i)<meta\b[^>]*http-equiv\s*=\s*["']?refresh"""
+META_REFRESH = r"""(?i)<meta\b[^<>]*http-equiv\s*=\s*["']?refresh"""
 
 REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk.functions.html import hrefs, with_links
 from urlrisk.functions.urls import split_url
 from urlrisk.operators.dedupe import first_per_domain
+from urlrisk.operators.skew import ROWS_PER_TASK, lookup_join
 from urlrisk.schema import LINK_CAP
+from urlrisk.session import materialize
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -30,7 +34,7 @@ def distinct_links(pages: DataFrame) -> DataFrame:
 
 def failed_pages(pages: DataFrame) -> DataFrame:
     """Pages without text: no links, one reject each."""
-    return pages.filter("html IS NULL").select("url", F.lit("no_html").alias("reason"))
+    return pages.filter("html IS NULL").select("page_id", "url", F.lit("no_html").alias("reason"))
 
 
 def with_netloc(links: DataFrame) -> DataFrame:
@@ -49,15 +53,49 @@ def new_domains(pages: DataFrame, visited: DataFrame) -> DataFrame:
     return links.join(visited.select("netloc"), "netloc", "left_anti")
 
 
+def _answered(statuses: DataFrame) -> DataFrame:
+    return statuses.filter("status < 400").select(F.col("url").alias("link"))
+
+
 def reachable(links: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Links that answered with a status below 400; no answer is unreachable."""
-    up = statuses.filter("status < 400").select(F.col("url").alias("link"))
-    return links.join(up, "link", "left_semi")
+    """Unique links that answered with a status below 400; no answer is unreachable."""
+    return links.join(_answered(statuses), "link", "left_semi")
 
 
 def unreachable(links: DataFrame, statuses: DataFrame) -> DataFrame:
-    up = statuses.filter("status < 400").select(F.col("url").alias("link"))
-    return links.join(up, "link", "left_anti")
+    return links.join(_answered(statuses), "link", "left_anti")
+
+
+def reachable_occurrences(
+    links: DataFrame, statuses: DataFrame, row_id: Sequence[str], rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """``reachable`` for a stored link table, where one link may sit on a third of all pages."""
+    return lookup_join(links, _answered(statuses), "link", row_id, "left_semi", rows_per_task)
+
+
+def link_rejects(pages: DataFrame, visited: DataFrame, statuses: DataFrame) -> DataFrame:
+    """What the frontier leaves out: ``(seed_ord, url, reason)``.
+
+    The found links are written once; the later copies of an authority are found
+    by their position, so no task holds all links of one.
+    """
+    links = materialize(with_netloc(distinct_links(pages)), "links")
+    firsts = materialize(first_per_domain(links), "firsts")
+    known = visited.select("netloc")
+    later = links.join(firsts, ["seed_ord", "link"], "left_anti")
+    seen = firsts.join(known, "netloc", "left_semi")
+    down = unreachable(firsts.join(known, "netloc", "left_anti"), statuses)
+
+    def rows(df: DataFrame, reason: str) -> DataFrame:
+        return df.select("seed_ord", F.col("link").alias("url"), F.lit(reason).alias("reason"))
+
+    unread = failed_pages(pages).select(F.col("page_id").alias("seed_ord"), "url", "reason")
+    return (
+        rows(later, "repeated_domain")
+        .unionByName(rows(seen, "repeated_domain"))
+        .unionByName(rows(down, "unreachable"))
+        .unionByName(unread)
+    )
 
 
 def crawl_frontier(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk.functions.urls import LEXICAL, FeatureSet, staged, url_features
+from urlrisk.operators.dedupe import keep_first
 from urlrisk.operators.skew import ROWS_PER_TASK, hot_keys, lookup_join
 from urlrisk.schema import FEATURES, PRECOMPUTED_FEATURES
 
@@ -84,7 +85,17 @@ def cache_lookup(
     )
     hit = F.col("_hit").isNotNull()
     merged = [F.when(hit, F.col(f"_{name}")).otherwise(F.col(name)).alias(name) for name in FEATURES]
-    return joined.select(*row_id, "url", hit.alias("hit"), *merged, "status")
+    return joined.select(*requests.columns, hit.alias("hit"), *merged, "status")
+
+
+def common_urls(left: DataFrame, right: DataFrame) -> DataFrame:
+    """URLs in both tables; each side is made distinct before it is shuffled to the join."""
+    return left.select("url").distinct().join(right.select("url").distinct(), "url", "left_semi")
+
+
+def latest(store: DataFrame) -> DataFrame:
+    """The newest row of each URL in the append-only feature store."""
+    return keep_first(store, "url", [F.desc("version")])
 
 
 def hit_ratio(looked_up: DataFrame) -> DataFrame:

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlrisk import schema
-from urlrisk.operators import dedupe, lookups, quality
+from urlrisk.operators import dedupe, links, lookups, quality
 from urlrisk.operators.metrics import decode_scores, score_errors
 from urlrisk.operators.normalize import rename_precomputed, reconstruct_url
 from urlrisk.operators.sample import balanced_sample
 from urlrisk.plans import expand, model as forest, prepare, scoring
-from urlrisk.session import build_session
+from urlrisk.session import build_session, materialize
 from urlrisk.sources import readers, sinks
 from urlrisk.streaming import serve
 
@@ -74,7 +74,13 @@ def run_score(spark: SparkSession, args) -> None:
         urls = spark.createDataFrame([(args.url,)], "url STRING")
     else:
         urls = readers.read_url_lines(spark, args.input)
-    scored = scoring.score_urls(urls, PipelineModel.load(args.model), _parquet(spark, args.dns))
+    store = _table(spark, args.store) if args.store else None
+    urls = urls.withColumn("line", F.monotonically_increasing_id())
+    if args.input:
+        urls = materialize(urls, "lines")
+    scored = scoring.score_urls(
+        urls, PipelineModel.load(args.model), _parquet(spark, args.dns), ["line"], store
+    )
     if args.out:
         score_errors(scored).write.mode("errorifexists").parquet(args.out)
     else:
@@ -98,15 +104,13 @@ def run_stream_score(spark: SparkSession, args) -> None:
 
 
 def run_expand_links(spark: SparkSession, args) -> None:
-    found = expand.expand(
-        _parquet(spark, args.pages),
-        _parquet(spark, args.visited),
-        _parquet(spark, args.statuses),
-        PipelineModel.load(args.model),
-        _parquet(spark, args.dns),
-        None if args.no_cap else args.cap,
-    )
+    inputs = [_parquet(spark, path) for path in (args.pages, args.visited, args.statuses)]
+    model, dns = PipelineModel.load(args.model), _parquet(spark, args.dns)
+    found = expand.expand(*inputs, model, dns, None if args.no_cap else args.cap)
     sinks.append_segment(found, args.out)
+    if args.rejects:
+        stamped = links.link_rejects(*inputs).withColumn("rejected_at", F.current_timestamp())
+        stamped.write.mode("append").parquet(args.rejects)
 
 
 def run_merge(spark: SparkSession, args) -> None:
@@ -162,6 +166,7 @@ def parser() -> argparse.ArgumentParser:
     source = sub.add_mutually_exclusive_group(required=True)
     source.add_argument("--input", help="text file, one URL per line")
     source.add_argument("--url")
+    sub.add_argument("--store", help="feature store to look in first")
     sub.add_argument("--out")
     sub.add_argument("--log")
 
@@ -173,6 +178,7 @@ def parser() -> argparse.ArgumentParser:
     sub = job("expand-links", run_expand_links, "pages", "visited", "statuses", "model", "dns", "out")
     sub.add_argument("--cap", type=int, default=schema.LINK_CAP)
     sub.add_argument("--no-cap", action="store_true")
+    sub.add_argument("--rejects")
 
     sub = job("merge", run_merge, "table", "found")
     sub.add_argument("--dry-run", action="store_true")

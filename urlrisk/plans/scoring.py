@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlrisk.operators.lookups import extract
+from urlrisk.operators.lookups import cache_lookup, extract, latest
 from urlrisk.operators.metrics import answer_columns
 from urlrisk.operators.skew import ROWS_PER_TASK, hot_keys, lookup_join
 from urlrisk.plans.model import apply_model
@@ -16,10 +16,16 @@ from urlrisk.plans.model import apply_model
 
 def score_urls(
     urls: DataFrame, model: PipelineModel, dns: DataFrame, row_id: Sequence[str] = ("url",),
-    rows_per_task: int = ROWS_PER_TASK,
+    store: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """``prediction`` and ``confidence`` per row; nulls where features failed."""
-    rows = extract(urls, dns, row_id, rows_per_task=rows_per_task)
+    """``prediction`` and ``confidence`` per row; nulls where features failed.
+
+    With a feature ``store`` its rows are used first and the rest is extracted.
+    """
+    if store is None:
+        rows = extract(urls, dns, row_id, rows_per_task=rows_per_task)
+    else:
+        rows = cache_lookup(urls, latest(store), dns, row_id, rows_per_task)
     return apply_model(model, rows).select(*urls.columns, "prediction", "confidence", "status")
 
 

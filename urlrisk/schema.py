@@ -49,11 +49,6 @@ LABELLED = T.StructType(
     ]
 )
 
-FEATURE_ROW = T.StructType(
-    [T.StructField("url", T.StringType())]
-    + [T.StructField(name, T.IntegerType()) for name in FEATURES]
-)
-
 REQUESTS = T.StructType(
     [
         T.StructField("event_id", T.LongType()),

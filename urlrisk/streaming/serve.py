@@ -11,6 +11,7 @@ from urlrisk.functions.urls import strip
 from urlrisk.operators.dedupe import new_rows
 from urlrisk.plans.scoring import prediction_log, score_requests
 from urlrisk.schema import CACHE_TTL_SECONDS, REQUESTS
+from urlrisk.session import materialize
 from urlrisk.sources.sinks import append_segment, read_table
 from urlrisk.streaming.audit import with_event_time
 from urlrisk.streaming.fresh import flag_fresh
@@ -43,7 +44,9 @@ def stream_score(
     flagged = flag_fresh(trimmed, ttl_seconds)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        answered = append_segment(score_requests(batch, model, dns), answers, batch_id)
+        # Written first: scoring reads the rows several times, the state must run once.
+        rows = materialize(batch, "micro-batch")
+        answered = append_segment(score_requests(rows, model, dns), answers, batch_id)
         scored = batch.sparkSession.read.parquet(answered)
         append_segment(prediction_log(scored.filter("fresh")), log, batch_id)
 
