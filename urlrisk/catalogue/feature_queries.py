@@ -201,7 +201,7 @@ def cache_hit_ratio(spark, sf_dir):
         "dns_snapshot",
         """SELECT url, url_length, dns_record, version FROM (
           SELECT url, url_length, dns_record, version FROM store UNION ALL
-          SELECT url, length(url), NULL, 2 FROM base WHERE scheme = 'https') x
+          SELECT url, CAST(length(url) AS INT), NULL, 2 FROM base WHERE scheme = 'https') x
         QUALIFY row_number() OVER (PARTITION BY url ORDER BY version DESC) = 1""",
         _STORE,
     )

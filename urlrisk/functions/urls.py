@@ -244,11 +244,17 @@ class FeatureSet:
 LEXICAL = FeatureSet({name: _LEXICAL[name] for name in LEXICAL_FEATURES})
 
 
-def url_features(df: DataFrame, url: str = "url", features: FeatureSet = LEXICAL) -> DataFrame:
-    """Append the features and ``status`` (``ok`` or ``failed``); narrow projections."""
+def url_features(
+    df: DataFrame, url: str = "url", features: FeatureSet = LEXICAL, keep_host: bool = False
+) -> DataFrame:
+    """Append the features and ``status`` (``ok`` or ``failed``); narrow projections.
+
+    ``keep_host`` adds ``host``, for a lookup that follows.
+    """
     wide, parts = staged(df, url)
     status = F.when(parts.parsable, "ok").otherwise("failed").alias("status")
-    return wide.select(*df.columns, *features.columns(parts), status)
+    host = [parts.host.alias("host")] if keep_host else []
+    return wide.select(*df.columns, *features.columns(parts), status, *host)
 
 
 def register_sql_functions(spark) -> None:

@@ -81,12 +81,13 @@ def merge_new(existing: DataFrame, incoming: DataFrame, order: Sequence[str]) ->
 
 def merge_report(existing: DataFrame, incoming: DataFrame, order: Sequence[str]) -> DataFrame:
     """One row: table size before and after, and the rows a merge adds."""
-    before = existing.agg(F.count(F.lit(1)).alias("rows_before"))
-    added = new_rows(existing, incoming, order).agg(F.count(F.lit(1)).alias("rows_new"))
-    return before.crossJoin(added).select(
-        "rows_before",
-        (F.col("rows_before") + F.col("rows_new")).alias("rows_after"),
-        "rows_new",
+    marked = existing.select(F.lit(False).alias("new")).unionByName(
+        new_rows(existing, incoming, order).select(F.lit(True).alias("new"))
+    )
+    return marked.agg(
+        F.count_if(~F.col("new")).alias("rows_before"),
+        F.count(F.lit(1)).alias("rows_after"),
+        F.count_if("new").alias("rows_new"),
     )
 
 

@@ -35,11 +35,14 @@ def with_dns(
 
     Popular hosts hold many URLs, hence the split of hot keys.
     """
-    snapshot = dns.select("host", F.col("resolved").cast("int").alias("dns_record"))
-    joined = lookup_join(with_host(df), snapshot, "host", row_id, "left", rows_per_task)
+    joined = lookup_join(with_host(df), _dns_table(dns), "host", row_id, "left", rows_per_task)
     return joined.withColumn("dns_record", F.coalesce("dns_record", F.lit(0))).drop("host")
 
 
+def _dns_table(dns: DataFrame) -> DataFrame:
+    return dns.select("host", F.col("resolved").cast("int").alias("dns_record"))
+
+
 def with_domain_age(
     df: DataFrame, registrations: DataFrame, as_of, row_id: Sequence[str],
     rows_per_task: int = ROWS_PER_TASK,
@@ -56,8 +59,11 @@ def extract(
     features: FeatureSet = LEXICAL, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """All features of every URL plus ``status``; failed rows keep null features."""
-    rows = with_dns(url_features(urls, features=features), dns, row_id, rows_per_task)
-    return rows.withColumn("dns_record", F.when(F.col("status") == "ok", F.col("dns_record")))
+    rows = url_features(urls, features=features, keep_host=True)
+    hot = hot_keys(with_host(urls), "host", rows_per_task)
+    joined = lookup_join(rows, _dns_table(dns), "host", row_id, hot=hot).drop("host")
+    resolved = F.when(F.col("status") == "ok", F.coalesce("dns_record", F.lit(0)))
+    return joined.withColumn("dns_record", resolved)
 
 
 def failed(extracted: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlrisk.schema import CLASS_CAP, SEED
+from urlrisk.session import materialize
 
 # Hash prefixes of four hex digits: at most 65,536 per class.
 _PREFIX = 4
@@ -40,17 +41,19 @@ def balanced_sample(df: DataFrame, cap: int = CLASS_CAP, seed: int = SEED) -> Da
     """
     keyed = df.filter(F.col("label").isin(0, 1)).withColumn("_hash", sample_key(seed))
     keyed = keyed.withColumn("_prefix", F.substring("_hash", 1, _PREFIX))
-    counts = keyed.groupBy("label", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(
+        keyed.groupBy("label", "_prefix").agg(F.count(F.lit(1)).alias("_n")), "prefix-counts"
+    )
+    totals = {row["label"]: row["_n"] for row in counts.groupBy("label").agg(F.sum("_n").alias("_n")).collect()}
+    target = min(totals.get(0, 0), totals.get(1, 0), cap)
     running = Window.partitionBy("label").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
-    target = class_balance_of_counts(counts, cap)
     ends = (
         counts.withColumn("_upto", F.sum("_n").over(running))
-        .crossJoin(F.broadcast(target))
-        .filter((F.col("_upto") >= F.col("target")) & (F.col("_upto") - F.col("_n") < F.col("target")))
+        .filter((F.col("_upto") >= target) & (F.col("_upto") - F.col("_n") < target))
         .select(
             "label",
             F.col("_prefix").alias("_end"),
-            (F.col("target") - F.col("_upto") + F.col("_n")).alias("_left"),
+            (F.lit(target) - F.col("_upto") + F.col("_n")).alias("_left"),
         )
     )
     within = Window.partitionBy("label", "_prefix").orderBy("_hash", "url")
@@ -63,13 +66,6 @@ def balanced_sample(df: DataFrame, cap: int = CLASS_CAP, seed: int = SEED) -> Da
     )
 
 
-def class_balance_of_counts(counts: DataFrame, cap: int) -> DataFrame:
-    def total(label: int) -> Column:
-        return F.sum(F.when(F.col("label") == label, F.col("_n")).otherwise(0))
-
-    return counts.agg(F.least(total(0), total(1), F.lit(cap)).cast("bigint").alias("target"))
-
-
 def is_train(seed: int = SEED) -> Column:
     """True for about 80 % of the URLs; depends on the URL alone, so no sort."""
     digest = F.md5(F.concat(F.lit(f"split|{seed}|"), F.col("url")))
@@ -82,12 +78,18 @@ def train_test_split(df: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFr
 
 def class_weights(train: DataFrame) -> DataFrame:
     """Balanced weight ``n / (classes * n_class)`` per class; at most two rows."""
-    counts = train.filter(F.col("label").isin(0, 1)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy()
-    return counts.select(
-        "label",
-        "n",
-        (F.sum("n").over(every).cast("double") / (F.count("label").over(every) * F.col("n"))).alias("weight"),
+    n0, n1 = F.col("_n0"), F.col("_n1")
+    counted = train.agg(
+        F.count_if(F.col("label") == 0).alias("_n0"), F.count_if(F.col("label") == 1).alias("_n1")
+    )
+    classes = F.when(n0 > 0, 1).otherwise(0) + F.when(n1 > 0, 1).otherwise(0)
+    rows = F.array(
+        F.struct(F.lit(0).alias("label"), n0.alias("n")), F.struct(F.lit(1).alias("label"), n1.alias("n"))
+    )
+    return (
+        counted.select(F.inline(rows), (n0 + n1).cast("double").alias("_all"), classes.alias("_classes"))
+        .filter("n > 0")
+        .select("label", "n", (F.col("_all") / (F.col("_classes") * F.col("n"))).alias("weight"))
     )
 
 

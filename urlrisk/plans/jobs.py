@@ -138,6 +138,10 @@ def _parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="urlrisk")
+    top.add_argument(
+        "--shuffle-partitions",
+        help="upper bound per shuffle, about one per 128 MB of shuffled data; AQE merges small ones",
+    )
     jobs = top.add_subparsers(dest="job", required=True)
 
     def job(name: str, run, *required: str) -> argparse.ArgumentParser:
@@ -187,7 +191,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    args.run(build_session(f"urlrisk {args.job}"), args)
+    size = {"spark.sql.shuffle.partitions": args.shuffle_partitions} if args.shuffle_partitions else {}
+    args.run(build_session(f"urlrisk {args.job}", **size), args)
 
 
 if __name__ == "__main__":
