@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from urlrisk.operators import lookups, metrics
+from urlrisk.operators import lookups, metrics, skew
 from urlrisk.operators.skew import hot_keys, lookup_join
 from urlrisk.schema import FEATURES
 
@@ -53,7 +53,9 @@ def dns(spark):
 
 
 @pytest.mark.parametrize("rows_per_task", [1, 10**6])
-def test_dns_record(spark, dns, rows_per_task):
+@pytest.mark.parametrize("broadcast_rows", [0, 10])
+def test_dns_record(spark, dns, rows_per_task, broadcast_rows, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", broadcast_rows)
     df = urls(spark, "http://A.com/x", "http://b.com", "http://c.com", "a.com", "http://[x", None, "http://a.com:80")
     got = lookups.extract(df, dns, ["id"], rows_per_task=rows_per_task).orderBy("id").collect()
     assert [r.dns_record for r in got] == [1, 0, 0, 0, None, None, 1]

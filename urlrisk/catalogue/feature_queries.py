@@ -111,15 +111,20 @@ _GIVEN_FIRST = {
 
 @query(oracle(_TABLE_VIEWS, f"SELECT url, {_ALL} FROM feature_rows", _GIVEN_FIRST))
 def feature_table(spark, sf_dir):
+    return _features_of(spark, sf_dir, clean(spark, sf_dir))
+
+
+def _features_of(spark, sf_dir, labelled):
     table = lookups.feature_table(
-        clean(spark, sf_dir).select("url"), precomputed(spark, sf_dir), view(spark, sf_dir, "dns_snapshot")
+        labelled.select("url"), precomputed(spark, sf_dir), view(spark, sf_dir, "dns_snapshot")
     )
     return table.select("url", *FEATURES)
 
 
 @query(oracle(_TABLE_VIEWS, f"SELECT url, label, {_ALL} FROM feature_rows", _GIVEN_FIRST))
 def training_set(spark, sf_dir):
-    return lookups.training_set(feature_table(spark, sf_dir), clean(spark, sf_dir))
+    labelled = clean(spark, sf_dir)
+    return lookups.training_set(_features_of(spark, sf_dir, labelled), labelled)
 
 
 @query(
@@ -135,9 +140,10 @@ def training_set(spark, sf_dir):
 )
 def features_union(spark, sf_dir):
     """Extracted rows without the DNS column stacked on precomputed ones."""
-    extracted = urls.url_features(anti_precomputed(spark, sf_dir).select("url")).drop("status")
+    labelled, given = clean(spark, sf_dir), precomputed(spark, sf_dir)
+    extracted = urls.url_features(lookups.without_precomputed(labelled, given).select("url")).drop("status")
     lacking = extracted.withColumn("dns_record", F.lit(None).cast("int"))
-    return lookups.features_union(lacking, semi_precomputed(spark, sf_dir))
+    return lookups.features_union(lacking, lookups.precomputed_in(given, labelled))
 
 
 # The feature store holds the labelled pages, with a value no extraction gives.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from urlrisk.functions.urls import LEXICAL, FeatureSet, staged, url_features
 from urlrisk.operators.dedupe import keep_first
-from urlrisk.operators.skew import ROWS_PER_TASK, hot_keys, lookup_join
+from urlrisk.operators.skew import ROWS_PER_TASK, hot_keys, lookup_join, snapshot_join
 from urlrisk.schema import FEATURES, PRECOMPUTED_FEATURES
 
 
@@ -35,7 +35,7 @@ def with_dns(
 
     Popular hosts hold many URLs, hence the split of hot keys.
     """
-    joined = lookup_join(with_host(df), _dns_table(dns), "host", row_id, "left", rows_per_task)
+    joined = snapshot_join(with_host(df), _dns_table(dns), "host", row_id, rows_per_task)
     return joined.withColumn("dns_record", F.coalesce("dns_record", F.lit(0))).drop("host")
 
 
@@ -48,7 +48,7 @@ def with_domain_age(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``domain_age_days`` at ``as_of`` from a registration snapshot, else null."""
-    joined = lookup_join(with_host(df), registrations, "host", row_id, "left", rows_per_task)
+    joined = snapshot_join(with_host(df), registrations, "host", row_id, rows_per_task)
     return joined.withColumn("domain_age_days", F.datediff(F.lit(as_of).cast("date"), "created")).drop(
         "created"
     )
@@ -60,8 +60,8 @@ def extract(
 ) -> DataFrame:
     """All features of every URL plus ``status``; failed rows keep null features."""
     rows = url_features(urls, features=features, keep_host=True)
-    hot = hot_keys(with_host(urls), "host", rows_per_task)
-    joined = lookup_join(rows, _dns_table(dns), "host", row_id, hot=hot).drop("host")
+    hosts = with_host(urls).select("host")
+    joined = snapshot_join(rows, _dns_table(dns), "host", row_id, rows_per_task, hosts).drop("host")
     resolved = F.when(F.col("status") == "ok", F.coalesce("dns_record", F.lit(0)))
     return joined.withColumn("dns_record", resolved)
 

@@ -14,6 +14,10 @@ ROWS_PER_TASK = 1_000_000
 # than 1/MAX_HOT_KEYS of the rows.
 MAX_HOT_KEYS = 1_000
 
+# A lookup table is broadcast by request only if it was counted to be within both.
+BROADCAST_ROWS = 500_000
+BROADCAST_KEY_BYTES = 32 * 2**20
+
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``(_key, _fan)``: hash of each hot key and into how many parts to split it.
@@ -78,3 +82,30 @@ def lookup_join(
         .drop("_key", "_fan")
     )
     return spread.join(copied, [key, "_part"], how).drop("_part")
+
+
+def snapshot_join(
+    facts: DataFrame,
+    table: DataFrame,
+    key: str,
+    row_id: Sequence[str],
+    rows_per_task: int = ROWS_PER_TASK,
+    keys: DataFrame | None = None,
+) -> DataFrame:
+    """Left join to a stored snapshot with one narrow row per key.
+
+    The snapshot is counted first. A small one is broadcast, and the facts are
+    neither counted nor shuffled; a larger one goes through :func:`lookup_join`.
+    ``keys`` has the key column of ``facts`` from a cheaper plan.
+    """
+    if fits_broadcast(table, key):
+        return facts.join(F.broadcast(table), key, "left")
+    hot = hot_keys(facts if keys is None else keys, key, rows_per_task)
+    return lookup_join(facts, table, key, row_id, hot=hot)
+
+
+def fits_broadcast(table: DataFrame, key: str) -> bool:
+    size = table.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("bytes")
+    ).first()
+    return size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_KEY_BYTES
