@@ -18,8 +18,12 @@ def visited(spark, sf_dir):
     return view(spark, sf_dir, "visited")
 
 
-def statuses(spark, sf_dir):
-    return spark.sql("WITH links AS (SELECT * FROM {links}) " + STATUS_SQL, links=links.distinct_links(pages(spark, sf_dir)))
+def links_table(spark, sf_dir):
+    return materialize(links.found_links(pages(spark, sf_dir)), "links")
+
+
+def statuses(spark, found):
+    return spark.sql("WITH links AS (SELECT * FROM {found}) " + STATUS_SQL, found=found)
 
 
 @query(oracle("rich_pages", "SELECT page_id, url, link_ord, href FROM hrefs", sql.HREFS))
@@ -67,8 +71,7 @@ def html_features(spark, sf_dir):
 
 @query(oracle("rich_pages", "SELECT netloc, seed_ord, link FROM firsts", sql.FRONTIER))
 def first_per_domain(spark, sf_dir):
-    found = links.with_netloc(links.distinct_links(pages(spark, sf_dir)))
-    return dedupe.first_per_domain(found)
+    return dedupe.first_per_domain(links.found_links(pages(spark, sf_dir)))
 
 
 @query(
@@ -79,7 +82,7 @@ def first_per_domain(spark, sf_dir):
     )
 )
 def new_domains(spark, sf_dir):
-    return links.new_domains(pages(spark, sf_dir), visited(spark, sf_dir))
+    return links.new_domains(links.found_links(pages(spark, sf_dir)), visited(spark, sf_dir))
 
 
 _STATUSES = {**sql.FRONTIER, "statuses": STATUS_SQL}
@@ -93,9 +96,9 @@ _STATUSES = {**sql.FRONTIER, "statuses": STATUS_SQL}
     )
 )
 def reachable_links(spark, sf_dir):
-    found = materialize(links.distinct_links(pages(spark, sf_dir)), "links")
-    answers = spark.sql("WITH links AS (SELECT * FROM {links}) " + STATUS_SQL, links=found)
-    return links.reachable_occurrences(found, answers, ["page_id", "link"])
+    found = links_table(spark, sf_dir)
+    rows = links.reachable_occurrences(found, statuses(spark, found), ["seed_ord", "link"])
+    return rows.select(rows["seed_ord"].alias("page_id"), "link")
 
 
 @query(
@@ -107,7 +110,8 @@ def reachable_links(spark, sf_dir):
     )
 )
 def crawl_frontier(spark, sf_dir):
-    return links.crawl_frontier(pages(spark, sf_dir), visited(spark, sf_dir), statuses(spark, sf_dir))
+    found = links_table(spark, sf_dir)
+    return links.crawl_frontier(found, visited(spark, sf_dir), statuses(spark, found))
 
 
 @query(
@@ -125,4 +129,6 @@ def crawl_frontier(spark, sf_dir):
     )
 )
 def link_rejects(spark, sf_dir):
-    return links.link_rejects(pages(spark, sf_dir), visited(spark, sf_dir), statuses(spark, sf_dir))
+    found = links_table(spark, sf_dir)
+    dropped = links.link_rejects(found, visited(spark, sf_dir), statuses(spark, found))
+    return dropped.unionByName(links.failed_pages(pages(spark, sf_dir)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from urlrisk.catalogue.feature_queries import training_set
 from urlrisk.catalogue.fixtures import view
-from urlrisk.catalogue.link_queries import pages, statuses, visited
+from urlrisk.catalogue.link_queries import links_table, statuses, visited
 from urlrisk.catalogue.registry import query
 from urlrisk.operators.sample import balanced_sample
 from urlrisk.plans import expand, model, scoring
@@ -53,8 +53,9 @@ def score_urls(spark, sf_dir):
 
 @query()
 def pseudo_label(spark, sf_dir):
+    found = links_table(spark, sf_dir)
     return expand.expand(
-        pages(spark, sf_dir), visited(spark, sf_dir), statuses(spark, sf_dir),
+        found, visited(spark, sf_dir), statuses(spark, found),
         trained(spark, sf_dir).model, view(spark, sf_dir, "dns_snapshot"),
     )
 

@@ -34,23 +34,29 @@ def distinct_links(pages: DataFrame) -> DataFrame:
 
 def failed_pages(pages: DataFrame) -> DataFrame:
     """Pages without text: no links, one reject each."""
-    return pages.filter("html IS NULL").select("page_id", "url", F.lit("no_html").alias("reason"))
+    return pages.filter("html IS NULL").select(
+        F.col("page_id").alias("seed_ord"), "url", F.lit("no_html").alias("reason")
+    )
+
 
+def found_links(pages: DataFrame) -> DataFrame:
+    """``(seed_ord, link, netloc)``: what the operators below start from.
 
-def with_netloc(links: DataFrame) -> DataFrame:
-    return links.select(
+    Reading the pages is the expensive part, so a job with several uses of the
+    links writes this table once.
+    """
+    return distinct_links(pages).select(
         F.col("page_id").alias("seed_ord"), "link", split_url("link").netloc.alias("netloc")
     )
 
 
-def new_domains(pages: DataFrame, visited: DataFrame) -> DataFrame:
+def new_domains(links: DataFrame, visited: DataFrame) -> DataFrame:
     """First link of each authority that no earlier run has visited.
 
     Taking the first per authority before the anti join gives the same rows as
     the other order and leaves one row per authority to join.
     """
-    links = first_per_domain(with_netloc(distinct_links(pages)))
-    return links.join(visited.select("netloc"), "netloc", "left_anti")
+    return first_per_domain(links).join(visited.select("netloc"), "netloc", "left_anti")
 
 
 def _answered(statuses: DataFrame) -> DataFrame:
@@ -73,13 +79,23 @@ def reachable_occurrences(
     return lookup_join(links, _answered(statuses), "link", row_id, "left_semi", rows_per_task)
 
 
-def link_rejects(pages: DataFrame, visited: DataFrame, statuses: DataFrame) -> DataFrame:
-    """What the frontier leaves out: ``(seed_ord, url, reason)``.
+def crawl_frontier(
+    links: DataFrame, visited: DataFrame, statuses: DataFrame, cap: int | None = LINK_CAP
+) -> DataFrame:
+    """New reachable links in seed order, at most ``cap``.
 
-    The found links are written once; the later copies of an authority are found
-    by their position, so no task holds all links of one.
+    A domain whose first link is down is skipped, not retried with its second.
+    """
+    found = reachable(new_domains(links, visited), statuses).select("seed_ord", "netloc", "link")
+    return found if cap is None else found.orderBy("seed_ord", "link").limit(cap)
+
+
+def link_rejects(links: DataFrame, visited: DataFrame, statuses: DataFrame) -> DataFrame:
+    """What the frontier leaves out of a stored link table: ``(seed_ord, url, reason)``.
+
+    The later links of an authority are found by their position, so no task
+    holds all links of one.
     """
-    links = materialize(with_netloc(distinct_links(pages)), "links")
     firsts = materialize(first_per_domain(links), "firsts")
     known = visited.select("netloc")
     later = links.join(firsts, ["seed_ord", "link"], "left_anti")
@@ -89,21 +105,8 @@ def link_rejects(pages: DataFrame, visited: DataFrame, statuses: DataFrame) -> D
     def rows(df: DataFrame, reason: str) -> DataFrame:
         return df.select("seed_ord", F.col("link").alias("url"), F.lit(reason).alias("reason"))
 
-    unread = failed_pages(pages).select(F.col("page_id").alias("seed_ord"), "url", "reason")
     return (
         rows(later, "repeated_domain")
         .unionByName(rows(seen, "repeated_domain"))
         .unionByName(rows(down, "unreachable"))
-        .unionByName(unread)
     )
-
-
-def crawl_frontier(
-    pages: DataFrame, visited: DataFrame, statuses: DataFrame, cap: int | None = LINK_CAP
-) -> DataFrame:
-    """New reachable links in seed order, at most ``cap``.
-
-    A domain whose first link is down is skipped, not retried with its second.
-    """
-    found = reachable(new_domains(pages, visited), statuses).select("seed_ord", "netloc", "link")
-    return found if cap is None else found.orderBy("seed_ord", "link").limit(cap)

@@ -28,17 +28,6 @@ def with_host(df: DataFrame, url: str = "url") -> DataFrame:
     return wide.select(*df.columns, parts.host.alias("host"))
 
 
-def with_dns(
-    df: DataFrame, dns: DataFrame, row_id: Sequence[str], rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """Add ``dns_record`` from a host snapshot; unknown and empty hosts get 0.
-
-    Popular hosts hold many URLs, hence the split of hot keys.
-    """
-    joined = snapshot_join(with_host(df), _dns_table(dns), "host", row_id, rows_per_task)
-    return joined.withColumn("dns_record", F.coalesce("dns_record", F.lit(0))).drop("host")
-
-
 def _dns_table(dns: DataFrame) -> DataFrame:
     return dns.select("host", F.col("resolved").cast("int").alias("dns_record"))
 
@@ -58,7 +47,10 @@ def extract(
     urls: DataFrame, dns: DataFrame, row_id: Sequence[str],
     features: FeatureSet = LEXICAL, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """All features of every URL plus ``status``; failed rows keep null features."""
+    """All features of every URL plus ``status``; failed rows keep null features.
+
+    ``dns_record`` comes from a host snapshot; unknown and empty hosts get 0.
+    """
     rows = url_features(urls, features=features, keep_host=True)
     hosts = with_host(urls).select("host")
     joined = snapshot_join(rows, _dns_table(dns), "host", row_id, rows_per_task, hosts).drop("host")

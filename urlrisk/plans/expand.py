@@ -18,11 +18,11 @@ def pseudo_label(frontier: DataFrame, model: PipelineModel, dns: DataFrame) -> D
 
 
 def expand(
-    pages: DataFrame,
+    links: DataFrame,
     visited: DataFrame,
     statuses: DataFrame,
     model: PipelineModel,
     dns: DataFrame,
     cap: int | None = LINK_CAP,
 ) -> DataFrame:
-    return pseudo_label(crawl_frontier(pages, visited, statuses, cap), model, dns)
+    return pseudo_label(crawl_frontier(links, visited, statuses, cap), model, dns)

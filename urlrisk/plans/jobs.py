@@ -104,13 +104,14 @@ def run_stream_score(spark: SparkSession, args) -> None:
 
 
 def run_expand_links(spark: SparkSession, args) -> None:
-    inputs = [_parquet(spark, path) for path in (args.pages, args.visited, args.statuses)]
+    pages, visited, statuses = (_parquet(spark, path) for path in (args.pages, args.visited, args.statuses))
     model, dns = PipelineModel.load(args.model), _parquet(spark, args.dns)
-    found = expand.expand(*inputs, model, dns, None if args.no_cap else args.cap)
-    sinks.append_segment(found, args.out)
+    found = materialize(links.found_links(pages), "links")
+    labelled = expand.expand(found, visited, statuses, model, dns, None if args.no_cap else args.cap)
+    sinks.append_segment(labelled, args.out)
     if args.rejects:
-        stamped = links.link_rejects(*inputs).withColumn("rejected_at", F.current_timestamp())
-        stamped.write.mode("append").parquet(args.rejects)
+        dropped = links.link_rejects(found, visited, statuses).unionByName(links.failed_pages(pages))
+        dropped.withColumn("rejected_at", F.current_timestamp()).write.mode("append").parquet(args.rejects)
 
 
 def run_merge(spark: SparkSession, args) -> None:
