@@ -15,7 +15,7 @@ from urlrisk.functions.urls import PARAMS, UrlColumns, clean, malformed_host, sp
 
 # An unclosed one hides the rest of the page.
 HIDDEN = (
-    r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script[^>]*>|\z)|<style\b.*?(?:</style[^>]*>|\z)"
+    r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script[^>]*>|\z)|style\b.*?(?:</style[^>]*>|\z))"
 )
 
 # A start tag, any attributes, then href. The repetition is bounded (250 quoted
@@ -26,7 +26,7 @@ _VALUE = r"""("[^"]*"|'[^']*'|[^\s>"'][^\s>]*)"""
 HREF = rf"(?i)<a[\s/]{_ATTRIBUTES}href\s*=\s*{_VALUE}"
 
 FORM = r"(?i)<form\b"
-POPUP = r"window\.open|alert\("
+POPUP = ("window.open", "alert(")
 META_REFRESH = r"""(?i)<meta\b[^<>]*http-equiv\s*=\s*["']?refresh"""
 
 REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
@@ -39,7 +39,11 @@ def visible(html: str | Column) -> Column:
 
 def hrefs(html: str | Column) -> Column:
     """All ``<a href>`` values of a page in page order; empty for a null page."""
-    raw = F.regexp_extract_all(visible(html), F.lit(HREF), F.lit(1))
+    return _visible_hrefs(visible(html))
+
+
+def _visible_hrefs(text: Column) -> Column:
+    raw = F.regexp_extract_all(text, F.lit(HREF), F.lit(1))
     values = F.transform(raw, lambda value: unescape(_unquote(value)))
     return F.coalesce(values, F.array().cast("array<string>"))
 
@@ -89,14 +93,17 @@ def _named_references() -> Column:
     return F.map_from_arrays(keys, values)
 
 
-def with_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def with_links(
+    pages: DataFrame, url: str = "url", html: str = "html", keep_visible: bool = False
+) -> DataFrame:
     """Add ``links``: each ``<a href>`` of a page as ``(href, link, netloc)``.
 
     ``link`` is the absolute form on the page's URL, null for a malformed one. A
     page is one row and stays one row: nothing is shuffled. Each step below is
     an array of structs built from the step before, so no part is derived twice.
+    ``keep_visible`` adds ``_visible``, the page as the links saw it.
     """
-    wide, base = staged(pages, url, "_base_")
+    wide, base = staged(pages.withColumn("_visible", visible(html)), url, "_base_")
     folder = F.split(base.path, "/")
     folder = F.when(F.element_at(folder, -1) == "", folder).otherwise(
         F.slice(folder, F.lit(1), F.size(folder) - 1)
@@ -106,13 +113,13 @@ def with_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         base.path.alias("_base_path"),
         base.params.alias("_base_params"),
         folder.alias("_base_folder"),
-        hrefs(html).alias("_hrefs"),
+        _visible_hrefs(F.col("_visible")).alias("_hrefs"),
     )
     steps = F.transform("_hrefs", lambda href: F.struct(href.alias("href"), clean(href).alias("text")))
     steps = F.transform(steps, _href_parts)
     steps = F.transform(steps, lambda link: _href_path(link, F.col("_base_folder")))
     steps = F.transform(steps, lambda link: _absolute(link, base))
-    return wide.select(*pages.columns, steps.alias("links"))
+    return wide.select(*pages.columns, *(["_visible"] if keep_visible else []), steps.alias("links"))
 
 
 def _href_parts(link: Column) -> Column:
@@ -209,9 +216,9 @@ def _prefixed(mark: str, part: Column) -> Column:
 
 def page_features(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Counts and flags that are read off the page text itself."""
-    wide, base = staged(with_links(pages, url, html), url)
-    wide = wide.withColumn("_host", base.host).withColumn("_page", F.coalesce(html, F.lit("")))
-    wide = wide.withColumn("_visible", visible("_page"))
+    wide, base = staged(with_links(pages, url, html, keep_visible=True), url)
+    wide = wide.withColumn("_host", base.host)
+    popup = F.contains(html, F.lit(POPUP[0])) | F.contains(html, F.lit(POPUP[1]))
     external = F.filter(
         "links",
         lambda link: (link["netloc"] != "") & (F.lower(link["netloc"]) != F.col("_host")),
@@ -220,11 +227,15 @@ def page_features(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
         *pages.columns,
         F.size("links").alias("num_anchors"),
         F.size(external).alias("external_anchors"),
-        F.regexp_count("_visible", F.lit(FORM)).cast("int").alias("num_forms"),
-        F.when(F.col("_page").rlike(POPUP), 1).otherwise(0).alias("has_popup"),
-        F.regexp_count("_visible", F.lit(META_REFRESH)).cast("int").alias("meta_refresh"),
+        _count("_visible", FORM).alias("num_forms"),
+        F.when(popup, 1).otherwise(0).alias("has_popup"),
+        _count("_visible", META_REFRESH).alias("meta_refresh"),
     )
 
 
+def _count(text: str, pattern: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("int")
+
+
 def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
