@@ -12,7 +12,7 @@ def test_all_jobs(spark, tmp_path, capsys):
     sf_dir = "/root/testdata/sf0.01"
     path = {name: str(tmp_path / name) for name in (
         "structured ranked flat processed rejects dns store model lines scores log pages visited statuses found "
-        "requests answers streamlog checkpoint linkrejects"
+        "requests answers streamlog checkpoint linkrejects precomputed"
     ).split()}
 
     def run(job, **options):
@@ -38,7 +38,12 @@ def test_all_jobs(spark, tmp_path, capsys):
     run("features", input=path["processed"], store=path["store"], dns=path["dns"])
     assert sinks.read_table(spark, path["store"]).count() == processed.count()
 
-    run("train", input=path["processed"], dns=path["dns"], model=path["model"], trees=10)
+    given = view(spark, sf_dir, "precomputed").withColumnsRenamed(
+        {"having_at": "having_@_symbol", "has_dash_in": "prefix_suffix_seperation"}
+    )
+    given.unionByName(given).write.csv(path["precomputed"], header=True)
+    run("train", input=path["processed"], dns=path["dns"], model=path["model"], trees=10,
+        precomputed=path["precomputed"])
     assert "precision" in capsys.readouterr().out
 
     view(spark, sf_dir, "url_lines").write.text(path["lines"])

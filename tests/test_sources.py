@@ -55,6 +55,9 @@ def test_optional_and_required_sources(spark, tmp_path, caplog):
     assert readers.read_optional(spark, None, schema).count() == 0
     with pytest.raises(AnalysisException):
         readers.read_required(spark, str(tmp_path / "none.csv"))
+    other = write(tmp_path / "b.csv", "site\na.com\n")
+    assert readers.read_optional(spark, other, schema).count() == 0
+    assert readers.read_optional(spark, other, schema, any_columns=True).count() == 1
     present = readers.read_csv(spark, write(tmp_path / "a.csv", "URL,LABEL\na.com,good\n"))
     assert present.unionByName(absent).count() == 1
 

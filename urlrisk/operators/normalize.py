@@ -59,12 +59,16 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 
 def rename_precomputed(df: DataFrame) -> DataFrame:
-    """Precomputed features under their canonical names, complete rows only."""
+    """Precomputed features under their canonical names, complete rows only.
+
+    A row position is kept, to pick the first row of a repeated URL.
+    """
     renamed = df.withColumnsRenamed(PRECOMPUTED_RENAMES)
     require_columns(renamed, ["url", *PRECOMPUTED_FEATURES])
     return renamed.select(
         "url",
         *[F.col(name).try_cast("double").try_cast("int").alias(name) for name in PRECOMPUTED_FEATURES],
+        *[name for name in df.columns if name == "row_ord"],
     ).na.drop()
 
 

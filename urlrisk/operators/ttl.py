@@ -15,21 +15,27 @@ the time. The choice is sequential per URL, so it is made in one of two ways:
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlrisk.operators.dedupe import keep_first
-from urlrisk.operators.skew import ROWS_PER_TASK, hot_keys
+from urlrisk.operators.skew import hot_keys
 from urlrisk.schema import CACHE_TTL_SECONDS
 from urlrisk.session import materialize
 
+# A URL with more requests than this is not walked in one task. The walk holds
+# one anchor, not the rows, and does about this many in a minute.
+WALK_ROWS = 10_000_000
+
 
 def first_seen(
-    requests: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, rows_per_task: int = ROWS_PER_TASK
+    requests: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, rows_per_task: int = WALK_ROWS
 ) -> DataFrame:
     """The fresh rows of ``requests(event_id, ts, url, ...)``; ties go to the lower id."""
     hot = materialize(hot_keys(requests, "url", rows_per_task), "hot-urls")
@@ -42,17 +48,17 @@ def first_seen(
     return _walk(cold_rows, ttl_seconds).unionByName(_jump(hot_rows, ttl_seconds))
 
 
-def fresh_mask(times: np.ndarray, ttl: int, anchor: int | None) -> tuple[np.ndarray, int | None]:
-    """Fresh flags of one URL's ascending times, and the anchor after them.
+def fresh_positions(times: list[int], ttl: int, anchor: int | None) -> tuple[list[int], int | None]:
+    """Where one URL's ascending times are fresh, and the anchor after them.
 
     Moves from one fresh request to the next by binary search.
     """
-    fresh = np.zeros(len(times), dtype=bool)
-    at = 0 if anchor is None else int(np.searchsorted(times, anchor + ttl, side="left"))
+    fresh = []
+    at = 0 if anchor is None else bisect_left(times, anchor + ttl)
     while at < len(times):
-        fresh[at] = True
-        anchor = int(times[at])
-        at = int(np.searchsorted(times, anchor + ttl, side="left"))
+        fresh.append(at)
+        anchor = times[at]
+        at = bisect_left(times, anchor + ttl, at + 1)
     return fresh, anchor
 
 
@@ -60,25 +66,30 @@ def _walk(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     ttl = ttl_seconds * 1_000_000
     columns = requests.columns
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_url, anchor = None, None
         for batch in batches:
-            urls = batch["url"].to_numpy()
-            times = batch["_micros"].to_numpy()
-            fresh = np.zeros(len(batch), dtype=bool)
-            starts = np.flatnonzero(np.r_[True, urls[1:] != urls[:-1]])
-            for start, end in zip(starts, np.r_[starts[1:], len(urls)]):
-                if urls[start] != last_url:
-                    last_url, anchor = urls[start], None
-                fresh[start:end], anchor = fresh_mask(times[start:end], ttl, anchor)
-            yield batch.loc[fresh, columns]
+            if batch.num_rows == 0:
+                continue
+            urls = batch.column("url")
+            times = batch.column("_micros").to_pylist()
+            changes = pc.not_equal(urls.slice(1), urls.slice(0, len(urls) - 1))
+            starts = [0, *(np.flatnonzero(changes.to_numpy(zero_copy_only=False)) + 1).tolist()]
+            if urls[0].as_py() != last_url:
+                anchor = None
+            kept = []
+            for start, end in zip(starts, [*starts[1:], len(times)]):
+                fresh, anchor = fresh_positions(times[start:end], ttl, anchor if start == 0 else None)
+                kept.extend(start + position for position in fresh)
+            last_url = urls[len(urls) - 1].as_py()
+            yield batch.take(pa.array(kept, pa.int64())).select(columns)
 
     return (
         requests.filter("url IS NOT NULL")
         .withColumn("_micros", _micros())
         .repartition("url")
         .sortWithinPartitions("url", "_micros", "event_id")
-        .mapInPandas(walk, requests.schema)
+        .mapInArrow(walk, requests.schema)
     )
 
 

@@ -30,7 +30,9 @@ def run_prepare(spark: SparkSession, args) -> None:
             readers.text_schema("protocol", "domain_name", "address", "is_phished"),
         ),
         flat=readers.read_optional(spark, args.flat, readers.text_schema("URL", "LABEL")),
-        ranked=readers.read_optional(spark, args.ranked, readers.text_schema("domain"), header=not args.no_header),
+        ranked=readers.read_optional(
+            spark, args.ranked, readers.text_schema("domain"), any_columns=True, header=not args.no_header
+        ),
     )
     audited = prepare.audited_table(sources)
     sample = balanced_sample(prepare.clean_table(audited), args.cap, args.seed)
@@ -59,9 +61,7 @@ def run_train(spark: SparkSession, args) -> None:
         table = readers.read_csv(spark, args.precomputed)
         if "url" not in table.columns:
             table = table.withColumn("url", reconstruct_url("protocol", "domain_name", "address"))
-        precomputed = dedupe.keep_first(
-            rename_precomputed(table).withColumn("_any", F.lit(0)), order=schema.PRECOMPUTED_FEATURES
-        ).drop("_any")
+        precomputed = dedupe.keep_first(rename_precomputed(table), order=["row_ord"])
     features = lookups.feature_table(labelled.select("url"), precomputed, _parquet(spark, args.dns))
     trained = forest.train(lookups.training_set(features, labelled), args.trees, args.depth)
     trained.model.write().overwrite().save(args.model)

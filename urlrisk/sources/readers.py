@@ -53,15 +53,26 @@ def read_required(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_csv(spark, path, **options)
 
 
-def read_optional(spark: SparkSession, path: str | None, schema: T.StructType, **options) -> DataFrame:
-    """A CSV table, or an empty one of ``schema`` with a warning if it is absent."""
+def read_optional(
+    spark: SparkSession, path: str | None, schema: T.StructType, any_columns: bool = False, **options
+) -> DataFrame:
+    """A CSV table, or an empty one of ``schema`` with a warning if it is absent.
+
+    Unless ``any_columns``, a table that lacks a column of ``schema`` is left out
+    the same way.
+    """
     if path:
         try:
-            return read_csv(spark, path, **options)
+            table = read_csv(spark, path, **options)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             logger.warning("%s not found", path)
+        else:
+            missing = [name for name in schema.names if name not in table.columns]
+            if any_columns or not missing:
+                return table
+            logger.error("expected columns %s in %s; found %s", schema.names, path, table.columns)
     return spark.createDataFrame([], schema)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from urlrisk.operators.ttl import fresh_mask
+from urlrisk.operators.ttl import fresh_positions
 from urlrisk.schema import CACHE_TTL_SECONDS
 
 _STATE = T.StructType([T.StructField("anchor", T.LongType())])
@@ -35,7 +35,9 @@ def flag_fresh(requests: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS) -> Dat
             return
         rows = pd.concat(list(batches)).sort_values(["_micros", "event_id"], kind="stable")
         anchor = state.get[0] if state.exists else None
-        rows["fresh"], anchor = fresh_mask(rows["_micros"].to_numpy(), ttl, anchor)
+        fresh, anchor = fresh_positions(rows["_micros"].tolist(), ttl, anchor)
+        rows["fresh"] = False
+        rows.iloc[fresh, rows.columns.get_loc("fresh")] = True
         state.update((anchor,))
         expiry = (anchor + ttl) // 1_000
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
