@@ -7,6 +7,8 @@ on hashes of the URL. The same text runs in Spark SQL and in DuckDB.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("pages", "labels", "events")
@@ -150,8 +152,13 @@ def _with(names: list[str]) -> list[str]:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    tables = [f"{table} AS (SELECT * FROM parquet.`{sf_dir}/{table}.parquet`)" for table in TABLES]
-    return spark.sql(f"WITH {', '.join(tables + _with([name]))} SELECT * FROM {name}")
+    views = _with([name])
+    tables = [
+        f"{table} AS (SELECT * FROM parquet.`{sf_dir}/{table}.parquet`)"
+        for table in TABLES
+        if re.search(rf"\b{table}\b", " ".join(views))
+    ]
+    return spark.sql(f"WITH {', '.join(tables + views)} SELECT * FROM {name}")
 
 
 def oracle(names: str, body: str, ctes: dict[str, str] | None = None, recursive: bool = False) -> str:
