@@ -112,7 +112,7 @@ def op5_url_verdicts(spark, sf_dir):
     return host_words.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-@query(S.SHARDS)
+@query()
 def op6_byte_shards(spark, sf_dir):
     """All documents in 40 contiguous shards of nearly equal bytes."""
     shards = byte_shards.balanced_shards(table(spark, sf_dir, "documents"), N_SHARDS)

@@ -6,7 +6,7 @@ WITH rows AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
-  SELECT *, CAST(sum(length(text) + length(role) + 24
+  SELECT *, CAST(sum(length(text) + length(role) + 22
       + length(text || role) - length(replace(text || role, '\', ''))
       + len(regexp_extract_all(text, '</?s>|\[/?INST\]')) + len(regexp_extract_all(role, '</?s>|\[/?INST\]'))
     ) OVER (PARTITION BY conv_id) AS BIGINT) AS formatted_chars
@@ -20,14 +20,11 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-# DuckDB has no crc32: the table-free bitwise form, one step per bit of every byte, would be too slow in SQL.
-SHARDS = None
-
 JACCARD = r"""
 WITH RECURSIVE tokens AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
-    x -> x <> '') AS w FROM documents
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+')
+    IF x <> ''] AS w FROM documents
 ), grams AS (
   SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
     WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
