@@ -26,11 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk.llm.arrays import (
+    BASE,
+    BASE_INVERSE,
     Rolling,
+    byte_codes,
     content_number,
     grouped,
     mix,
     pack,
+    powers,
     ragged,
     slices,
     text_bytes,
@@ -45,8 +49,9 @@ LEAD = 32
 CHUNK_BYTES = 8 << 20
 CHUNK_ROWS = 1 << 16
 KEY_BYTES = 6
-# Suffixes that are sorted in one go; groups that start together are never split.
-SORTED_AT_ONCE = 1 << 19
+# Suffixes that are hashed and that are sorted in one go; groups that may be equal are never split.
+HASHED_AT_ONCE = 1 << 18
+SORTED_AT_ONCE = 1 << 16
 NO_ID = -(1 << 63)
 _MAX = np.iinfo(np.uint64).max
 
@@ -256,7 +261,7 @@ def _send_runs(parts: int, bits: int):
     """Texts of undecided runs, packed by k-gram."""
 
     def work(batches: Iterator[pa.RecordBatch]):
-        for batch in slices(batches, "_text", 1 << 22):
+        for batch in slices(batches, "_text"):
             data, at = text_bytes(batch.column("_text"))
             sent = batch.column("_sent").to_pylist()
             table = np.concatenate([np.zeros((0, 3), "<u8"), *(np.frombuffer(b, "<u8").reshape(-1, 3) for x in sent for b in x)])
@@ -290,10 +295,30 @@ def _send_runs(parts: int, bits: int):
     return work
 
 
+class RunHashes:
+    """Prefix polynomial hashes of many short runs, exponents counted from the start of each run."""
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray):
+        self.up, self.down = powers(LENGTH * 2, BASE), powers(LENGTH * 2, BASE_INVERSE)
+        codes = byte_codes()
+        self.offset = np.empty(len(data), np.uint16)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        for k in range(0, len(begin), 1 << 10):
+            low, lengths = int(begin[k]), length[k : k + (1 << 10)]
+            high = low + int(lengths.sum())
+            offset = ragged(np.zeros(len(lengths), np.int64), lengths)
+            self.offset[low:high] = offset
+            np.cumsum(codes[data[low:high]] * self.up[offset], out=self.sums[low + 1 : high + 1])
+            self.sums[low + 1 : high + 1] += self.sums[low]
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.down[self.offset[start]]
+
+
 class Suffixes:
     """Comparison of suffixes, cut at ``LENGTH`` bytes, by prefix hashes."""
 
-    def __init__(self, data: np.ndarray, rolling: Rolling):
+    def __init__(self, data: np.ndarray, rolling: RunHashes):
         self.data, self.rolling = data, rolling
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -350,34 +375,32 @@ class Suffixes:
             width *= 2
 
 
-def repeated_starts(data: np.ndarray, positions: np.ndarray, gram: np.ndarray, rolling: Rolling) -> np.ndarray:
-    """Which of the strings of ``LENGTH`` bytes at ``positions`` occur at another position too."""
+def repeated_starts(data: np.ndarray, positions: np.ndarray, group: np.ndarray, hashes: RunHashes) -> np.ndarray:
+    """Which of the strings of ``LENGTH`` bytes at ``positions``, in ascending order, occur at another position too.
+
+    Only strings of one ``group`` are compared.
+    """
     out = np.zeros(len(positions), bool)
-    # Strings that can be equal have the same k-gram and the same first bytes.
-    key = mix(gram + mix(rolling.of(positions, positions + LEAD)))
+    # Strings that can be equal have the same group and the same first bytes.
+    key = mix(group.astype(np.uint64) + mix(hashes.of(positions, positions + LEAD)))
     order = np.argsort(key, kind="stable")
     key = key[order]
-    new = np.append(True, key[1:] != key[:-1])
-    group = np.cumsum(new) - 1
-    several = np.bincount(group)[group] > 1
-    order, group = order[several], group[several]
-    suffixes = Suffixes(data, rolling)
+    several = np.zeros(len(order), bool)
+    same = key[1:] == key[:-1]
+    several[1:] |= same
+    several[:-1] |= same
+    order, key = order[several], key[several]
+    suffixes = Suffixes(data, hashes)
     low = 0
     while low < len(order):
         high = min(low + SORTED_AT_ONCE, len(order))
-        high = int(np.searchsorted(group, group[high - 1], "right"))
-        index, mine = order[low:high], group[low:high]
-        items = suffixes.sort(positions[index], mine)
-        x, y = items[:-1], items[1:]
-        near = np.flatnonzero(mine[1:] == mine[:-1])
-        equal = near[suffixes.common(x[near], y[near]) >= LENGTH]
-        equal = equal[_same_bytes(data, x[equal], y[equal])]
-        found = np.zeros(len(items), bool)
-        found[equal] = found[equal + 1] = True
-        # A position may stand once only, so it names its item.
-        back = np.argsort(positions[index], kind="stable")
-        at = np.searchsorted(positions[index][back], items[found])
-        out[index[back[at]]] = True
+        high = int(np.searchsorted(key, key[high - 1], "right"))
+        items = suffixes.sort(positions[order[low:high]], key[low:high])
+        near = np.flatnonzero(key[low + 1 : high] == key[low : high - 1])
+        equal = near[suffixes.common(items[near], items[near + 1]) >= LENGTH]
+        equal = equal[_same_bytes(data, items[equal], items[equal + 1])]
+        for found in (items[equal], items[equal + 1]):
+            out[np.searchsorted(positions, found)] = True
         low = high
     return out
 
@@ -385,8 +408,8 @@ def repeated_starts(data: np.ndarray, positions: np.ndarray, gram: np.ndarray, r
 def _same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     out = np.ones(len(x), bool)
     span = np.arange(LENGTH)
-    for k in range(0, len(x), 1 << 15):
-        part = slice(k, k + (1 << 15))
+    for k in range(0, len(x), 1 << 12):
+        part = slice(k, k + (1 << 12))
         out[part] = (data[x[part, None] + span] == data[y[part, None] + span]).all(axis=1)
     return out
 
@@ -394,32 +417,46 @@ def _same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _sort_runs(batches: Iterator[pa.RecordBatch]):
     """Per part: the span of repeated strings in each undecided run, packed per document row."""
     for table in grouped(batches, "part"):
-        joined = {n: b"".join(table.column(n).to_pylist()) for n in _SENT_NAMES[1:]}
-        count = np.frombuffer(joined["counts"], np.uint8).astype(np.int64)
-        gram = np.frombuffer(joined["grams"], "<u8")
-        data = np.frombuffer(joined["texts"], np.uint8)
+        gram = np.frombuffer(b"".join(table.column("grams").to_pylist()), "<u8")
+        count = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).astype(np.int64)
+        order = np.argsort(gram, kind="stable")
+        ranked = gram[order]
+        texts = b"".join(table.column("texts").to_pylist())
+        address = {n: b"".join(table.column(n).to_pylist()) for n in ("ids", "marks", "starts")}
+        del table
         length = count + LENGTH - 1
         begin = np.cumsum(length) - length
-        positions = ragged(begin, count)
-        run = np.repeat(np.arange(len(count)), count)
-        repeated = repeated_starts(data, positions, gram[run], Rolling(data))
-        run, inside = run[repeated], (positions - begin[run])[repeated] if len(run) else positions[:0]
-        if not len(run):
-            continue
-        first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-        last = np.append(first[1:] - 1, len(run) - 1)
-        hit = run[first]
-        start = np.frombuffer(joined["starts"], "<u4").astype(np.int64)[hit]
-        # All strings of a run hold the same k-gram, so their union has no gap.
-        spans = np.stack([start + inside[first], start + inside[last] + LENGTH], 1).astype("<u4")
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.frombuffer(joined["ids"], np.int64)[hit]),
-                pa.array(np.frombuffer(joined["marks"], np.int64)[hit]),
-                pa.array([s.tobytes() for s in spans], pa.binary()),
-            ],
-            ["id", "mark", "cover"],
-        )
+        reach = np.cumsum(count[order])
+        low = 0
+        while low < len(order):
+            high = int(np.searchsorted(reach, (reach[low - 1] if low else 0) + HASHED_AT_ONCE, "right"))
+            high = int(np.searchsorted(ranked, ranked[min(max(high, low + 1), len(order)) - 1], "right"))
+            runs = order[low:high]
+            low = high
+            data = np.frombuffer(b"".join([texts[begin[k] : begin[k] + length[k]] for k in runs.tolist()]), np.uint8)
+            lengths, counts = length[runs], count[runs]
+            at = np.cumsum(lengths) - lengths
+            positions = ragged(at, counts)
+            which = np.repeat(np.arange(len(runs)), counts)
+            hits = repeated_starts(data, positions, gram[runs][which], RunHashes(data, at, lengths))
+            which, inside = which[hits], positions[hits]
+            if not len(which):
+                continue
+            first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+            last = np.append(first[1:] - 1, len(which) - 1)
+            hit = which[first]
+            run = runs[hit]
+            start = np.frombuffer(address["starts"], "<u4")[run].astype(np.int64) - at[hit]
+            # All strings of a run hold the same k-gram, so their union has no gap.
+            spans = np.stack([start + inside[first], start + inside[last] + LENGTH], 1).astype("<u4")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.frombuffer(address["ids"], np.int64)[run]),
+                    pa.array(np.frombuffer(address["marks"], np.int64)[run]),
+                    pa.array([s.tobytes() for s in spans], pa.binary()),
+                ],
+                ["id", "mark", "cover"],
+            )
 
 
 def _free(name: str, columns: list[str]) -> str:
