@@ -23,8 +23,8 @@ from urlrisk.llm.arrays import ragged, slices
 
 # Texts are gathered up to this many bytes before the merges are replayed, and
 # encoded words are kept up to this many; the store is emptied when it is full.
-GATHERED_BYTES = 12 << 20
-KEPT_WORDS = 400_000
+GATHERED_BYTES = 5 << 20
+KEPT_WORDS = 250_000
 # Below this many positions a merge is done one by one.
 FEW = 6
 
@@ -48,7 +48,7 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.bytes_to_id = np.array([ranks[bytes([b])] for b in range(256)])
+        self.bytes_to_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.split = regex.compile(pattern).findall
         ids = sorted(ranks.values())
         by_id = {rank: token for token, rank in ranks.items()}
@@ -73,13 +73,13 @@ class MergeReplay:
 
     def forget(self) -> None:
         self.numbers = Numbers()
-        self.word_ids = [np.zeros(0, np.int64)]
+        self.word_ids = [np.zeros(0, np.int32)]
         self.word_lengths = [np.zeros(0, np.int64)]
         self.encoded = 0
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that two neighbours make, or -1."""
-        keys = left * self.width + right
+        keys = left.astype(np.int64) * self.width + right
         at = np.searchsorted(self.pair_keys, keys)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
@@ -88,14 +88,14 @@ class MergeReplay:
         whole = np.array([self.ranks.get(w, -1) for w in words], np.int64)
         parts = [b"" if k >= 0 else w for w, k in zip(words, whole.tolist(), strict=True)]
         length = np.array([len(w) for w in parts], np.int64)
-        word = np.repeat(np.arange(len(words)), length)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), length)
         ids = self.bytes_to_id[np.frombuffer(b"".join(parts), np.uint8)]
         replayed = _Replay(self, ids, word)
         replayed.run()
         alive = replayed.ids[:-1] >= 0
         counts = np.bincount(word[alive], minlength=len(words))
         counts[whole >= 0] = 1
-        out = np.empty(int(counts.sum()), np.int64)
+        out = np.empty(int(counts.sum()), np.int32)
         starts = np.cumsum(counts) - counts
         single = np.zeros(len(out), bool)
         single[starts[whole >= 0]] = True
@@ -109,7 +109,7 @@ class MergeReplay:
         number = self.numbers.__getitem__
         split, pieces = self.split, []
         for text in texts:
-            pieces.append(np.fromiter(map(number, split(text)), np.int64))
+            pieces.append(np.fromiter(map(number, split(text)), np.int32))
         if len(self.numbers) > self.encoded:
             fresh = [w.encode() for w in list(self.numbers)[self.encoded :]]
             ids, counts = self.encode_words(fresh)
@@ -119,7 +119,7 @@ class MergeReplay:
         (ids,), (lengths,) = self.word_ids, self.word_lengths
         starts = np.cumsum(lengths) - lengths
         out = [ids[ragged(starts[p], lengths[p])] for p in pieces]
-        return np.concatenate([np.zeros(0, np.int64), *out]), np.array([len(x) for x in out], np.int64)
+        return np.concatenate([np.zeros(0, np.int32), *out]), np.array([len(x) for x in out], np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         ids = ids.astype(np.int64)
@@ -133,15 +133,15 @@ class _Replay:
         n = len(ids)
         self.table = table
         # One more cell at the end stands for "no neighbour".
-        self.ids = np.append(ids, -1)
-        self.word = np.append(word, -1)
+        self.ids = np.append(ids, np.int32(-1))
+        self.word = np.append(word, np.int32(-1))
         inner = np.zeros(n + 1, bool)
         inner[1:n] = word[1:] == word[:-1]
-        place = np.arange(n + 1)
-        self.left = np.where(inner, place - 1, n)
-        self.right = np.full(n + 1, n)
+        place = np.arange(n + 1, dtype=np.int32)
+        self.left = np.where(inner, place - 1, np.int32(n))
+        self.right = np.full(n + 1, n, np.int32)
         self.right[:-1][inner[1:]] = place[1:][inner[1:]]
-        self.pair = np.full(n + 1, -1, np.int64)
+        self.pair = np.full(n + 1, -1, np.int32)
         has = np.flatnonzero(self.right < n)
         self.pair[has] = table.ranks_of(self.ids[has], self.ids[has + 1])
         self.none = n
