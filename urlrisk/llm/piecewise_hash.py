@@ -153,7 +153,8 @@ def in_id_blocks(docs: DataFrame, id_col: str, text_col: str, n_blocks: int) ->
     ids = narrow.select("_id")
     probabilities = [k / n_blocks for k in range(1, n_blocks)]
     cuts = sorted(set(ids.na.drop().approxQuantile("_id", probabilities, 0.2 / n_blocks))) if n_blocks > 1 else []
-    edges = [float("-inf"), *cuts, float("inf")]
+    # A bucketizer wants one cut at least; without any rows or blocks it may lie anywhere.
+    edges = [float("-inf"), *(cuts or [0.0]), float("inf")]
     bucket = Bucketizer(splits=edges, inputCol="_id", outputCol="_bucket", handleInvalid="keep")
 
     def blocked(df):
