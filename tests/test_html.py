@@ -131,3 +131,14 @@ def test_unescape_numeric_limits(spark):
     assert [r[0] for r in df.collect()] == [
         "\ufffd", "\ufffd", "\ufffd", "\U0001f600", "a&b&c", "&amp", "&&;"
     ]
+
+
+def test_numeric_references_follow_the_standard(spark):
+    import html as standard
+
+    codes = [0, 1, 8, 9, 10, 11, 12, 13, 14, 31, 32, 65, 126, 127, *range(0x80, 0xA1), 0xD7FF, 0xD800, 0xDFFF, 0xE000,
+             0xFDD0, 0xFFFD, 0xFFFE, 0x1F600, 0x1FFFF, 0x10FFFD, 0x10FFFF, 0x110000, 99999999999999999999]
+    texts = [f"a{form}b" for c in codes for form in (f"&#{c};", f"&#x{c:x};", f"&#0000000{c};", f"&#X000000{c:X};")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.v for r in df.select("t", html.unescape(F.col("t")).alias("v")).collect()}
+    assert got == {t: standard.unescape(t) for t in texts}

@@ -118,3 +118,18 @@ def test_stream_merge(spark, tmp_path):
         serve.stream_merge(found, root, str(tmp_path / "ck")).awaitTermination()
     rows = sorted(tuple(r) for r in sinks.read_table(spark, root).collect())
     assert rows == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def test_batch_and_stream_merges_keep_each_others_rows(spark, tmp_path):
+    root, source = str(tmp_path / "table"), str(tmp_path / "in")
+    table = "url STRING, label INT"
+    sinks.write_version(spark.createDataFrame([("base", 0)], table), root)
+    sinks.append_segment(spark.createDataFrame([("batch", 1)], table), root)
+    schema = "url STRING, label INT, link_ord INT"
+    for checkpoint, url in (("one", "streamed"), ("two", "again"), ("two", "more")):
+        spark.createDataFrame([(url, 1, 0)], schema).coalesce(1).write.mode("append").parquet(source)
+        found = spark.readStream.schema(schema).parquet(source)
+        serve.stream_merge(found, root, str(tmp_path / checkpoint)).awaitTermination()
+    sinks.append_segment(spark.createDataFrame([("later", 1)], table), root)
+    rows = sorted(r.url for r in sinks.read_table(spark, root).collect())
+    assert rows == ["again", "base", "batch", "later", "more", "streamed"]

@@ -9,7 +9,7 @@ from urlrisk.catalogue.registry import query
 from urlrisk.functions.labels import result_name
 from urlrisk.operators import metrics, ttl
 from urlrisk.operators.skew import hot_keys, lookup_join
-from urlrisk.schema import REQUESTS_PER_MINUTE, REQUESTS_PER_SECOND
+from urlrisk.schema import REQUESTS_PER_SECOND
 from urlrisk.sources import sinks
 from urlrisk.streaming import audit
 
@@ -40,9 +40,13 @@ def rate_audit_sec(spark, sf_dir):
     return audit.rate_audit(view(spark, sf_dir, "requests"), "1 second", REQUESTS_PER_SECOND)
 
 
-@query(_audit_sql("minute", REQUESTS_PER_MINUTE))
+# The service allows REQUESTS_PER_MINUTE; one a minute is what some clients of these tables exceed.
+_AUDITED_PER_MINUTE = 1
+
+
+@query(_audit_sql("minute", _AUDITED_PER_MINUTE))
 def rate_audit_min(spark, sf_dir):
-    return audit.rate_audit(view(spark, sf_dir, "requests"), "1 minute", REQUESTS_PER_MINUTE)
+    return audit.rate_audit(view(spark, sf_dir, "requests"), "1 minute", _AUDITED_PER_MINUTE)
 
 
 _LOG = {

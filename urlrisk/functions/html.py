@@ -29,7 +29,7 @@ FORM = r"(?i)<form\b"
 POPUP = ("window.open", "alert(")
 META_REFRESH = r"""(?i)<meta\b[^<>]*http-equiv\s*=\s*["']?refresh"""
 
-REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+REFERENCE = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
 
 def visible(html: str | Column) -> Column:
@@ -76,13 +76,22 @@ def unescape(text: Column) -> Column:
 
 def _numeric(name: Column) -> Column:
     is_hex = name.rlike("^#[xX]")
-    digits = F.when(is_hex, F.substr(name, F.lit(3))).otherwise(
-        F.conv(F.substr(name, F.lit(2)), 10, 16)
-    )
+    given = F.regexp_replace(F.when(is_hex, F.substr(name, F.lit(3))).otherwise(F.substr(name, F.lit(2))), "^0+", "")
+    # More than seven digits are beyond the last code point in either base.
+    short = F.when(F.length(given) <= 7, F.concat(F.lit("0"), given))
+    digits = F.when(is_hex, short).otherwise(F.conv(short, 10, 16))
     code = F.conv(digits, 16, 10).cast("int")
     legal = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    # Controls and non-characters stand for nothing, 0x80 to 0x9F for the characters of Windows-1252.
+    nothing = (
+        code.between(1, 8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF)
+        | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    )
+    western = F.element_at(F.array(*(F.lit(bytes([c]).decode("cp1252", "ignore") or chr(c)) for c in range(0x80, 0xA0))), code - 0x7F)
     character = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
-    return F.when(legal, character).otherwise("\ufffd")
+    return (
+        F.when(code.between(0x80, 0x9F), western).when(legal & nothing, "").when(legal, character).otherwise("\ufffd")
+    )
 
 
 def _named_references() -> Column:

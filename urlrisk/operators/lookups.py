@@ -29,7 +29,8 @@ def with_host(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def _dns_table(dns: DataFrame) -> DataFrame:
-    return dns.select("host", F.col("resolved").cast("int").alias("dns_record"))
+    """One row per host: it resolves if any of its rows says so, so a lookup never multiplies URLs."""
+    return dns.groupBy("host").agg(F.max(F.col("resolved").cast("int")).alias("dns_record"))
 
 
 def with_domain_age(
@@ -37,7 +38,8 @@ def with_domain_age(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``domain_age_days`` at ``as_of`` from a registration snapshot, else null."""
-    joined = snapshot_join(with_host(df), registrations, "host", row_id, rows_per_task)
+    first = registrations.groupBy("host").agg(F.min("created").alias("created"))
+    joined = snapshot_join(with_host(df), first, "host", row_id, rows_per_task)
     return joined.withColumn("domain_age_days", F.datediff(F.lit(as_of).cast("date"), "created")).drop(
         "created"
     )

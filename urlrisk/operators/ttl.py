@@ -37,7 +37,11 @@ WALK_ROWS = 10_000_000
 def first_seen(
     requests: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, rows_per_task: int = WALK_ROWS
 ) -> DataFrame:
-    """The fresh rows of ``requests(event_id, ts, url, ...)``; ties go to the lower id."""
+    """The fresh rows of ``requests(event_id, ts, url, ...)``; ties go to the lower id.
+
+    A row without a time is never fresh, whatever the number of rows of its URL.
+    """
+    requests = requests.filter(F.col("ts").isNotNull())
     hot = materialize(hot_keys(requests, "url", rows_per_task), "hot-urls")
     if hot.isEmpty():
         return _walk(requests, ttl_seconds)

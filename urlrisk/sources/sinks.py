@@ -2,8 +2,9 @@
 
 A table is a folder of versions; a version is a folder of segments. A job never
 overwrites what it reads: a rewrite makes a new version, an addition makes a new
-segment. A segment has a caller-chosen number, so a repeated batch replaces its
-own earlier attempt and nothing else.
+segment. A segment has a number and, where several jobs write to one table, the
+name of its writer, so a repeated batch replaces its own earlier attempt and
+nothing else.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 _DONE = "_SUCCESS"
 
 
-def _numbered(spark: SparkSession, folder: str, prefix: str) -> list[int]:
-    """Numbers of the finished ``prefix=N`` folders. One entry per job run."""
+def _segments(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """Number and writer of the finished ``segment=N`` and ``segment=N-writer`` folders. One entry per job run."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     path = hadoop.Path(folder)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -24,8 +25,9 @@ def _numbered(spark: SparkSession, folder: str, prefix: str) -> list[int]:
     found = []
     for status in files.listStatus(path):
         name = status.getPath().getName()
-        if name.startswith(prefix + "=") and files.exists(hadoop.Path(status.getPath(), _DONE)):
-            found.append(int(name.split("=")[1]))
+        if name.startswith("segment=") and files.exists(hadoop.Path(status.getPath(), _DONE)):
+            number, _, writer = name.removeprefix("segment=").partition("-")
+            found.append((int(number), writer))
     return sorted(found)
 
 
@@ -38,7 +40,7 @@ def versions(spark: SparkSession, root: str) -> list[int]:
         return []
     names = [status.getPath().getName() for status in files.listStatus(path)]
     numbers = [int(name.split("=")[1]) for name in names if name.startswith("version=")]
-    return sorted(n for n in numbers if _numbered(spark, f"{root}/version={n}", "segment"))
+    return sorted(n for n in numbers if _segments(spark, f"{root}/version={n}"))
 
 
 def write_version(df: DataFrame, root: str) -> str:
@@ -51,37 +53,44 @@ def write_version(df: DataFrame, root: str) -> str:
     return path
 
 
-def append_segment(df: DataFrame, root: str, segment: int | None = None) -> str:
-    """Add rows to the current version as segment number ``segment``."""
+def _folder(number: int, writer: str) -> str:
+    return f"segment={number}-{writer}" if writer else f"segment={number}"
+
+
+def append_segment(df: DataFrame, root: str, segment: int | None = None, writer: str = "") -> str:
+    """Add rows to the current version as segment number ``segment`` of ``writer``.
+
+    Only the same number of the same writer is replaced.
+    """
     spark = df.sparkSession
     known = versions(spark, root)
     current = f"{root}/version={known[-1] if known else 0}"
     if segment is None:
-        taken = _numbered(spark, current, "segment")
-        segment = taken[-1] + 1 if taken else 0
-    path = f"{current}/segment={segment}"
+        taken = _segments(spark, current)
+        segment = taken[-1][0] + 1 if taken else 0
+    path = f"{current}/{_folder(segment, writer)}"
     df.write.mode("overwrite").parquet(path)
     return path
 
 
 def read_table(
-    spark: SparkSession, root: str, below_segment: int | None = None, with_segment: bool = False
+    spark: SparkSession, root: str, below_segment: int | None = None, with_segment: bool = False, writer: str = ""
 ) -> DataFrame | None:
     """The current version, or None before the first one.
 
-    ``below_segment`` leaves out that segment and later ones: what a repeated
-    batch saw the first time. ``with_segment`` adds the segment number.
+    ``below_segment`` leaves out that segment of ``writer`` and its later ones:
+    what a repeated batch has written itself. ``with_segment`` adds the segment number.
     """
     known = versions(spark, root)
     if not known:
         return None
     current = f"{root}/version={known[-1]}"
-    segments = _numbered(spark, current, "segment")
+    segments = _segments(spark, current)
     if below_segment is not None:
-        segments = [n for n in segments if n < below_segment]
+        segments = [(n, by) for n, by in segments if by != writer or n < below_segment]
     if not segments:
         return None
-    table = spark.read.parquet(*[f"{current}/segment={n}" for n in segments])
+    table = spark.read.parquet(*[f"{current}/{_folder(n, by)}" for n, by in segments])
     if with_segment:
         number = F.regexp_extract("_metadata.file_path", "segment=([0-9]+)", 1)
         table = table.select("*", number.cast("int").alias("segment"))

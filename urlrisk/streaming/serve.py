@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from urlrisk.functions.urls import strip
 from urlrisk.operators.dedupe import new_rows
 from urlrisk.plans.scoring import prediction_log, score_requests
 from urlrisk.schema import CACHE_TTL_SECONDS, REQUESTS
-from urlrisk.session import materialize
+from urlrisk.session import delete_path, new_path
 from urlrisk.sources.sinks import append_segment, read_table
 from urlrisk.streaming.audit import with_event_time
 from urlrisk.streaming.fresh import flag_fresh
@@ -24,6 +26,12 @@ def read_requests(spark: SparkSession, path: str, files_per_trigger: int | None
     return reader.parquet(path)
 
 
+def writer_of(batch: DataFrame, checkpoint: str) -> str:
+    """Name of the running stream: its id, which lives as long as its checkpoint."""
+    query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return (query_id or hashlib.sha256(checkpoint.encode()).hexdigest()).replace("-", "")[:32]
+
+
 def stream_score(
     requests: DataFrame,
     model: PipelineModel,
@@ -45,10 +53,13 @@ def stream_score(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Written first: scoring reads the rows several times, the state must run once.
-        rows = materialize(batch, "micro-batch")
-        answered = append_segment(score_requests(rows, model, dns), answers, batch_id)
-        scored = batch.sparkSession.read.parquet(answered)
-        append_segment(prediction_log(scored.filter("fresh")), log, batch_id)
+        spark, writer = batch.sparkSession, writer_of(batch, checkpoint)
+        copy = new_path(spark, "micro-batch")
+        batch.write.parquet(copy)
+        rows = spark.read.schema(batch.schema).parquet(copy)
+        answered = append_segment(score_requests(rows, model, dns), answers, batch_id, writer)
+        append_segment(prediction_log(spark.read.parquet(answered).filter("fresh")), log, batch_id, writer)
+        delete_path(spark, copy)
 
     return (
         flagged.writeStream.foreachBatch(write)
@@ -63,16 +74,16 @@ def stream_merge(
 ) -> StreamingQuery:
     """Fold a stream of ``(url, label, order...)`` rows into a labelled table.
 
-    Only new URLs are written, as one segment per micro-batch. Segment numbers
-    start at 1; the table's base is segment 0.
+    Only new URLs are written, as one segment per micro-batch, named after this
+    stream so that batch merges and other streams keep theirs.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        segment = batch_id + 1
-        existing = read_table(batch.sparkSession, table, below_segment=segment)
+        segment, writer = batch_id + 1, writer_of(batch, checkpoint)
+        existing = read_table(batch.sparkSession, table, below_segment=segment, writer=writer)
         first = batch.limit(0).select("url", "label") if existing is None else existing
         added = new_rows(first, batch, order).select("url", "label")
-        append_segment(added, table, segment)
+        append_segment(added, table, segment, writer)
 
     return (
         found.writeStream.foreachBatch(write)
