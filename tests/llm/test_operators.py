@@ -110,6 +110,10 @@ def test_chat_spans_and_rewritten_history(spark):
         return "".join(f"[{role}]{text}" for role, text in turns) + "<end>"
 
     assert chat_render.locate(forgetful, [("u", "abc"), ("a", "d"), ("u", "e")])[1] == 1
+    def shortened(turns):
+        return "".join(f"[{role}]{text}" for role, text in (turns if len(turns) < 4 else [("s", "cut"), *turns[-2:]]))
+
+    assert chat_render.locate(shortened, [("u", "abc"), ("a", "d"), ("u", "e"), ("a", "f")])[1] == 3
     text, broken, spans = chat_render.locate(closed, [("u", "abc"), ("a", "d")])
     assert broken is None and [text[s[2] : s[3]] for s in spans] == ["abc", "d"]
     assert chat_render.format_conversations(df.limit(0)).count() == 0

@@ -55,26 +55,30 @@ def locate(render: Template, turns: Turns) -> tuple[str, int | None, list[tuple[
     that every output repeats after the last turn (a closing mark) belongs to
     no turn but the last. With rewritten history there are no spans.
     """
-    outputs = [render(turns[:k]) for k in range(len(turns) + 1)]
+    full = render(turns)
     # What the shorter output has beyond the shared beginning must be a tail that the longer one ends with.
-    starts = []
-    for k in range(len(turns)):
-        shorter, longer = outputs[k], outputs[k + 1]
+    # Two neighbouring outputs are held at a time, so memory grows with the conversation and not with its square.
+    starts, spans, differs = [], [], None
+    shorter = render(turns[:0])
+    for k, (role, _) in enumerate(turns):
+        longer = render(turns[: k + 1]) if k + 1 < len(turns) else full
         same = len(shorter) if longer.startswith(shorter) else _common(shorter, longer)
         tail = shorter[same:]
         if (tail and not longer.endswith(tail)) or (starts and same < starts[-1]):
-            return outputs[-1], k, []
+            return full, k, []
+        # The output that ended with the turn before must agree with the full one up to here.
+        if differs is None and not full.startswith(shorter[:same]):
+            differs = max(k - 1, 0)
         starts.append(same)
-    spans = []
-    for k, (role, _) in enumerate(turns):
-        end = starts[k + 1] if k + 1 < len(turns) else len(outputs[-1])
-        if outputs[k + 1][:end] != outputs[-1][:end]:
-            return outputs[-1], k, []
         probe = [render([*turns[:k], (role, text)]) for text in _PROBES]
-        text_start = _common(*probe)
         after = _common(probe[0][::-1], probe[1][::-1])
-        spans.append((starts[k], end, text_start, len(outputs[k + 1]) - after))
-    return outputs[-1], None, spans
+        spans.append((_common(*probe), len(longer) - after))
+        shorter = longer
+    if differs is not None:
+        return full, differs, []
+    ends = [*starts[1:], len(full)]
+    spans = [(start, end, *text) for start, end, text in zip(starts, ends, spans, strict=False)]
+    return full, None, spans
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple[str, str]]]]:
