@@ -9,7 +9,6 @@ one (a closing tail aside) rewrites history and is reported, not trusted.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -39,13 +38,49 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
-def marked_template(turns: Turns) -> str:
-    """``<s>[INST] role [/INST]text</s>`` for each turn, role and text escaped."""
-    return "".join(f"<s>[INST] {escape(role)} [/INST]{escape(text)}</s>" for role, text in turns)
+class MarkedTemplate:
+    """``<s>[INST] role [/INST]text</s>`` for each turn, role and text escaped.
+
+    The output of the turns before the last of the latest call is kept, so that
+    prefixes asked for one after another cost their new turns only.
+    """
+
+    def __init__(self):
+        self.known: list[tuple[str, str]] = []
+        self.output = ""
+
+    def __call__(self, turns: Turns) -> str:
+        turns = list(turns)
+        if turns[: len(self.known)] != self.known:
+            self.known, self.output = [], ""
+        pieces = [f"<s>[INST] {escape(role)} [/INST]{escape(text)}</s>" for role, text in turns[len(self.known) :]]
+        if len(pieces) > 1:
+            self.known, self.output = turns[:-1], "".join([self.output, *pieces[:-1]])
+        return self.output + (pieces[-1] if pieces else "")
+
+
+marked_template = MarkedTemplate()
 
 
 def _common(a: str, b: str) -> int:
-    return len(os.path.commonprefix((a, b)))
+    """Length of the shared beginning, by binary search over what is not yet known to be equal."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _common_end(a: str, b: str) -> int:
+    """Length of the shared end; short ones are found without looking at the rest."""
+    width, longest = 64, min(len(a), len(b))
+    while width < longest and a[-width:] == b[-width:]:
+        width *= 2
+    width = min(width, longest)
+    return _common(a[len(a) - width :][::-1], b[len(b) - width :][::-1])
 
 
 def locate(render: Template, turns: Turns) -> tuple[str, int | None, list[tuple[int, int, int, int]]]:
@@ -71,7 +106,7 @@ def locate(render: Template, turns: Turns) -> tuple[str, int | None, list[tuple[
             differs = max(k - 1, 0)
         starts.append(same)
         probe = [render([*turns[:k], (role, text)]) for text in _PROBES]
-        after = _common(probe[0][::-1], probe[1][::-1])
+        after = _common_end(*probe)
         spans.append((_common(*probe), len(longer) - after))
         shorter = longer
     if differs is not None:
