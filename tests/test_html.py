@@ -69,6 +69,19 @@ def test_hrefs_equal_a_parser(spark):
     assert df.first()[0] == parser_hrefs(MARKUP)
 
 
+def test_any_number_of_attributes(spark):
+    pages = [
+        "<a " + 'x="1" ' * 10_000 + 'href="/far">f</a><a href=/near>n</a>',
+        "<a " + "y " * 10_000 + "href='/bare'>f</a>",
+        "<a " + "z=1 " * 10_000 + 'href="/first" href="/second">f</a>',
+        "<a href=it's>1</a> <a href='b'>2</a><a x = 'href=\"/no\"' href=c>3</a><a title='href=d'>4</a>",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "id INT, html STRING").select("id", html.hrefs("html"))
+    assert dict(df.collect()) == {
+        0: ["/far", "/near"], 1: ["/bare"], 2: ["/second"], 3: ["it's", "b", "c"]
+    } == {i: parser_hrefs(text) for i, text in enumerate(pages)}
+
+
 def test_hrefs_of_stored_pages_equal_a_parser(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     for row in pages.select("html", html.hrefs("html").alias("hrefs")).collect():

@@ -108,6 +108,7 @@ VIEWS = {
           WHEN '9' THEN '<!-- <a href="/hidden">h</a> --><script>var s = "<a href=/js>";</script>'
           WHEN 'a' THEN '<a href="#" onclick="window.open(1)">p</a>'
           WHEN 'b' THEN '<a href="ftp://ftp.example.net/f">f</a>'
+          WHEN 'c' THEN '<a ' || repeat('data-x="1" ', 400) || 'href="/far">f</a>'
           ELSE '' END END AS html
         FROM base""",
     # One request per event. A few URLs get most of them, the top one a third.

@@ -116,7 +116,7 @@ REJECTS = {
 # --- links --------------------------------------------------------------------
 _HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script[^>]*>|\z)|<style\b.*?(?:</style[^>]*>|\z)"
 _HREF = (
-    r"""(?i)<a[\s/](?:[^<>"'']*(?:"[^"]*"|''[^'']*'')){0,250}(?:[^<>"'']*\s)?href\s*=\s*"""
+    r"""(?i)<a[\s/](?:[^<>"'']*(?:"[^"]*"|''[^'']*''))*(?:[^<>"'']*\s)?href\s*=\s*"""
     r"""("[^"]*"|''[^'']*''|[^\s>"''][^\s>]*)"""
 )
 HREFS = {

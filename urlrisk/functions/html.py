@@ -1,7 +1,7 @@
 """Links and page features from raw HTML, without Python workers.
 
 Works on the whole page text. Comments, scripts and styles are removed first;
-then every ``href`` of an ``<a>`` start tag is captured with its quoting.
+then each ``<a>`` start tag is cut out and its last ``href`` taken.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ HIDDEN = (
     r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script[^>]*>|\z)|style\b.*?(?:</style[^>]*>|\z))"
 )
 
-# A start tag, any attributes, then href. The repetition is bounded (250 quoted
-# attributes in front of href) because the JVM regex engine recurses per round.
-# Outside of quotes a new tag ends the search, so it stays linear on broken pages.
-_ATTRIBUTES = r"""(?:[^<>"']*(?:"[^"]*"|'[^']*')){0,250}(?:[^<>"']*\s)?"""
-_VALUE = r"""("[^"]*"|'[^']*'|[^\s>"'][^\s>]*)"""
-HREF = rf"(?i)<a[\s/]{_ATTRIBUTES}href\s*=\s*{_VALUE}"
+# What may stand in a start tag: space, stray quoted text, or a name with or without a
+# value. Outside of quotes a new tag ends it. All repetitions are possessive, so the JVM
+# engine runs them as loops, whatever the number of attributes.
+_QUOTED = r"""(?:"[^"]*+"|'[^']*+')"""
+_NAMED = rf"""[^\s/>=<"']++(?:\s*+=\s*+(?:{_QUOTED}|[^\s>"'][^\s>]*+))?+"""
+ANCHOR = rf"(?i)<a(?=[\s/])(?:[\s/=]++|{_QUOTED}|{_NAMED})*+"
+ATTRIBUTE = rf"{_QUOTED}|{_NAMED}"
+HREF = r"(?i)^href\s*=\s*"
 
 FORM = r"(?i)<form\b"
 POPUP = ("window.open", "alert(")
@@ -43,8 +45,14 @@ def hrefs(html: str | Column) -> Column:
 
 
 def _visible_hrefs(text: Column) -> Column:
-    raw = F.regexp_extract_all(text, F.lit(HREF), F.lit(1))
-    values = F.transform(raw, lambda value: unescape(_unquote(value)))
+    def last_href(tag: Column) -> Column:
+        attributes = F.regexp_extract_all(F.substr(tag, F.lit(3)), F.lit(ATTRIBUTE), F.lit(0))
+        return F.try_element_at(F.filter(attributes, lambda item: item.rlike(HREF)), F.lit(-1))
+
+    raw = F.filter(
+        F.transform(F.regexp_extract_all(text, F.lit(ANCHOR), F.lit(0)), last_href), lambda item: item.isNotNull()
+    )
+    values = F.transform(raw, lambda item: unescape(_unquote(F.regexp_replace(item, HREF, ""))))
     return F.coalesce(values, F.array().cast("array<string>"))
 
 
