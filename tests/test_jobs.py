@@ -5,14 +5,15 @@ from pyspark.sql import functions as F
 from urlrisk.catalogue.fixtures import STATUS_SQL, view
 from urlrisk.operators import links
 from urlrisk.plans import jobs
-from urlrisk.sources import sinks
+from urlrisk.sources import readers, sinks
 
 
 def test_all_jobs(spark, tmp_path, capsys):
     sf_dir = "/root/testdata/sf0.01"
     path = {name: str(tmp_path / name) for name in (
         "structured ranked flat processed rejects dns store model lines scores log pages visited statuses found "
-        "requests answers streamlog checkpoint linkrejects precomputed"
+        "requests answers streamlog checkpoint linkrejects precomputed warm failed bodies "
+        "bodyanswers bodylog bodycheckpoint absent"
     ).split()}
 
     def run(job, **options):
@@ -38,6 +39,10 @@ def test_all_jobs(spark, tmp_path, capsys):
     run("features", input=path["processed"], store=path["store"], dns=path["dns"])
     assert sinks.read_table(spark, path["store"]).count() == processed.count()
 
+    run("features", ranked=path["ranked"], top=7, store=path["warm"], dns=path["dns"], rejects=path["failed"])
+    assert sinks.read_table(spark, path["warm"]).count() == 7
+    assert spark.read.parquet(path["failed"]).columns == ["url", "reason", "rejected_at"]
+
     given = view(spark, sf_dir, "precomputed").withColumnsRenamed(
         {"having_at": "having_@_symbol", "has_dash_in": "prefix_suffix_seperation"}
     )
@@ -46,6 +51,9 @@ def test_all_jobs(spark, tmp_path, capsys):
         precomputed=path["precomputed"])
     assert "precision" in capsys.readouterr().out
 
+    run("train", input=path["processed"], dns=path["dns"], model=path["model"], trees=10,
+        precomputed=path["absent"], rejects=path["failed"])
+
     view(spark, sf_dir, "url_lines").write.text(path["lines"])
     run("score", model=path["model"], dns=path["dns"], input=path["lines"], out=path["scores"], log=path["log"])
     scores = spark.read.parquet(path["scores"])
@@ -69,6 +77,7 @@ def test_all_jobs(spark, tmp_path, capsys):
     assert reasons == {"repeated_domain", "unreachable", "no_html"}
 
     before = processed.count()
+    run("merge", table=path["processed"], found=path["absent"])
     run("merge", table=path["processed"], found=path["found"], dry_run=True)
     assert sinks.read_table(spark, path["processed"]).count() == before
     run("merge", table=path["processed"], found=path["found"])
@@ -80,3 +89,14 @@ def test_all_jobs(spark, tmp_path, capsys):
     run("stream-score", input=path["requests"], model=path["model"], dns=path["dns"], answers=path["answers"],
         log=path["streamlog"], checkpoint=path["checkpoint"])
     assert sinks.read_table(spark, path["answers"]).count() == 10_000
+
+    bodies = view(spark, sf_dir, "requests_json").select(
+        F.col("page_id").alias("event_id"), F.lit(1).cast("long").alias("user_id"),
+        F.current_timestamp().alias("ts"), "body",
+    )
+    bodies.write.parquet(path["bodies"])
+    run("stream-score", input=path["bodies"], bodies=True, model=path["model"], dns=path["dns"],
+        answers=path["bodyanswers"], log=path["bodylog"], checkpoint=path["bodycheckpoint"])
+    answers = sinks.read_table(spark, path["bodyanswers"])
+    assert answers.count() == readers.explode_requests(bodies).count() > bodies.count()
+    assert answers.filter("url = ''").count() == answers.filter("result = 'Error' AND url = ''").count() > 0

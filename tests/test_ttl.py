@@ -66,10 +66,7 @@ def run_stream(spark, tmp_path, events, files):
     for i in range(files):
         part = spark.createDataFrame(ordered[i * size:(i + 1) * size], REQUESTS)
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = audit.with_event_time(
-        spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    )
-    return stream
+    return spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
 
 def finish(query_writer, tmp_path):
@@ -94,21 +91,41 @@ def test_late_request_neither_counts_nor_moves_the_anchor(spark, tmp_path):
     events = [(i, 0, START + timedelta(seconds=s), "u") for i, s in at]
     for event in events:
         spark.createDataFrame([event], REQUESTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = audit.with_event_time(
-        spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    )
+    stream = spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     finish(flag_fresh(stream, TTL).writeStream, tmp_path)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {r.event_id: r.fresh for r in rows} == {0: True, 1: False, 2: False, 3: True}
 
 
+def test_no_request_is_lost(spark, tmp_path):
+    hour = 3600
+    times = [5 * hour, None, 5 * hour + 1, 0, 6 * hour, hour]
+    urls = ["u", "u", None, "u", "", "v"]
+    for i, (at, url) in enumerate(zip(times, urls)):
+        ts = None if at is None else START + timedelta(seconds=at)
+        spark.createDataFrame([(i, 0, ts, url)], REQUESTS).coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "in")
+        )
+    stream = spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    finish(flag_fresh(stream, TTL).writeStream, tmp_path)
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r.event_id: r.fresh for r in rows} == {0: True, 1: False, 2: False, 3: False, 4: False, 5: True}
+
+
+def test_rows_without_time_are_never_fresh_on_either_way(spark):
+    events = [(1, 0, None, "u"), (2, 0, START, "u"), (3, 0, START, None), (4, 0, None, None)]
+    df = spark.createDataFrame(events, REQUESTS)
+    for rows_per_task in (10**6, 1):
+        assert [r.event_id for r in ttl.first_seen(df, TTL, rows_per_task).collect()] == [2]
+
+
 def test_rate_audit_stream_equals_batch(spark, tmp_path, events):
     batch = audit.rate_audit(spark.createDataFrame(events, REQUESTS), "1 minute", 3)
     assert batch.filter("over_limit <> (n_requests > 3)").count() == 0
     assert batch.agg(F.sum("n_requests")).first()[0] == len(events)
     # A last event closes the windows of all others.
     closing = (9999, 0, START + timedelta(days=2), "u")
-    stream = run_stream(spark, tmp_path, [*events, closing], 4)
+    stream = audit.with_event_time(run_stream(spark, tmp_path, [*events, closing], 4))
     finish(audit.rate_audit(stream, "1 minute", 3).writeStream, tmp_path)
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {tuple(r) for r in batch.collect()}

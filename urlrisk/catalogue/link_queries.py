@@ -85,6 +85,8 @@ def new_domains(spark, sf_dir):
     return links.new_domains(links.found_links(pages(spark, sf_dir)), visited(spark, sf_dir))
 
 
+# A run of the service takes LINK_CAP links; fewer, so that the limit is seen at work.
+FRONTIER_CAP = 5
 _STATUSES = {**sql.FRONTIER, "statuses": STATUS_SQL}
 
 
@@ -105,13 +107,14 @@ def reachable_links(spark, sf_dir):
     oracle(
         "visited rich_pages",
         """SELECT seed_ord, netloc, link FROM firsts WHERE netloc NOT IN (SELECT netloc FROM visited)
-          AND link IN (SELECT url FROM statuses WHERE status < 400) ORDER BY seed_ord, link LIMIT 50""",
+          AND link IN (SELECT url FROM statuses WHERE status < 400) ORDER BY seed_ord, link"""
+        + f" LIMIT {FRONTIER_CAP}",
         _STATUSES,
     )
 )
 def crawl_frontier(spark, sf_dir):
     found = links_table(spark, sf_dir)
-    return links.crawl_frontier(found, visited(spark, sf_dir), statuses(spark, found))
+    return links.crawl_frontier(found, visited(spark, sf_dir), statuses(spark, found), FRONTIER_CAP)
 
 
 @query(

@@ -1,18 +1,17 @@
-"""Fitted-model queries. Not expressible in SQL; see the property tests."""
+"""Fitted-model queries. Their scores are not expressible in SQL; see the property tests."""
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import functions as F
-
+from urlrisk.catalogue import sqltext as sql
 from urlrisk.catalogue.feature_queries import training_set
-from urlrisk.catalogue.fixtures import view
-from urlrisk.catalogue.link_queries import links_table, statuses, visited
+from urlrisk.catalogue.fixtures import STATUS_SQL, oracle, view
+from urlrisk.catalogue.link_queries import FRONTIER_CAP, links_table, statuses, visited
 from urlrisk.catalogue.registry import query
+from urlrisk.catalogue.request_queries import request_files
 from urlrisk.operators.sample import balanced_sample
 from urlrisk.plans import expand, model, scoring
-from urlrisk.schema import REQUESTS
 from urlrisk.session import new_path
 from urlrisk.sources.sinks import read_table
 from urlrisk.streaming import serve
@@ -51,6 +50,33 @@ def score_urls(spark, sf_dir):
     return scored
 
 
+@query(
+    oracle("dirty_urls", f"SELECT page_id, url, {sql.STATUS} FROM ({sql.split('dirty_urls')}) x")
+)
+def score_status(spark, sf_dir):
+    """Which URLs get a score: the part of ``score_urls`` that does not depend on the fit."""
+    return score_urls(spark, sf_dir).select("page_id", "url", "status")
+
+
+@query(
+    oracle(
+        "visited rich_pages",
+        """SELECT link AS url FROM firsts WHERE netloc NOT IN (SELECT netloc FROM visited)
+          AND link IN (SELECT url FROM statuses WHERE status < 400) ORDER BY seed_ord, link"""
+        + f" LIMIT {FRONTIER_CAP}",
+        {**sql.FRONTIER, "statuses": STATUS_SQL},
+    )
+)
+def labelled_links(spark, sf_dir):
+    """The links an expansion labels, without their labels; resolved links all have features."""
+    found = links_table(spark, sf_dir)
+    labelled = expand.expand(
+        found, visited(spark, sf_dir), statuses(spark, found),
+        trained(spark, sf_dir).model, view(spark, sf_dir, "dns_snapshot"), FRONTIER_CAP,
+    )
+    return labelled.filter(labelled["label"].isin(0, 1)).select("url")
+
+
 @query()
 def pseudo_label(spark, sf_dir):
     found = links_table(spark, sf_dir)
@@ -63,11 +89,9 @@ def pseudo_label(spark, sf_dir):
 @query()
 def stream_score(spark, sf_dir):
     """The whole request table as a stream of files: answers with their log flag."""
-    source, out = new_path(spark, "requests"), new_path(spark, "stream")
-    requests = view(spark, sf_dir, "requests").withColumn("ts", F.col("ts").cast("timestamp"))
-    requests.select(*REQUESTS.names).repartitionByRange(4, "ts").write.parquet(source)
+    out = new_path(spark, "stream")
     serve.stream_score(
-        serve.read_requests(spark, source),
+        serve.read_requests(spark, request_files(spark, sf_dir)),
         trained(spark, sf_dir).model,
         view(spark, sf_dir, "dns_snapshot"),
         f"{out}/answers",

@@ -13,6 +13,7 @@ from urlrisk.operators import dedupe, lookups, normalize, quality, sample
 from urlrisk.plans import prepare
 from urlrisk.session import new_path
 from urlrisk.sources import readers, sinks
+from urlrisk.streaming import serve
 
 
 def sources(spark, sf_dir) -> prepare.Sources:
@@ -273,17 +274,19 @@ def class_weights(spark, sf_dir):
     return sample.class_weights(train)
 
 
+# Fewer than the tables hold, so that the limit is seen at work.
+_TOP = 20
+
+
 @query(
     oracle(
         "src_ranked",
-        "SELECT row_ord, url FROM ranked WHERE url IS NOT NULL ORDER BY row_ord, url LIMIT 1000",
+        f"SELECT row_ord, url FROM ranked WHERE url IS NOT NULL ORDER BY row_ord, url LIMIT {_TOP}",
         {"ranked": sql.RANKED},
     )
 )
 def top_domains(spark, sf_dir):
-    """The first 1000 ranked domains, as the feature store is warmed with."""
-    ranked = normalize_domains(spark, sf_dir).filter("url IS NOT NULL")
-    return ranked.select("row_ord", "url").orderBy("row_ord", "url").limit(1000)
+    return normalize.top_domains(normalize_domains(spark, sf_dir), _TOP)
 
 
 # The second labelled table of the merge: the flat source's rows against the
@@ -311,6 +314,20 @@ def merge_new(spark, sf_dir):
     return dedupe.merge_new(*_merge_inputs(spark, sf_dir))
 
 
+@query(
+    oracle(sql.SOURCE_VIEWS, "SELECT url, label FROM existing UNION ALL SELECT url, label FROM added", _MERGE)
+)
+def stream_merge(spark, sf_dir):
+    """The same merge with the second table as a stream."""
+    existing, incoming, order = _merge_inputs(spark, sf_dir)
+    source, table = new_path(spark, "incoming"), new_path(spark, "merged")
+    sinks.write_version(existing.select("url", "label"), table)
+    incoming.select("url", "label", *order).write.parquet(source)
+    found = spark.readStream.schema(incoming.select("url", "label", *order).schema).parquet(source)
+    serve.stream_merge(found, table, f"{table}-checkpoint", order).awaitTermination()
+    return sinks.read_table(spark, table)
+
+
 @query(
     oracle(
         sql.SOURCE_VIEWS,

@@ -9,9 +9,11 @@ from urlrisk.catalogue.registry import query
 from urlrisk.functions.labels import result_name
 from urlrisk.operators import metrics, ttl
 from urlrisk.operators.skew import hot_keys, lookup_join
-from urlrisk.schema import REQUESTS_PER_SECOND
+from urlrisk.schema import REQUESTS, REQUESTS_PER_SECOND
+from urlrisk.session import new_path
 from urlrisk.sources import sinks
-from urlrisk.streaming import audit
+from urlrisk.streaming import audit, serve
+from urlrisk.streaming.fresh import flag_fresh
 
 _FRESH = {
     "ranked": "SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts, event_id) AS k FROM requests",
@@ -27,6 +29,26 @@ def ttl_first_seen(spark, sf_dir):
     return ttl.first_seen(view(spark, sf_dir, "requests"))
 
 
+def request_files(spark, sf_dir) -> str:
+    """The request table as files in order of time, what a stream reads."""
+    source = new_path(spark, "requests")
+    requests = view(spark, sf_dir, "requests").withColumn("ts", F.col("ts").cast("timestamp"))
+    requests.select(*REQUESTS.names).repartitionByRange(4, "ts").write.parquet(source)
+    return source
+
+
+@query(oracle("requests", "SELECT event_id, url, fresh FROM walk", _FRESH, recursive=True))
+def stream_fresh(spark, sf_dir):
+    """The flags a stream gives to the whole request table."""
+    out = new_path(spark, "flags")
+    flagged = flag_fresh(serve.read_requests(spark, request_files(spark, sf_dir)))
+    writer = flagged.select("event_id", "url", "fresh").writeStream.format("parquet")
+    writer.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(
+        f"{out}/rows"
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
 def _audit_sql(unit: str, limit: int) -> str:
     return oracle(
         "requests",

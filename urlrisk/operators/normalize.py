@@ -42,6 +42,11 @@ def normalize_ranked(df: DataFrame, column: str | None = None) -> DataFrame:
     return _shape(df, "ranked", url, F.lit(0))
 
 
+def top_domains(ranked: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` URLs of a normalised ranked source, as a feature store is warmed with."""
+    return ranked.filter("url IS NOT NULL").select("row_ord", "url").orderBy("row_ord", "url").limit(n)
+
+
 def domain_column(df: DataFrame) -> str:
     """``domain`` if there is one, else the first data column."""
     names = [name for name in df.columns if name != "row_ord"]

@@ -35,9 +35,10 @@ def balanced_sample(df: DataFrame, cap: int = CLASS_CAP, seed: int = SEED) -> Da
     ``df`` holds unique URLs. Ranking a whole class would send it to one task,
     so the rows are first counted per hash prefix. The running count tells the
     one prefix per class in which the sample ends: smaller prefixes are taken
-    whole, larger ones dropped unseen, and only the rows of that prefix (about
-    1/65536 of the class) need an order. The count table has at most 131,072
-    rows and the table of end points two, so neither grows with the data.
+    whole, larger ones dropped unseen, and the kept rows (the sample and the rest
+    of one prefix) are ranked within their prefix, about 1/65536 of a class. The
+    count table has at most 131,072 rows and the table of end points two, so
+    neither grows with the data.
     """
     keyed = df.filter(F.col("label").isin(0, 1)).withColumn("_hash", sample_key(seed))
     keyed = keyed.withColumn("_prefix", F.substring("_hash", 1, _PREFIX))

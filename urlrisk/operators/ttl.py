@@ -39,9 +39,9 @@ def first_seen(
 ) -> DataFrame:
     """The fresh rows of ``requests(event_id, ts, url, ...)``; ties go to the lower id.
 
-    A row without a time is never fresh, whatever the number of rows of its URL.
+    A row without a URL or a time is never fresh, whatever the number of such rows.
     """
-    requests = requests.filter(F.col("ts").isNotNull())
+    requests = requests.filter("ts IS NOT NULL AND url IS NOT NULL")
     hot = materialize(hot_keys(requests, "url", rows_per_task), "hot-urls")
     if hot.isEmpty():
         return _walk(requests, ttl_seconds)
@@ -89,8 +89,7 @@ def _walk(requests: DataFrame, ttl_seconds: int) -> DataFrame:
             yield batch.take(pa.array(kept, pa.int64())).select(columns)
 
     return (
-        requests.filter("url IS NOT NULL")
-        .withColumn("_micros", _micros())
+        requests.withColumn("_micros", _micros())
         .repartition("url")
         .sortWithinPartitions("url", "_micros", "event_id")
         .mapInArrow(walk, requests.schema)

@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from urlrisk.operators.links import crawl_frontier
 from urlrisk.plans.scoring import score_urls
 from urlrisk.schema import LINK_CAP
 
 
+def score_links(frontier: DataFrame, model: PipelineModel, dns: DataFrame) -> DataFrame:
+    """The frontier with ``url``, ``label`` and ``status``; a failed link has no label."""
+    scored = score_urls(frontier.withColumnRenamed("link", "url"), model, dns)
+    return scored.withColumnRenamed("prediction", "label").drop("confidence")
+
+
 def pseudo_label(frontier: DataFrame, model: PipelineModel, dns: DataFrame) -> DataFrame:
     """Label each link with the model; links without features are left out."""
-    urls = frontier.select(frontier["link"].alias("url"))
-    scored = score_urls(urls, model, dns).filter("status = 'ok'")
-    return scored.select("url", scored["prediction"].alias("label"))
+    return score_links(frontier, model, dns).filter("status = 'ok'").select("url", "label")
+
+
+def first_labelled(scored: DataFrame, cap: int | None = LINK_CAP) -> DataFrame:
+    """The first ``cap`` links in seed order that got a label: a failed link takes no place."""
+    labelled = scored.filter("status = 'ok'")
+    if cap is not None:
+        labelled = labelled.orderBy("seed_ord", "url").limit(cap)
+    return labelled.select("url", "label")
+
+
+def failed_links(scored: DataFrame) -> DataFrame:
+    """Links of the frontier without features, as rejects."""
+    return scored.filter("status = 'failed'").select("seed_ord", "url", F.lit("no_features").alias("reason"))
 
 
 def expand(
@@ -25,4 +43,4 @@ def expand(
     dns: DataFrame,
     cap: int | None = LINK_CAP,
 ) -> DataFrame:
-    return pseudo_label(crawl_frontier(links, visited, statuses, cap), model, dns)
+    return first_labelled(score_links(crawl_frontier(links, visited, statuses, None), model, dns), cap)

@@ -7,21 +7,25 @@ Tables are the versioned folders of :mod:`urlrisk.sources.sinks`; snapshots
 from __future__ import annotations
 
 import argparse
+import logging
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlrisk import schema
+from urlrisk.functions.urls import url_features
 from urlrisk.operators import dedupe, links, lookups, quality
 from urlrisk.operators.metrics import decode_scores, score_errors
-from urlrisk.operators.normalize import rename_precomputed, reconstruct_url
+from urlrisk.operators.normalize import normalize_ranked, rename_precomputed, reconstruct_url, top_domains
 from urlrisk.operators.sample import balanced_sample
 from urlrisk.plans import expand, model as forest, prepare, scoring
 from urlrisk.session import build_session, materialize
 from urlrisk.sources import readers, sinks
 from urlrisk.streaming import serve
 
+logger = logging.getLogger(__name__)
+
 
 def run_prepare(spark: SparkSession, args) -> None:
     sources = prepare.Sources(
@@ -30,9 +34,7 @@ def run_prepare(spark: SparkSession, args) -> None:
             readers.text_schema("protocol", "domain_name", "address", "is_phished"),
         ),
         flat=readers.read_optional(spark, args.flat, readers.text_schema("URL", "LABEL")),
-        ranked=readers.read_optional(
-            spark, args.ranked, readers.text_schema("domain"), any_columns=True, header=not args.no_header
-        ),
+        ranked=_ranked(spark, args),
     )
     audited = prepare.audited_table(sources)
     sample = balanced_sample(prepare.clean_table(audited), args.cap, args.seed)
@@ -44,25 +46,42 @@ def run_prepare(spark: SparkSession, args) -> None:
 
 
 def run_features(spark: SparkSession, args) -> None:
-    """Add the features of new URLs to the append-only feature store."""
-    urls = _table(spark, args.input).select("url").distinct()
+    """Add the features of new URLs to the append-only feature store.
+
+    They come from a labelled table, or are the first ``--top`` rows of a ranked one.
+    """
+    if args.ranked:
+        urls = top_domains(normalize_ranked(_ranked(spark, args)), args.top).select("url").distinct()
+    else:
+        urls = _table(spark, args.input).select("url").distinct()
     store = sinks.read_table(spark, args.store)
     if store is not None and not args.refresh:
         urls = urls.join(store.select("url"), "url", "left_anti")
-    rows = lookups.extract(urls, _parquet(spark, args.dns), ["url"]).filter("status = 'ok'")
-    stamped = rows.drop("status").withColumn("version", F.unix_micros(F.current_timestamp()))
-    sinks.append_segment(stamped, args.store)
+    rows = materialize(lookups.extract(urls, _parquet(spark, args.dns), ["url"]), "extracted")
+    stamped = rows.filter("status = 'ok'").drop("status")
+    sinks.append_segment(stamped.withColumn("version", F.unix_micros(F.current_timestamp())), args.store)
+    _write_failed(rows, args.rejects)
 
 
 def run_train(spark: SparkSession, args) -> None:
     labelled = _table(spark, args.input)
     precomputed = None
     if args.precomputed:
-        table = readers.read_csv(spark, args.precomputed)
-        if "url" not in table.columns:
-            table = table.withColumn("url", reconstruct_url("protocol", "domain_name", "address"))
-        precomputed = dedupe.keep_first(rename_precomputed(table), order=["row_ord"])
-    features = lookups.feature_table(labelled.select("url"), precomputed, _parquet(spark, args.dns))
+        table = readers.read_optional(
+            spark, args.precomputed, readers.text_schema("url", *schema.PRECOMPUTED_RENAMES), any_columns=True
+        )
+        parts = ("protocol", "domain_name", "address")
+        if "url" not in table.columns and set(parts) <= set(table.columns):
+            table = table.withColumn("url", reconstruct_url(*parts))
+        names = table.withColumnsRenamed(schema.PRECOMPUTED_RENAMES).columns
+        if {"url", *schema.PRECOMPUTED_FEATURES} <= set(names):
+            precomputed = dedupe.keep_first(rename_precomputed(table), order=["row_ord"])
+        else:
+            logger.error("%s lacks columns; all features are extracted", args.precomputed)
+    dns = _parquet(spark, args.dns)
+    features = lookups.feature_table(labelled.select("url"), precomputed, dns)
+    if args.rejects:
+        _write_failed(url_features(labelled.select("url")), args.rejects)
     trained = forest.train(lookups.training_set(features, labelled), args.trees, args.depth)
     trained.model.write().overwrite().save(args.model)
     trained.metrics.show()
@@ -92,7 +111,7 @@ def run_score(spark: SparkSession, args) -> None:
 
 def run_stream_score(spark: SparkSession, args) -> None:
     serve.stream_score(
-        serve.read_requests(spark, args.input, args.files_per_trigger),
+        serve.read_requests(spark, args.input, args.files_per_trigger, args.bytes_per_trigger, args.bodies),
         PipelineModel.load(args.model),
         _parquet(spark, args.dns),
         args.answers,
@@ -107,10 +126,15 @@ def run_expand_links(spark: SparkSession, args) -> None:
     pages, visited, statuses = (_parquet(spark, path) for path in (args.pages, args.visited, args.statuses))
     model, dns = PipelineModel.load(args.model), _parquet(spark, args.dns)
     found = materialize(links.found_links(pages), "links")
-    labelled = expand.expand(found, visited, statuses, model, dns, None if args.no_cap else args.cap)
-    sinks.append_segment(labelled, args.out)
+    frontier = links.crawl_frontier(found, visited, statuses, None)
+    scored = materialize(expand.score_links(frontier, model, dns), "scored-links")
+    sinks.append_segment(expand.first_labelled(scored, None if args.no_cap else args.cap), args.out)
     if args.rejects:
-        dropped = links.link_rejects(found, visited, statuses).unionByName(links.failed_pages(pages))
+        dropped = (
+            links.link_rejects(found, visited, statuses)
+            .unionByName(links.failed_pages(pages))
+            .unionByName(expand.failed_links(scored))
+        )
         dropped.withColumn("rejected_at", F.current_timestamp()).write.mode("append").parquet(args.rejects)
 
 
@@ -118,7 +142,9 @@ def run_merge(spark: SparkSession, args) -> None:
     existing = sinks.read_table(spark, args.table)
     if existing is None:
         existing = spark.createDataFrame([], schema.LABELLED)
-    incoming = _table(spark, args.found, with_segment=True)
+    incoming = sinks.read_table(spark, args.found, with_segment=True)
+    if incoming is None:
+        incoming = spark.createDataFrame([], schema.LABELLED).withColumn("segment", F.lit(0))
     order = ("segment", "label")
     dedupe.merge_report(existing, incoming, order).show()
     if not args.dry_run:
@@ -126,8 +152,21 @@ def run_merge(spark: SparkSession, args) -> None:
         sinks.append_segment(added, args.table)
 
 
-def _table(spark: SparkSession, root: str, with_segment: bool = False) -> DataFrame:
-    table = sinks.read_table(spark, root, with_segment=with_segment)
+def _write_failed(extracted: DataFrame, path: str | None) -> None:
+    """URLs without features, as rejects; nothing without a path."""
+    if path:
+        dropped = lookups.failed(extracted).select("url", F.lit("no_features").alias("reason"))
+        dropped.withColumn("rejected_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def _ranked(spark: SparkSession, args) -> DataFrame:
+    return readers.read_optional(
+        spark, args.ranked, readers.text_schema("domain"), any_columns=True, header=not args.no_header
+    )
+
+
+def _table(spark: SparkSession, root: str) -> DataFrame:
+    table = sinks.read_table(spark, root)
     if table is None:
         raise FileNotFoundError(f"no finished version in {root}")
     return table
@@ -159,11 +198,18 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--cap", type=int, default=schema.CLASS_CAP)
     sub.add_argument("--seed", type=int, default=schema.SEED)
 
-    sub = job("features", run_features, "input", "store", "dns")
+    sub = job("features", run_features, "store", "dns")
+    source = sub.add_mutually_exclusive_group(required=True)
+    source.add_argument("--input", help="labelled table")
+    source.add_argument("--ranked", help="ranked domains; the first --top of them")
+    sub.add_argument("--top", type=int, default=1000)
+    sub.add_argument("--no-header", action="store_true", help="the ranked file has no header line")
+    sub.add_argument("--rejects", help="where to add URLs without features")
     sub.add_argument("--refresh", action="store_true", help="extract known URLs again")
 
     sub = job("train", run_train, "input", "dns", "model")
     sub.add_argument("--precomputed")
+    sub.add_argument("--rejects", help="where to add URLs without features")
     sub.add_argument("--trees", type=int, default=forest.TREES)
     sub.add_argument("--depth", type=int, default=forest.DEPTH)
 
@@ -178,6 +224,8 @@ def parser() -> argparse.ArgumentParser:
     sub = job("stream-score", run_stream_score, "input", "model", "dns", "answers", "log", "checkpoint")
     sub.add_argument("--ttl", type=int, default=schema.CACHE_TTL_SECONDS)
     sub.add_argument("--files-per-trigger", type=int)
+    sub.add_argument("--bytes-per-trigger", type=int, default=serve.BYTES_PER_TRIGGER)
+    sub.add_argument("--bodies", action="store_true", help="the input holds JSON request bodies")
     sub.add_argument("--every", help="trigger interval; default: handle what is there and stop")
 
     sub = job("expand-links", run_expand_links, "pages", "visited", "statuses", "model", "dns", "out")

@@ -14,35 +14,56 @@ from urlrisk.operators.ttl import fresh_positions
 from urlrisk.schema import CACHE_TTL_SECONDS
 
 _STATE = T.StructType([T.StructField("anchor", T.LongType())])
+# An anchor is kept this long after the last request of its URL has arrived.
+KEEP_SECONDS = 24 * 3600
+# Rows that never are fresh need no order and no state; they are dealt by event.
+_LOOSE_PARTS = 1024
 
 
-def flag_fresh(requests: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
+def flag_fresh(
+    requests: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, keep_seconds: int = KEEP_SECONDS
+) -> DataFrame:
     """Every request with ``fresh``: score and log it, or reuse the stored answer.
 
-    ``requests`` is a stream with a watermark on ``ts``. An anchor is forgotten
-    once the watermark has passed its time to live. A request older than the
-    anchor counts as repeated and does not move it. The rows of a URL in one
-    micro-batch are ordered in memory, so the source's ``maxFilesPerTrigger`` or
+    ``requests`` is a stream without a watermark; a stream may have one only.
+    No row is left out, however late: a request older than the anchor counts as
+    repeated and does not move it. Rows without a URL or a time are not fresh and
+    leave no state. Anchors are forgotten by arrival, not by event time:
+    ``keep_seconds`` (at least the time to live) after the last request of the URL.
+    The rows of a URL in one micro-batch are ordered in memory, so the source's
     ``maxBytesPerTrigger`` bounds them.
     """
     ttl = ttl_seconds * 1_000_000
-    keyed = requests.withColumn("_micros", F.unix_micros("ts"))
-    out = T.StructType([*keyed.drop("_micros").schema, T.StructField("fresh", T.BooleanType())])
+    keep = max(keep_seconds, ttl_seconds) * 1_000
+    usable = F.col("ts").isNotNull() & (F.coalesce("url", F.lit("")) != "")
+    # The watermark is on the arrival, which no row can be late for.
+    keyed = (
+        requests.withColumn("_arrived", F.current_timestamp())
+        .withWatermark("_arrived", "1 second")
+        .withColumn("_arrived_ms", F.unix_millis("_arrived"))
+        .withColumn("_micros", F.coalesce(F.unix_micros("ts"), F.lit(0)))
+        .withColumn("_part", F.when(usable, -1).otherwise(F.pmod(F.xxhash64("event_id"), F.lit(_LOOSE_PARTS))))
+    )
+    out = T.StructType([*requests.schema, T.StructField("fresh", T.BooleanType())])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
+        if key[1] >= 0:
+            for rows in batches:
+                yield rows.assign(fresh=False)[out.names]
+            return
         rows = pd.concat(list(batches)).sort_values(["_micros", "event_id"], kind="stable")
         anchor = state.get[0] if state.exists else None
         fresh, anchor = fresh_positions(rows["_micros"].tolist(), ttl, anchor)
         rows["fresh"] = False
         rows.iloc[fresh, rows.columns.get_loc("fresh")] = True
         state.update((anchor,))
-        expiry = (anchor + ttl) // 1_000
+        expiry = int(rows["_arrived_ms"].max()) + keep
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         yield rows[out.names]
 
-    return keyed.groupBy("url").applyInPandasWithState(
+    return keyed.groupBy("url", "_part").applyInPandasWithState(
         update, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

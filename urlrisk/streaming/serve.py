@@ -7,6 +7,7 @@ import hashlib
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from urlrisk.functions.urls import strip
@@ -14,16 +15,31 @@ from urlrisk.operators.dedupe import new_rows
 from urlrisk.plans.scoring import prediction_log, score_requests
 from urlrisk.schema import CACHE_TTL_SECONDS, REQUESTS
 from urlrisk.session import delete_path, new_path
+from urlrisk.sources.readers import explode_requests
 from urlrisk.sources.sinks import append_segment, read_table
-from urlrisk.streaming.audit import with_event_time
 from urlrisk.streaming.fresh import flag_fresh
 
+# Input of one micro-batch, where the caller names no number of files.
+BYTES_PER_TRIGGER = 256 << 20
 
-def read_requests(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(REQUESTS)
+
+def read_requests(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None,
+    bytes_per_trigger: int = BYTES_PER_TRIGGER, bodies: bool = False,
+) -> DataFrame:
+    """Request files as a stream; a micro-batch reads so many files, or else so many bytes.
+
+    With ``bodies`` the files hold a JSON ``body`` in place of ``url``, and each
+    URL it asks for is a request of its own, numbered by ``position``.
+    """
+    schema = T.StructType([*REQUESTS.fields[:-1], T.StructField("body", T.StringType())]) if bodies else REQUESTS
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    rows = reader.parquet(path)
+    return explode_requests(rows) if bodies else rows
 
 
 def writer_of(batch: DataFrame, checkpoint: str) -> str:
@@ -40,15 +56,16 @@ def stream_score(
     log: str,
     checkpoint: str,
     ttl_seconds: int = CACHE_TTL_SECONDS,
-    lateness: str = "10 minutes",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Answer every request; log only the fresh ones.
+    """Answer every request, however late; log only the fresh ones.
 
     Each micro-batch writes its own segment of both tables, so a repeated
     micro-batch replaces its first attempt.
     """
-    trimmed = with_event_time(requests, lateness).withColumn("url", F.coalesce(strip("url"), F.lit("")))
+    trimmed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
+        "url", F.coalesce(strip("url"), F.lit(""))
+    )
     flagged = flag_fresh(trimmed, ttl_seconds)
 
     def write(batch: DataFrame, batch_id: int) -> None:
