@@ -100,6 +100,9 @@ def run_score(spark: SparkSession, args) -> None:
     scored = scoring.score_urls(
         urls, PipelineModel.load(args.model), _parquet(spark, args.dns), ["line"], store
     )
+    if args.log:
+        # Written once: the table and the log both read it.
+        scored = materialize(scored, "scores")
     if args.out:
         score_errors(scored).write.mode("errorifexists").parquet(args.out)
     else:
