@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -222,6 +223,82 @@ def test_overlaps_forgive_substitutions(spark, docs, empty):
     assert spaced_seeds.contaminated(empty, items).count() == 0 and spaced_seeds.contaminated(docs, items.limit(0)).count() == 0
 
 
+def unhit_scores(masks, longest):
+    """By length: the best sum (equal 1, differing -4) of token rows no mask hits, of all rows and of those with equal ends."""
+    used = [(len(m), [k for k, c in enumerate(m) if c == "1"]) for m in masks]
+    keep = max(map(len, masks)) - 1
+    everywhere, begun, out = {(0,): -4, (1,): 1}, {(1,): 1}, {}
+
+    def longer(rows):
+        new = {}
+        for row, score in rows.items():
+            for token in (0, 1):
+                more = (*row, token)
+                if any(len(more) >= n and all(more[len(more) - n + k] for k in at) for n, at in used):
+                    continue
+                value, more = score + (1 if token else -4), more[-keep:]
+                new[more] = max(new.get(more, value), value)
+        return new
+
+    for n in range(2, longest + 1):
+        everywhere, begun = longer(everywhere), longer(begun)
+        out[n] = max(everywhere.values()), max((v for row, v in begun.items() if row[-1]), default=-n)
+    return out
+
+
+def test_masks_miss_no_accepted_stretch():
+    # A sum below 0 is less than 80 % equal. All substitution patterns up to 69 tokens; any longer row splits into
+    # pieces of 35 to 69 tokens, each of them below 0.
+    scores = unhit_scores(spaced_seeds.MASKS, 69)
+    assert all(ends < 0 for n, (_, ends) in scores.items() if n >= spaced_seeds.MIN_TOKENS)
+    assert all(every < 0 for n, (every, _) in scores.items() if n >= 35)
+
+
+def brute_overlaps(docs, items, min_tokens, min_equal):
+    """Best overlap of each document and item over all diagonals: the longest accepted stretch, then the most equal tokens."""
+    out = {}
+    for doc, text in docs:
+        spans = [(m.start(), m.end()) for m in re.finditer("[a-z0-9]+", text)]
+        found = [text[a:b] for a, b in spans]
+        for item, words in items:
+            words = words.split()
+            for begin in range(1 - len(words), len(found)):
+                low, high = max(begin, 0), min(begin + len(words), len(found))
+                same = [found[k] == words[k - begin] for k in range(low, high)]
+                at = [k for k, x in enumerate(same) if x]
+                fits = [(b + 1 - a, -a) for a in at for b in at if b >= a and sum(same[a : b + 1]) >= min_equal * (b + 1 - a) - 1e-9]
+                n, a = max(fits, default=(0, 0))
+                if n and n >= min(min_tokens, len(words)):
+                    a = -a
+                    row = (sum(same[a : a + n]), n, -(low + a))
+                    out[doc, item] = max(out.get((doc, item), row), row)
+    ends = {doc: [m.span() for m in re.finditer("[a-z0-9]+", text)] for doc, text in docs}
+    return {(d, i, n, m, ends[d][-s][0], ends[d][-s + n - 1][1]) for (d, i), (m, n, s) in out.items()}
+
+
+def test_overlaps_match_brute_force(spark):
+    pick = random.Random(8)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in [*range(1, 18), 20, 25]]
+    items.append((90, " ".join(pick.choices("abc", k=14))))
+    found = []
+    for n, text in items[:-1]:
+        words = text.split()
+        patterns = [c for k in range(n // 5 + 1) for c in combinations(range(1, n - 1), k)]
+        patterns += [tuple(pick.sample(range(n), n // 5 + 1)) for _ in range(5)]
+        for pattern in patterns if len(patterns) < 300 else pick.sample(patterns, 300):
+            changed = [f"x{k}" if k in pattern else w for k, w in enumerate(words)]
+            found.append(" ".join([*["p"] * pick.randint(0, 3), *changed, *["q"] * pick.randint(0, 3)]))
+    found += [" ".join(pick.choices("abcd", k=30)) for _ in range(40)]
+    texts = [(k, t) for k, t in enumerate(found)]
+    df = spark.createDataFrame([(k, t, "en", "x", 7, 1) for k, t in texts], SCHEMA).repartition(3)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for min_tokens, min_equal in ((12, 0.8), (15, 0.9), (8, 0.8), (12, 0.6)):
+        got = spaced_seeds.find_overlaps(df, table, min_tokens=min_tokens, min_equal=min_equal).collect()
+        want = brute_overlaps(texts, items, min_tokens, min_equal)
+        assert {(r["doc_id"], r["item_id"], r["n_tokens"], r["n_equal"], r["start"], r["end"]) for r in got} == want
+        assert len(got) == len(want)
+
+
 def test_bpe_equals_the_library_and_round_trips(docs, empty):
     ranks = merge_replay.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     known = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -4,12 +4,15 @@ A mask looks at some of the tokens of a window and ignores the rest, so a
 changed word under an ignored position does not hide a match. Hashes of the
 benchmark windows are joined with hashes of all document windows; around each
 hit the two texts are laid side by side and the best stretch with few
-differences is measured.
+differences is measured. The masks are complete: every stretch that the rule
+accepts holds all tokens of at least one of them in place, so none is missed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +21,9 @@ from pyspark.sql import functions as F
 
 from urlrisk.llm.arrays import Rolling, mix, slices, text_bytes, words
 
-# 1: the token counts, 0: it is ignored.
-MASKS = ("111011011", "1101100011011", "11100101000111")
+# 1: the token counts, 0: it is ignored. However the differing tokens lie in a stretch of at least MIN_TOKENS with
+# MIN_EQUAL equal ones, one of these masks falls on equal tokens only; the tests prove it for all lengths.
+MASKS = ("11110111", "110011111", "1110110011", "11110101001", "110010100111", "110100010111")
 # A stretch must have this many tokens (a shorter item: all of its tokens), this share of them equal.
 MIN_TOKENS = 12
 MIN_EQUAL = 0.8
@@ -57,25 +61,53 @@ def seed_hashes(hashes: np.ndarray, text: np.ndarray, mask: str) -> tuple[np.nda
     return total[inside], inside
 
 
+def stretch_masks(min_tokens: int, min_equal: float) -> tuple[Sequence[str], int]:
+    """Masks that hit every accepted stretch, and the fewest tokens of a stretch for which that holds.
+
+    A rule laxer than the module's gets one run of tokens: ``n`` tokens with at
+    most ``(1 - share) n`` differing ones have an equal run of this length.
+    """
+    if min_tokens >= MIN_TOKENS and min_equal >= MIN_EQUAL:
+        return MASKS, MIN_TOKENS
+    run = math.ceil(min_equal * min_tokens / ((1 - min_equal) * min_tokens + 1) - 1e-9)
+    return ("1" * min(max(run, 1), 16),), min_tokens
+
+
+def item_masks(n: int, min_equal: float) -> list[str]:
+    """Masks over a whole item of ``n`` tokens; one has no differing token under a 1 if its ends and the share are equal.
+
+    The inner tokens are cut into more blocks than may hold a differing token;
+    each choice of so many ignored blocks is a mask.
+    """
+    inner = max(n - 2, 0)
+    differing = max(k for k in range(n + 1) if n - k >= min_equal * n)
+    blocks = min(inner, differing + (2 if differing <= 3 else 1))
+    masks = []
+    for ignored in combinations(range(blocks), min(differing, blocks)):
+        middle = "".join("0" if k * blocks // inner in ignored else "1" for k in range(inner))
+        masks.append(("1" + middle + "1")[:n])
+    return masks
+
+
 class Benchmark:
     """Tokens of some items and, per mask, the sorted hashes of their windows."""
 
-    def __init__(self, ids: Sequence[int], texts: Sequence[str], masks: Sequence[str] = MASKS):
+    def __init__(self, ids: Sequence[int], texts: Sequence[str], min_tokens: int = MIN_TOKENS, min_equal: float = MIN_EQUAL):
         self.ids = np.array(ids, np.int64)
         self.hashes, owner, _, _ = token_hashes(pa.array(texts, pa.large_string()))
         self.first = np.searchsorted(owner, np.arange(len(ids) + 1))
+        masks, least = stretch_masks(min_tokens, min_equal)
         self.masks = list(masks)
-        # Items too short for a mask are found by the mask "all their tokens".
+        # A shorter item must be there as a whole and has masks of its own length.
         lengths = np.diff(self.first)
-        shortest = min(map(len, masks))
-        for n in np.unique(lengths[(lengths > 0) & (lengths < shortest)]).tolist():
-            self.masks.append("1" * n)
+        for n in np.unique(lengths[(lengths > 0) & (lengths < least)]).tolist():
+            self.masks.extend(item_masks(n, min_equal))
         self.seeds, self.places, self.sieves = [], [], []
         for k, mask in enumerate(self.masks):
             seeds, places = seed_hashes(self.hashes, owner, mask)
-            if k >= len(masks):
-                whole = lengths[owner[places]] == len(mask)
-                seeds, places = seeds[whole], places[whole]
+            of = lengths[owner[places]]
+            used = of >= least if k < len(masks) else of == len(mask)
+            seeds, places = seeds[used], places[used]
             order = np.argsort(seeds, kind="stable")
             self.seeds.append(seeds[order])
             self.places.append(places[order])
@@ -183,7 +215,7 @@ def find_overlaps(
         shared = spark.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared):
-            block, tables = Benchmark(*shared.value), {}
+            block, tables = Benchmark(*shared.value, min_tokens, min_equal), {}
             for batch in slices(batches, "_text"):
                 hashes, text, starts, ends = token_hashes(batch.column("_text"), tables)
                 rows = block.overlaps(hashes, text, batch.num_rows, min_tokens, min_equal)
@@ -234,7 +266,7 @@ def drop_contaminated(
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared):
-            block, tables = Benchmark(*shared.value), {}
+            block, tables = Benchmark(*shared.value, min_tokens, min_equal), {}
             for batch in slices(batches, text_col):
                 hashes, text, _, _ = token_hashes(batch.column(text_col), tables)
                 rows = block.overlaps(hashes, text, batch.num_rows, min_tokens, min_equal)
