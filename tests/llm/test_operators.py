@@ -343,6 +343,22 @@ def test_url_verdicts(spark):
     assert host_words.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_verdicts_do_not_depend_on_the_number_of_copies(spark):
+    title = "<title>ad s w in e r fr " + passage(40, 30) + "</title>"
+    hosts = ["m.ads-track.example.com", "freebets.com", "win-shop.org", "quiet.com", "news.example.org", "adsfree.net", "blog.net"]
+    pages = [(k, f"http://{hosts[k % 7]}/{('en', 'de', 'fr')[k % 3]}/{'ab'[k % 2]}/{k}", title) for k in range(20)]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    many = pages.crossJoin(spark.range(2000).select()).repartition(4)
+    one, more = ({(r["page_id"], r["verdict"], round(r["score"], 6)) for r in host_words.judge_urls(p, ()).collect()} for p in (pages, many))
+    assert one == more and {v for _, v, _ in one} == {"allow", "block"}
+    counts = spark.createDataFrame([("ad", 300), ("s", 300), ("ads", 18), ("w", 90), ("in", 300), ("win", 18), ("the", 9000)], "word string, n long")
+    names = spark.createDataFrame([("ads",), ("win",), ("adswin",), ("thewinner",), ("unknown",)], "name string")
+    times = counts.withColumn("n", F.col("n") * 1_000_000)
+    assert rows(host_words.split_names(names, counts).select("name", F.concat_ws("+", "parts"))) == rows(
+        host_words.split_names(names, times).select("name", F.concat_ws("+", "parts"))
+    )
+
+
 def test_quality_on_held_out_rows(spark, sf_dir, empty):
     good = [(k, passage(k, 60).capitalize() + ".", 1) for k in range(150)]
     bad = [(1000 + k, passage(k, 60).upper().replace(" ", "!! "), 0) for k in range(50)]

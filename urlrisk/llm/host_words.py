@@ -26,8 +26,14 @@ SEED_WORDS = (
 )
 # Words that often stand beside them in one name.
 COMMON_WORDS = ("best", "buy", "cheap", "farm", "free", "online", "shop", "site", "top", "track", "win", "blog", "www", "mail")
-SEED_COUNT = 50
+# Each of these words counts as so many of 10,000 corpus words besides its own occurrences: the split of a name depends
+# on shares alone, not on the size of the corpus.
+SEED_PER_10000 = 18
+# Share of an unknown word, a tenth of it for each letter.
+UNKNOWN_SHARE = 1 / 30_000
 MAX_WORD = 20
+# Smoothing of the Bayes model: added to each token count, a share of the mean count; to each class, of all rows.
+SMOOTHING = 0.01
 
 Rule = tuple[str, str]  # "host/path prefix", verdict
 
@@ -65,9 +71,9 @@ def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     ``counts`` has ``(word, n)``. Every part of a name of up to ``MAX_WORD``
     letters is looked up by a join, so the word table may have any size; a task
     sees the known words of one name at a time. An unknown stretch costs ten
-    times more with each letter.
+    times more with each letter. Counts multiplied by a number give the same parts.
     """
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"] + 1
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     spans = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("_at"))
     spans = spans.select(
         "name", "_at", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("name") - F.col("_at") + 1))).alias("_n")
@@ -89,7 +95,7 @@ def viterbi(name: str, counts: dict[str, int], total: float) -> list[str]:
         for begin in range(max(0, end - MAX_WORD), end):
             word = name[begin:end]
             n = counts.get(word)
-            cost = math.log(total / n) if n else math.log(total) + len(word) * math.log(10)
+            cost = math.log(total / n) if n else len(word) * math.log(10) - math.log(UNKNOWN_SHARE)
             options.append((best[begin] + cost, begin))
         value, begin = min(options)
         best.append(value)
@@ -133,12 +139,14 @@ def judge_urls(
     ).withColumn("_shape", F.regexp_replace("_path", "[0-9]+", "0"))
     urls = materialize(urls.withColumn("_row", F.monotonically_increasing_id()), "urls")
 
-    # Counts of words over all titles and paths, and the seeds with a count of their own.
+    # Counts of words over all titles and paths, and the seeds with a share of their sum; whole numbers in 1/10,000.
     # An empty list still counts once as itself, so it is removed before exploding.
     seen = urls.select(F.explode(F.concat(tokens(F.col("_title")), tokens(F.col("_shape")))).alias("word"))
     seen = seen.filter(F.length("word") <= MAX_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    spark = pages.sparkSession
-    known = spark.createDataFrame([(w, SEED_COUNT) for w in sorted({*seeds, *COMMON_WORDS})], "word string, n long")
+    seen = materialize(seen, "seen-words")
+    seed = SEED_PER_10000 * max(seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"], 1)
+    known = pages.sparkSession.createDataFrame([(w, seed) for w in sorted({*seeds, *COMMON_WORDS})], "word string, n long")
+    seen = seen.withColumn("n", F.col("n") * 10_000)
     counts = materialize(seen.unionByName(known).groupBy("word").agg(F.sum("n").alias("n")), "words")
 
     by_host = urls.groupBy("_host").agg(F.count(F.lit(1)).alias("_n"))
@@ -177,11 +185,14 @@ def judge_urls(
         r = of.get(kind)
         if r is None:
             return rows.select(key).distinct().withColumn(f"_{kind}_score", F.lit(0.0))
-        odds = F.log((F.col("_b") + 1) / (r["b"] + r["v"])) - F.log((F.col("_a") + 1) / (r["a"] + r["v"]))
+        added = SMOOTHING * (r["a"] + r["b"])
+        blocked, allowed = ((F.col(c) + added / r["v"]) / (r[c[1:]] + added) for c in ("_b", "_a"))
+        odds = F.log(blocked) - F.log(allowed)
         table = bayes.filter(F.col("_kind") == kind).select("token", odds.alias("_odds"))
         return rows.join(table, "token").groupBy(key).agg(F.sum("_odds").alias(f"_{kind}_score"))
 
-    start = math.log((prior["b"] + 1) / (prior["a"] + 1))
+    added = SMOOTHING * (prior["a"] + prior["b"]) or 1
+    start = math.log((prior["b"] + added) / (prior["a"] + added))
     pages_scored = lookup_join(urls.drop("_title"), scored(host_tokens, "_host", "host"), "_host", ["_row"])
     pages_scored = lookup_join(pages_scored, scored(shape_tokens, "_shape", "path"), "_shape", ["_row"])
     score = F.lit(start) + F.coalesce("_host_score", F.lit(0.0)) + F.coalesce("_path_score", F.lit(0.0))
