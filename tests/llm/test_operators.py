@@ -169,6 +169,15 @@ def test_one_of_each_group_stays(docs, empty):
     assert signature_tree.components_of(empty).count() == 0
 
 
+def test_rows_without_words_all_stay(spark):
+    blank = [(None, None, "en"), (None, None, "de"), (None, "", "en"), (4, " \t\n\x0b", "en"), (4, " \t\n\x0b", "en"), (4, None, "fr"), (5, "", "en")]
+    worded = [(4, "one two", "en"), (4, "one two", "de"), (None, "\x1c", "en"), (6, "\u00a0", "en"), (6, "\u00a0", "fr")]
+    df = spark.createDataFrame([(i, t, lang, "x", 7, 1) for i, t, lang in blank * 2 + worded], SCHEMA).repartition(3)
+    kept = Counter((r["doc_id"], r["text"], r["lang"]) for r in signature_tree.keep_one(df).collect())
+    assert {r: n for r, n in kept.items() if r in blank} == Counter(blank * 2)
+    assert Counter(r[:2] for r in kept if r not in blank) == Counter({r[:2] for r in worded})
+
+
 def brute_repeats(texts):
     data = [(t or "").encode() for _, t in texts]
     seen = Counter(d[p : p + 200] for d in data for p in range(len(d) - 199))

@@ -506,12 +506,12 @@ def _rooted(documents: DataFrame, links: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_sets: int = PIECE_SETS) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (then hash of the text).
 
-    Rows without words are in no component and all stay, but rows repeated with
-    id and text count as one row. All columns are kept.
+    Rows without words are in no component and all stay as they are, repeated
+    ones too; they are never shuffled. All columns are kept.
     """
     documents, links = linked_sets(docs, id_col, text_col, piece_sets)
     chosen = _rooted(documents, links).groupBy("_root").agg(F.min(F.struct("id", "mark")).alias("_row"))
-    stay = chosen.select("_row.id", "_row.mark").unionByName(documents.filter("n = 0").select("id", "mark"))
+    stay = chosen.select("_row.id", "_row.mark")
     taken = {c.lower() for c in docs.columns}
     names = []
     for name in ("kept_id", "kept_mark"):
@@ -519,5 +519,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pi
             name += "_"
         names.append(name)
     keys = _row_key(id_col, text_col)
-    keyed = docs.withColumn(names[0], keys[0]).withColumn(names[1], keys[1])
-    return keyed.join(stay.toDF(*names), names, "left_semi").dropDuplicates(names).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # A word is a run of anything but ASCII white space.
+    has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.filter(has_words).withColumn(names[0], keys[0]).withColumn(names[1], keys[1])
+    kept = keyed.join(stay.toDF(*names), names, "left_semi").dropDuplicates(names)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).union(docs.filter(~has_words))
