@@ -30,6 +30,17 @@ def first_labelled(scored: DataFrame, cap: int | None = LINK_CAP) -> DataFrame:
     return labelled.select("url", "label")
 
 
+def over_cap(scored: DataFrame, cap: int | None = LINK_CAP) -> DataFrame:
+    """Labelled links after the first ``cap`` in seed order, as rejects: what :func:`first_labelled` leaves out."""
+    labelled = scored.filter("status = 'ok'")
+    if cap is None:
+        return labelled.limit(0).select("seed_ord", "url", F.lit("over_cap").alias("reason"))
+    first = labelled.orderBy("seed_ord", "url").limit(cap)
+    first = first.select(F.col("seed_ord").alias("_seed"), F.col("url").alias("_url"))
+    same = F.col("seed_ord").eqNullSafe(F.col("_seed")) & F.col("url").eqNullSafe(F.col("_url"))
+    return labelled.join(first, same, "left_anti").select("seed_ord", "url", F.lit("over_cap").alias("reason"))
+
+
 def failed_links(scored: DataFrame) -> DataFrame:
     """Links of the frontier without features, as rejects."""
     return scored.filter("status = 'failed'").select("seed_ord", "url", F.lit("no_features").alias("reason"))

@@ -139,6 +139,9 @@ def run_expand_links(spark: SparkSession, args) -> None:
             .unionByName(expand.failed_links(scored))
         )
         dropped.withColumn("rejected_at", F.current_timestamp()).write.mode("append").parquet(args.rejects)
+        # Good links without a place are in a folder of their own beside the rejects.
+        beyond = expand.over_cap(scored, None if args.no_cap else args.cap).withColumn("rejected_at", F.current_timestamp())
+        beyond.write.mode("append").parquet(args.rejects.rstrip("/") + "-over-cap")
 
 
 def run_merge(spark: SparkSession, args) -> None:
