@@ -17,6 +17,7 @@ from urlrisk.llm import (
     signature_tree,
     spaced_seeds,
     suffix_dedup,
+    turn_repair,
 )
 from urlrisk.llm import sqltext as S
 
@@ -145,3 +146,28 @@ def op10_bpe_digests(spark, sf_dir):
     """Digests of the byte-level BPE ids and of the decoded bytes of every document."""
     ranks = merge_replay.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return merge_replay.token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a fault in a quarter of the rows; ``there`` is false where the row is dropped."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(x).cast("string"), F.lit(" ")) for x in ("conv_id", "turn")))
+    fault = F.crc32(key) % 20
+    text = F.coalesce("text", F.lit(" "))
+    return rows.select("conv_id", "turn", "role", text.alias("text"), fault.alias("fault")).select(
+        "conv_id",
+        "turn",
+        F.when(F.col("fault") == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(F.col("fault").isin(0, 1), "")
+        .when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", ""))
+        .otherwise(F.col("text"))
+        .alias("text"),
+        (F.col("fault") != 0).alias("there"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy"),
+    )
+
+
+@query()
+def op11_turn_repair(spark, sf_dir):
+    """Faults, cheapest repair and digest of the repaired turns of every damaged conversation."""
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    return turn_repair.repair_digests(turn_repair.repair_conversations(rows, there_col="there"))
