@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterator
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +18,7 @@ from urlrisk.llm import (
     host_words,
     merge_replay,
     piecewise_hash,
+    prefix_trie,
     rule_quality,
     signature_tree,
     spaced_seeds,
@@ -20,6 +26,8 @@ from urlrisk.llm import (
     turn_repair,
 )
 from urlrisk.llm import sqltext as S
+from urlrisk.llm.arrays import slices
+from urlrisk.session import materialize
 
 N_SHARDS = 40
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -171,3 +179,75 @@ def op11_turn_repair(spark, sf_dir):
     """Faults, cheapest repair and digest of the repaired turns of every damaged conversation."""
     rows = damaged(table(spark, sf_dir, "conversations"))
     return turn_repair.repair_digests(turn_repair.repair_conversations(rows, there_col="there"))
+
+
+# A conversation takes over turns of the first of its block of ids.
+ID_BLOCK = 20
+HEAD_CHOICES = 4
+
+
+def rebuilt(rows: DataFrame) -> DataFrame:
+    """Conversations whose first turns, none to three by a hash of the id, come from the first of their twenty.
+
+    ``(conv_id, turn, role, text, there)``, turns counted from 0; ``there`` is
+    false in the one row of a conversation that has no turn left. Rows are taken
+    by turn, nulls first, then by role and text.
+    """
+    narrow = rows.filter("conv_id IS NOT NULL").select(
+        (F.col("conv_id") - F.col("conv_id") % ID_BLOCK).alias("_head"),
+        F.col("conv_id").cast("long").alias("conv_id"),
+        "turn",
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    ordered = narrow.repartition("_head").sortWithinPartitions(
+        "_head", F.col("conv_id") != F.col("_head"), "conv_id", F.col("turn").asc_nulls_first(), "role", "text"
+    )
+    schema = pa.schema(
+        [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("there", pa.bool_())]
+    )
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        block = conv = None
+        heads: list[tuple[str, str]] = []
+        taken = own = written = 0
+        for batch in slices(batches, "text"):
+            out = []
+            for head, c, role, text in zip(*(batch.column(x).to_pylist() for x in ("_head", "conv_id", "role", "text"))):
+                if c != conv:
+                    if conv is not None and not written:
+                        out.append((conv, None, None, None, False))
+                    if head != block:
+                        block, heads = head, []
+                    conv, own, written = c, 0, 0
+                    taken = 0 if c == head else zlib.crc32(str(c).encode()) % HEAD_CHOICES
+                    for turn in heads[:taken]:
+                        out.append((c, written, *turn, True))
+                        written += 1
+                if c == head and len(heads) < HEAD_CHOICES - 1:
+                    heads.append((role, text))
+                own += 1
+                if own > taken:
+                    out.append((c, written, role, text, True))
+                    written += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+        if conv is not None and not written:
+            yield pa.RecordBatch.from_pylist([{"conv_id": conv, "there": False}], schema)
+
+    return ordered.mapInArrow(work, "conv_id long, turn long, role string, text string, there boolean")
+
+
+@query()
+def op13_prefix_trie(spark, sf_dir):
+    """Every node of the trie of rebuilt conversations, with totals and the digest of what ends there."""
+    rows = rebuilt(table(spark, sf_dir, "conversations"))
+    paths = materialize(prefix_trie.conversation_paths(rows, there_col="there"), "trie-paths")
+    digests = prefix_trie.ending_digests(prefix_trie.endings(paths))
+    none = hashlib.sha256().hexdigest()
+    return (
+        prefix_trie.trie_nodes(paths)
+        .join(digests, "node_id", "left")
+        .withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(none)))
+        .drop("node_id")
+    )
