@@ -28,7 +28,7 @@ from urlrisk.session import materialize
 ID_BYTES = 16
 WORD = r"[^\x20\x09-\x0D]+"
 # Items peeled at once in the first round, and their growth from round to round.
-CHUNK_ITEMS = 1 << 16
+CHUNK_ITEMS = 1 << 12
 CHUNK_GROWTH = 8
 # Parents that children closed in another round are looked up in: up to so many rows are broadcast.
 BROADCAST_ROWS = 200_000
