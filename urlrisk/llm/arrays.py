@@ -61,6 +61,35 @@ class Rolling:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """A 64-bit hash of each byte range; with ``fold`` A-Z count as a-z.
+
+    A range is read as numbers of eight bytes. Each is mixed with its place and the
+    length, the sum is mixed again: no polynomial, so strings that one cancels
+    modulo 2^64 (Thue-Morse and its kin) have hashes of their own.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = LOWER[data] if fold else data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    lengths = (ends - starts).astype(np.int64)
+    count = np.maximum((lengths + 7) >> 3, 1)
+    first = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(first, count)
+    left = np.repeat(lengths, count) - 8 * place
+    chunk = eight[np.minimum(np.repeat(starts, count) + 8 * place, len(data))]
+    keep = np.clip(left, 0, 8).astype(np.uint64) * np.uint64(8)
+    short = keep < 64
+    chunk[short] &= (np.uint64(1) << keep[short]) - np.uint64(1)
+    seed = mix(np.repeat(lengths, count).astype(np.uint64) * np.uint64(BASE) + place.astype(np.uint64) * np.uint64(MIX_B))
+    return mix(np.add.reduceat(mix(chunk ^ seed) * np.uint64(BASE), first))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after another, and where each begins; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,6 +16,7 @@ from urlrisk.llm import (
     chain_toxicity,
     chat_render,
     host_words,
+    interpolated_lm,
     merge_replay,
     piecewise_hash,
     prefix_trie,
@@ -181,6 +182,18 @@ def op11_turn_repair(spark, sf_dir):
     return turn_repair.repair_digests(turn_repair.repair_conversations(rows, there_col="there"))
 
 
+@query()
+def op12_interpolated_lm(spark, sf_dir):
+    """Log probability of every document under a model learned without a seventh of them."""
+    remainder = "pmod(crc32(cast(doc_id AS string)), 7)"
+    corpus = interpolated_lm.count_corpus(table(spark, sf_dir, "documents"), f"NOT {remainder} <=> 2", f"{remainder} = 5")
+    scored = interpolated_lm.score_corpus(corpus, interpolated_lm.learn_weights(corpus))
+    return scored.select(
+        "doc_id", (F.col("part") == interpolated_lm.ONLY_SCORED).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 # A conversation takes over turns of the first of its block of ids.
 ID_BLOCK = 20
 HEAD_CHOICES = 4
