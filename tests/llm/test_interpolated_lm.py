@@ -152,6 +152,16 @@ def test_scores_and_weights(spark, table, monkeypatch, order, bucket_bytes):
     assert learned > even and abs(learned - likelihood(plain)) < 1e-3 * abs(even)
 
 
+def test_codes_of_keys_and_counts():
+    pick = np.random.default_rng(4)
+    for high in (1, 2, 200, 1 << 20, 1 << 45, 1 << 56):
+        for n in (1, 7, 8, 1000):
+            steps = pick.integers(0, high, n).astype(np.uint64)
+            assert (lm._decoded(lm._coded(steps), n) == steps).all()
+            counts = pick.choice([0, 1, 254, 255, 256, high], n)
+            assert (lm._unpacked(lm._packed(counts), n) == counts).all()
+
+
 def test_probabilities_sum_to_one(spark, table):
     """Over the vocabulary and one unknown word, in seen and unseen contexts."""
     rows = [t for i, t in corpus_rows() if remainder(i) != 2]

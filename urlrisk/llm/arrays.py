@@ -61,6 +61,8 @@ class Rolling:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
+# Byte ranges hashed in one step, for memory.
+RANGES_AT_ONCE = 1 << 17
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -72,17 +74,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     length, the sum is mixed again: no polynomial, so strings that one cancels
     modulo 2^64 (Thue-Morse and its kin) have hashes of their own.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = LOWER[data] if fold else data
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    lengths = (ends - starts).astype(np.int64)
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), RANGES_AT_ONCE):
+        some = slice(k, k + RANGES_AT_ONCE)
+        out[some] = _mixed_ranges(eight, starts[some], (ends[some] - starts[some]).astype(np.int64))
+    return out
+
+
+def _mixed_ranges(eight: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     count = np.maximum((lengths + 7) >> 3, 1)
     first = np.cumsum(count) - count
     place = np.arange(int(count.sum())) - np.repeat(first, count)
     left = np.repeat(lengths, count) - 8 * place
-    chunk = eight[np.minimum(np.repeat(starts, count) + 8 * place, len(data))]
+    chunk = eight[np.minimum(np.repeat(starts, count) + 8 * place, len(eight) - 1)]
     keep = np.clip(left, 0, 8).astype(np.uint64) * np.uint64(8)
     short = keep < 64
     chunk[short] &= (np.uint64(1) << keep[short]) - np.uint64(1)

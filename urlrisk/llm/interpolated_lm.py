@@ -35,7 +35,8 @@ from urlrisk.session import new_path
 
 ORDER = 3
 # Bytes of text in a block (or one longer text) and, about, in the n-grams of a bucket.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 6 << 20
+SLICE_BYTES = 1 << 18
 BUCKET_BYTES = 4 << 20
 # Blocks in one bucket of the tables, at least.
 TABLE_BYTES = 32 << 20
@@ -45,12 +46,12 @@ END, PAD = np.uint64(0xE4D), np.uint64(0x9AD)
 # Parts of a document's tokens in the estimates.
 LEARNED, HELD_BACK, ONLY_SCORED = 0, 1, 2
 # Bins of a ratio per doubling, and of a count beyond EXACT.
-RATIO_BINS, COUNT_BINS, EXACT = 4, 16, 64
+RATIO_BINS, COUNT_BINS, EXACT = 2, 16, 64
 RATIO_SHIFT = 512
 ROUNDS = 60
 
 REQUEST = "bucket int, block long, held boolean, n int, keys binary, counts binary"
-ANSWER = "block long, bucket int, learned binary, held binary, bins array<struct<bin:int,types:long,weight:double,total:double>>"
+ANSWER = "block long, bucket int, counts binary, learned binary, bins array<struct<bin:int,types:long,weight:double,total:double>>"
 # Bins of the totals among the bins of counts.
 ALL_TOKENS, ALL_TYPES, LEARNED_TOKENS, LEARNED_TYPES = -1, -2, -3, -4
 
@@ -106,6 +107,7 @@ class _Tokens:
             gram = mix(before * np.uint64(MIX_B) + self.code + np.uint64(k))
             pad = mix(pad * np.uint64(MIX_B) + PAD + np.uint64(k))
             keys.append(self._key(gram, k))
+        del gram, before
         self.keys = np.concatenate(keys)
 
     def _key(self, gram: np.ndarray, order: int) -> np.ndarray:
@@ -124,17 +126,43 @@ class _Tokens:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """One byte per count; 255 stands for one of the wide counts, which follow."""
+    """One byte per count, 255 for one of the wide counts, which follow; few values are frequent, so compressed."""
     wide = counts[counts >= 255]
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + wide.astype("<u8").tobytes()
+    raw = np.minimum(counts, 255).astype(np.uint8).tobytes() + wide.astype("<u8").tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(packed[4:], int.from_bytes(packed[:4], "little"), "zstd", asbytes=True)
     counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
     counts[counts == 255] = np.frombuffer(raw, "<u8", offset=n)
     return counts
 
 
+def _coded(steps: np.ndarray) -> bytes:
+    """Rice code of the distances between sorted keys: their low bits, then the rest in unary."""
+    low = max(0, int(float(steps.mean()) * 0.69).bit_length() - 1)
+    whole, rest = divmod(low, 8)
+    high = (steps >> np.uint64(low)).astype(np.int64)
+    ends = np.cumsum(high + 1)
+    unary = np.zeros(int(ends[-1]), bool)
+    unary[ends - 1] = True
+    bits = (steps >> np.uint64(8 * whole))[:, None] >> np.arange(rest, dtype=np.uint64) & np.uint64(1)
+    return bytes([low]) + pack(steps, whole).tobytes() + np.packbits(bits.astype(bool)).tobytes() + np.packbits(unary).tobytes()
+
+
+def _decoded(raw: bytes, n: int) -> np.ndarray:
+    whole, rest = divmod(raw[0], 8)
+    at, end = 1 + n * whole, 1 + n * whole + (n * rest + 7) // 8
+    steps = unpack(raw[1:at], whole) if whole else np.zeros(n, np.uint64)
+    bits = np.unpackbits(np.frombuffer(raw[at:end], np.uint8), count=n * rest).reshape(n, rest)
+    for k in range(rest):
+        steps |= bits[:, k].astype(np.uint64) << np.uint64(8 * whole + k)
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(raw[end:], np.uint8)))[:n]
+    high = np.diff(ends, prepend=-1) - 1
+    return steps | high.astype(np.uint64) << np.uint64(raw[0])
+
+
 def _requests(block: int, texts: pa.Array, parts: np.ndarray, order: int, bits: int) -> Iterator[dict]:
     """Runs of distinct keys with their counts in the block, one per bucket."""
     tokens = _Tokens(texts, order)
@@ -145,10 +173,9 @@ def _requests(block: int, texts: pa.Array, parts: np.ndarray, order: int, bits:
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
         step = np.diff(keys[a:b], prepend=np.uint64(int(bucket[a]) << (KEY_BITS - bits)))
-        width = max(1, (int(step.max()).bit_length() + 7) // 8)
         yield {
             "bucket": int(bucket[a]), "block": block, "held": bool(parts[0] == HELD_BACK), "n": int(b - a),
-            "keys": pack(step, width).tobytes(), "counts": _packed(counts[a:b]),
+            "keys": _coded(step), "counts": _packed(counts[a:b]),
         }
 
 
@@ -167,7 +194,7 @@ def _answers(runs: pa.Table, bits: int) -> Iterator[dict]:
     floor = np.uint64(bucket << (KEY_BITS - bits))
     keys, counts = [], []
     for row in rows:
-        keys.append(np.cumsum(unpack(row["keys"], len(row["keys"]) // row["n"]), dtype=np.uint64) + floor)
+        keys.append(np.cumsum(_decoded(row["keys"], row["n"]), dtype=np.uint64) + floor)
         counts.append(_unpacked(row["counts"], row["n"]))
     sizes = [row["n"] for row in rows]
     held = np.repeat([row["held"] for row in rows], sizes)
@@ -182,7 +209,9 @@ def _answers(runs: pa.Table, bits: int) -> Iterator[dict]:
     back = np.bincount(place[held], counts[held], n).astype(np.int64)
     learned = np.bincount(place[~held], counts[~held], n).astype(np.int64)
     for row, mine in zip(rows, np.split(place, np.cumsum(sizes)[:-1]), strict=True):
-        yield {"block": row["block"], "bucket": bucket, "learned": _packed(learned[mine]), "held": _packed(back[mine]), "bins": None}
+        # Counts without the documents held back are of use to these only.
+        apart = _packed(learned[mine]) if row["held"] else None
+        yield {"block": row["block"], "bucket": bucket, "counts": _packed((learned + back)[mine]), "learned": apart, "bins": None}
     unigram = (ordered[fresh] & np.uint64((1 << ORDER_BITS) - 1)) == 0
     learned, back = learned[unigram], back[unigram]
     bins = [
@@ -196,7 +225,7 @@ def _answers(runs: pa.Table, bits: int) -> Iterator[dict]:
     weight = np.bincount(at, back[seen], len(found))
     total = np.bincount(at, back[seen] * learned[seen], len(found))
     bins += [{"bin": int(b), "types": 0, "weight": float(w), "total": float(t)} for b, w, t in zip(found, weight, total, strict=True)]
-    yield {"block": -1 - bucket, "bucket": bucket, "learned": None, "held": None, "bins": bins}
+    yield {"block": -1 - bucket, "bucket": bucket, "counts": None, "learned": None, "bins": bins}
 
 
 def _batches(rows: Iterator[dict], schema: pa.Schema, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -265,7 +294,7 @@ def count_corpus(
                 ["block", "held", "ids", "parts", "texts"],
             )
 
-        for batch in slices(batches, "text", BLOCK_BYTES):
+        for batch in slices(batches, "text", min(SLICE_BYTES, BLOCK_BYTES)):
             is_back = pc.equal(batch.column("part"), HELD_BACK)
             for back, mask in ((True, is_back), (False, pc.invert(is_back))):
                 some = batch.filter(mask)
@@ -291,7 +320,7 @@ def count_corpus(
 
     def answer(batches: Iterator[pa.RecordBatch]):
         a_bin = pa.struct([("bin", pa.int32()), ("types", pa.int64()), ("weight", pa.float64()), ("total", pa.float64())])
-        told = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("learned", pa.binary()), ("held", pa.binary()),
+        told = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("learned", pa.binary()),
                           ("bins", pa.list_(a_bin))])
         for runs in grouped(batches, "bucket"):
             yield from _batches(_answers(runs, bits), told)
@@ -300,7 +329,7 @@ def count_corpus(
     told = asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(answer, ANSWER)
     # A block has one answer per bucket, together as long as its own n-grams.
     per_block = told.repartition(buckets, "block").groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("bucket", "learned", "held"))).alias("answers"),
+        F.sort_array(F.collect_list(F.struct("bucket", "counts", "learned"))).alias("answers"),
         F.first("bins", ignorenulls=True).alias("bins"),
     )
     return CountedCorpus(spark, blocks, _save(per_block, "lm_answers", buckets), order, bits, id_type)
@@ -319,10 +348,8 @@ class _Counted:
         asked, sizes = np.unique(keys >> np.uint64(KEY_BITS - bits), return_counts=True)
         if answers.field("bucket").to_numpy().tolist() != asked.tolist():
             raise ValueError("the answers are not those to this block")
-        counts = []
-        for learned, held, n in zip(answers.field("learned").to_pylist(), answers.field("held").to_pylist(), sizes, strict=True):
-            counts.append(_unpacked(learned, n) if learned_only else _unpacked(learned, n) + _unpacked(held, n))
-        of_key = np.concatenate(counts)
+        told = answers.field("learned" if learned_only else "counts").to_pylist()
+        of_key = np.concatenate([_unpacked(packed, n) for packed, n in zip(told, sizes.tolist(), strict=True)])
         n = len(self.tokens.code)
         self.grams = [of_key[place[k * n : (k + 1) * n]] for k in range(order)]
 
@@ -387,7 +414,7 @@ def learn_weights(corpus: CountedCorpus) -> Weights:
     Estimates come from the learned documents alone. The weight of the word
     frequencies needs the histogram of their counts; those of the higher orders
     are found together, from the histogram of the tokens by context buckets and
-    ratios of the estimates to the word's probability, in quarters of a doubling,
+    ratios of the estimates to the word's probability, in halves of a doubling,
     each cell with its mean ratios. Both have as many rows as bins, whatever the
     corpus. A bucket that no held-back token met takes the weight of the nearest
     lower one; without held-back documents all weights are one half, and an
