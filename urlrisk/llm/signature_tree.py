@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from urlrisk.llm.arrays import (
     ASCII_SPACE,
-    Rolling,
     content_number,
     distinct_within,
     grouped,
@@ -35,6 +34,7 @@ from urlrisk.llm.arrays import (
     sums_by,
     text_bytes,
     unpack,
+    word_hashes,
     words,
 )
 from urlrisk.llm.groups import components
@@ -53,7 +53,7 @@ LEAF = 8
 NO_ID = -(1 << 63)
 
 
-def shingle_sets(texts: pa.Array, tables: dict | None = None, size: int = WORDS):
+def shingle_sets(texts: pa.Array, size: int = WORDS):
     """Text number and hash of each distinct shingle, sorted by both.
 
     A-Z count as a-z, words are runs without ASCII white space; a text with
@@ -61,8 +61,7 @@ def shingle_sets(texts: pa.Array, tables: dict | None = None, size: int = WORDS)
     """
     data, at = text_bytes(texts)
     starts, ends, text = words(data, at, ASCII_SPACE)
-    rolling = Rolling(data, fold=True, tables=tables)
-    hashes = mix(rolling.of(starts, ends) + (ends - starts).astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
+    hashes = word_hashes(data, starts, ends, fold=True)
     tokens, owner = shingles(hashes, text, len(at) - 1, size)
     return distinct_within(owner, tokens)
 
@@ -92,7 +91,6 @@ def _pack_shingles(parts: int, parts_bits: int):
     """Rows of documents to packed shingles by part, and one row per chunk with its documents."""
 
     def work(batches: Iterator[pa.RecordBatch]):
-        tables: dict = {}
         names = [c.split()[0] for c in PACKED.split(", ")]
         held: list = []
         size = rows = 0
@@ -140,7 +138,7 @@ def _pack_shingles(parts: int, parts_bits: int):
             if held and (size > CHUNK_BYTES or rows + n > CHUNK_ROWS):
                 yield flush()
                 held, size, rows = [], 0, 0
-            owner, tokens = shingle_sets(batch.column("_text"), tables)
+            owner, tokens = shingle_sets(batch.column("_text"))
             ids = np.frombuffer(batch.column("_id").buffers()[1], np.int64, n, batch.column("_id").offset * 8)
             marks = np.frombuffer(batch.column("_mark").buffers()[1], np.int64, n, batch.column("_mark").offset * 8)
             held.append((owner, tokens, set_keys(owner, tokens, n), ids, rows, marks))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlrisk.llm.arrays import Rolling, mix, slices, text_bytes, words
+from urlrisk.llm.arrays import ragged, slices, text_bytes, word_hashes, words
 
 # 1: the token counts, 0: it is ignored. However the differing tokens lie in a stretch of at least MIN_TOKENS with
 # MIN_EQUAL equal ones, one of these masks falls on equal tokens only; the tests prove it for all lengths.
@@ -30,6 +30,9 @@ MIN_EQUAL = 0.8
 # Benchmark text that is held in memory at once; more is done in further passes over the documents.
 BLOCK_BYTES = 8 << 20
 
+# Hits of seeds that are expanded at once.
+HITS_AT_ONCE = 1 << 18
+
 # A token is a run of letters, digits and bytes above 127; A-Z count as a-z.
 _NO_WORD = np.ones(256, bool)
 _NO_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -37,12 +40,11 @@ _NO_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 RESULT = "item_id long, n_tokens int, n_equal int, item_tokens int, start int, end int"
 
 
-def token_hashes(texts: pa.Array, tables: dict | None = None):
+def token_hashes(texts: pa.Array):
     """Hash, text number, start and end byte of all tokens."""
     data, at = text_bytes(texts)
     starts, ends, text = words(data, at, _NO_WORD)
-    rolling = Rolling(data, fold=True, tables=tables)
-    hashes = mix(rolling.of(starts, ends)) if len(starts) else np.zeros(0, np.uint64)
+    hashes = word_hashes(data, starts, ends, fold=True)
     return hashes, text, starts - at[:-1][text], ends - at[:-1][text]
 
 
@@ -92,8 +94,8 @@ def item_masks(n: int, min_equal: float) -> list[str]:
 class Benchmark:
     """Tokens of some items and, per mask, the sorted hashes of their windows."""
 
-    def __init__(self, ids: Sequence[int], texts: Sequence[str], min_tokens: int = MIN_TOKENS, min_equal: float = MIN_EQUAL):
-        self.ids = np.array(ids, np.int64)
+    def __init__(self, ids: Sequence[int | None], texts: Sequence[str], min_tokens: int = MIN_TOKENS, min_equal: float = MIN_EQUAL):
+        self.ids = list(ids)
         self.hashes, owner, _, _ = token_hashes(pa.array(texts, pa.large_string()))
         self.first = np.searchsorted(owner, np.arange(len(ids) + 1))
         masks, least = stretch_masks(min_tokens, min_equal)
@@ -117,24 +119,28 @@ class Benchmark:
 
     def overlaps(self, hashes: np.ndarray, text: np.ndarray, n_texts: int, min_tokens: int, min_equal: float):
         """``(text, item, n_tokens, n_equal, item tokens, first token, last token)`` of the best stretch per pair."""
-        found = []
+        edges = np.searchsorted(text, np.arange(n_texts + 1))
+        # One look for each text, item and diagonal; hits are expanded a piece at a time.
+        looks: set[tuple] = set()
         for mask, seeds, places, sieve in zip(self.masks, self.seeds, self.places, self.sieves, strict=True):
             own, at = seed_hashes(hashes, text, mask)
             likely = sieve[own >> np.uint64(44)]
             own, at = own[likely], at[likely]
-            low, high = np.searchsorted(seeds, own, "left"), np.searchsorted(seeds, own, "right")
-            count = high - low
-            hit = np.repeat(at, count)
-            step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            place = places[np.repeat(low, count) + step]
-            found.append((hit, place))
-        hit, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        if not len(hit):
-            return []
-        # One look for each text, item and diagonal.
-        edges = np.searchsorted(text, np.arange(n_texts + 1))
-        item = np.searchsorted(self.first, place, "right") - 1
-        looks = set(zip(text[hit].tolist(), item.tolist(), (hit - (place - self.first[item])).tolist(), strict=True))
+            low = np.searchsorted(seeds, own, "left")
+            count = np.searchsorted(seeds, own, "right") - low
+            some = count > 0
+            at, low, count = at[some], low[some], count[some]
+            ends = np.cumsum(count)
+            first = 0
+            while first < len(at):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] - count[first] + HITS_AT_ONCE, "right")))
+                hit = np.repeat(at[first:last], count[first:last])
+                place = places[ragged(low[first:last], count[first:last])]
+                item = np.searchsorted(self.first, place, "right") - 1
+                begin = hit - (place - self.first[item])
+                new = np.unique(np.stack([text[hit], item, begin], 1), axis=0)
+                looks.update(map(tuple, new.tolist()))
+                first = last
         best: dict[tuple[int, int], tuple] = {}
         for doc, which, begin in looks:
             i0, i1 = int(self.first[which]), int(self.first[which + 1])
@@ -180,7 +186,7 @@ def benchmark_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes:
         if ids and size + more > block_bytes:
             yield ids, texts
             ids, texts, size = [], [], 0
-        ids.append(row["id"] if row["id"] is not None else -1)
+        ids.append(row["id"])
         texts.append(row["text"])
         size += more
     if ids:
@@ -215,9 +221,9 @@ def find_overlaps(
         shared = spark.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared):
-            block, tables = Benchmark(*shared.value, min_tokens, min_equal), {}
+            block = Benchmark(*shared.value, min_tokens, min_equal)
             for batch in slices(batches, "_text"):
-                hashes, text, starts, ends = token_hashes(batch.column("_text"), tables)
+                hashes, text, starts, ends = token_hashes(batch.column("_text"))
                 rows = block.overlaps(hashes, text, batch.num_rows, min_tokens, min_equal)
                 if not rows:
                     continue
@@ -225,7 +231,7 @@ def find_overlaps(
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_id").take(pa.array(doc)),
-                        pa.array(block.ids[item]),
+                        pa.array([block.ids[k] for k in item], pa.int64()),
                         *(pa.array(x, pa.int32()) for x in (n, m, of)),
                         pa.array(starts[np.array(first)].astype(np.int32)),
                         pa.array(ends[np.array(last) - 1].astype(np.int32)),
@@ -241,7 +247,11 @@ def find_overlaps(
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``(id, item_ids, n_items, longest)``: one row per id that overlaps with the benchmark."""
+    """``(id, item_ids, n_items, longest)``: one row per id that overlaps with the benchmark.
+
+    Rows with equal ids, null ids among them, give one row. An item without an id
+    marks the documents that hold it, but is neither listed nor counted.
+    """
     found = find_overlaps(docs, items, id_col, **options)
     # At most one row per row and item, and an item list is no longer than the benchmark.
     return found.groupBy(id_col).agg(
@@ -266,9 +276,9 @@ def drop_contaminated(
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared):
-            block, tables = Benchmark(*shared.value, min_tokens, min_equal), {}
+            block = Benchmark(*shared.value, min_tokens, min_equal)
             for batch in slices(batches, text_col):
-                hashes, text, _, _ = token_hashes(batch.column(text_col), tables)
+                hashes, text, _, _ = token_hashes(batch.column(text_col))
                 rows = block.overlaps(hashes, text, batch.num_rows, min_tokens, min_equal)
                 clean = np.ones(batch.num_rows, bool)
                 clean[[r[0] for r in rows]] = False
