@@ -97,9 +97,9 @@ def semi_precomputed(spark, sf_dir):
     return lookups.precomputed_in(precomputed(spark, sf_dir), clean(spark, sf_dir))
 
 
-_TABLE_VIEWS = f"{_PRECOMPUTED_VIEWS} dns_snapshot"
+TABLE_VIEWS = f"{_PRECOMPUTED_VIEWS} dns_snapshot"
 _ALL = ", ".join(FEATURES)
-_GIVEN_FIRST = {
+GIVEN_FIRST = {
     **_CLEAN_GIVEN,
     "extracted": f"SELECT url, label, {sql.features()}, {sql.DNS}, {sql.STATUS} FROM ({sql.split('clean')}) s",
     "feature_rows": f"""SELECT url, label, {', '.join(
@@ -109,7 +109,7 @@ _GIVEN_FIRST = {
 }
 
 
-@query(oracle(_TABLE_VIEWS, f"SELECT url, {_ALL} FROM feature_rows", _GIVEN_FIRST))
+@query(oracle(TABLE_VIEWS, f"SELECT url, {_ALL} FROM feature_rows", GIVEN_FIRST))
 def feature_table(spark, sf_dir):
     return _features_of(spark, sf_dir, clean(spark, sf_dir))
 
@@ -121,7 +121,7 @@ def _features_of(spark, sf_dir, labelled):
     return table.select("url", *FEATURES)
 
 
-@query(oracle(_TABLE_VIEWS, f"SELECT url, label, {_ALL} FROM feature_rows", _GIVEN_FIRST))
+@query(oracle(TABLE_VIEWS, f"SELECT url, label, {_ALL} FROM feature_rows", GIVEN_FIRST))
 def training_set(spark, sf_dir):
     labelled = clean(spark, sf_dir)
     return lookups.training_set(_features_of(spark, sf_dir, labelled), labelled)

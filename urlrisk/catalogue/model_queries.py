@@ -1,18 +1,19 @@
-"""Fitted-model queries. Their scores are not expressible in SQL; see the property tests."""
+"""Queries with a model: the fitted forest, whose fit no SQL expresses, and randomised trees, which SQL can grow."""
 
 from __future__ import annotations
 
 from functools import lru_cache
 
 from urlrisk.catalogue import sqltext as sql
-from urlrisk.catalogue.feature_queries import training_set
+from urlrisk.catalogue.feature_queries import GIVEN_FIRST, TABLE_VIEWS, training_set
 from urlrisk.catalogue.fixtures import STATUS_SQL, oracle, view
 from urlrisk.catalogue.link_queries import FRONTIER_CAP, links_table, statuses, visited
 from urlrisk.catalogue.registry import query
 from urlrisk.catalogue.request_queries import request_files
 from urlrisk.operators.sample import balanced_sample
-from urlrisk.plans import expand, model, scoring
-from urlrisk.session import new_path
+from urlrisk.plans import expand, forest, model, scoring
+from urlrisk.schema import FEATURES, LINK_CAP, SEED
+from urlrisk.session import materialize, new_path
 from urlrisk.sources.sinks import read_table
 from urlrisk.streaming import serve
 
@@ -41,21 +42,65 @@ def feature_importance(spark, sf_dir):
     return trained(spark, sf_dir).importances
 
 
-@query()
+def random_trees(spark, sf_dir, seed: int = SEED) -> forest.Forest:
+    """One forest per session, data folder and seed, over the whole training set."""
+    return _random_trees(spark.sparkContext.applicationId, sf_dir, seed)
+
+
+@lru_cache(maxsize=8)
+def _random_trees(_app: str, sf_dir: str, seed: int) -> forest.Forest:
+    from pyspark.sql import SparkSession
+
+    return forest.fit_random_trees(materialize(training_set(SparkSession.active(), sf_dir), "training-set"), seed=seed)
+
+
+# What the trees are grown from, and the features of some rows as the trees want them.
+_MODEL_VIEWS = TABLE_VIEWS
+_ALL = ", ".join(FEATURES)
+
+
+def _with_features(rel: str, keep: str) -> str:
+    return f"SELECT {keep}, {sql.features()}, {sql.DNS}, {sql.STATUS} FROM ({sql.split(rel)}) s"
+
+
+_SCORED = {
+    **GIVEN_FIRST,
+    "asked": _with_features("dirty_urls", "page_id, url"),
+    "usable": "SELECT * FROM asked WHERE status = 'ok'",
+    **sql.forest("usable", "feature_rows", "page_id"),
+}
+
+
+@query(
+    oracle(
+        f"dirty_urls {_MODEL_VIEWS}",
+        "SELECT page_id, url, prediction, confidence, status FROM asked LEFT JOIN scored USING (page_id)",
+        _SCORED,
+    )
+)
 def score_urls(spark, sf_dir):
-    scored = scoring.score_urls(
+    """Prediction and confidence of every URL, nulls where its features failed."""
+    return scoring.score_urls(
+        view(spark, sf_dir, "dirty_urls"), random_trees(spark, sf_dir),
+        view(spark, sf_dir, "dns_snapshot"), ["page_id"],
+    )
+
+
+@query()
+def score_fitted(spark, sf_dir):
+    """The same with the forest that the library fits."""
+    return scoring.score_urls(
         view(spark, sf_dir, "dirty_urls"), trained(spark, sf_dir).model,
         view(spark, sf_dir, "dns_snapshot"), ["page_id"],
     )
-    return scored
 
 
 @query(
     oracle("dirty_urls", f"SELECT page_id, url, {sql.STATUS} FROM ({sql.split('dirty_urls')}) x")
 )
 def score_status(spark, sf_dir):
-    """Which URLs get a score: the part of ``score_urls`` that does not depend on the fit."""
-    return score_urls(spark, sf_dir).select("page_id", "url", "status")
+    """Which URLs get a score: the part of ``score_fitted`` that does not depend on the fit."""
+    return score_fitted(spark, sf_dir).select("page_id", "url", "status")
 
 
 @query(
@@ -77,12 +122,29 @@ def labelled_links(spark, sf_dir):
     return labelled.filter(labelled["label"].isin(0, 1)).select("url")
 
 
-@query()
+@query(
+    oracle(
+        f"visited rich_pages {_MODEL_VIEWS}",
+        f"""SELECT url, prediction AS label FROM (SELECT seed_ord, url, prediction
+          FROM usable JOIN scored USING (seed_ord, url) ORDER BY seed_ord, url LIMIT {LINK_CAP}) x""",
+        {
+            **sql.FRONTIER,
+            "statuses": STATUS_SQL,
+            **GIVEN_FIRST,
+            "frontier": """SELECT seed_ord, link AS url FROM firsts WHERE netloc NOT IN (SELECT netloc FROM visited)
+              AND link IN (SELECT url FROM statuses WHERE status < 400)""",
+            "asked": _with_features("frontier", "seed_ord, url"),
+            "usable": "SELECT * FROM asked WHERE status = 'ok'",
+            **sql.forest("usable", "feature_rows", "seed_ord, url"),
+        },
+    )
+)
 def pseudo_label(spark, sf_dir):
+    """Labels of the first new reachable links, by randomised trees."""
     found = links_table(spark, sf_dir)
     return expand.expand(
         found, visited(spark, sf_dir), statuses(spark, found),
-        trained(spark, sf_dir).model, view(spark, sf_dir, "dns_snapshot"),
+        random_trees(spark, sf_dir), view(spark, sf_dir, "dns_snapshot"),
     )
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from urlrisk.schema import LEXICAL_FEATURES
+from urlrisk.plans.forest import LEAF_UNITS, RANDOM_DEPTH, RANDOM_TREES, STEPS, random_split
+from urlrisk.schema import FEATURES, LEXICAL_FEATURES, SEED
 
 SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
 _START = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?"
@@ -152,3 +153,35 @@ FRONTIER = {
         FROM links QUALIFY row_number() OVER (
           PARTITION BY regexp_extract(link, '^[^:]*://([^/?#]*)', 1) ORDER BY page_id, link) = 1""",
 }
+
+# --- randomised trees -----------------------------------------------------------
+
+
+def _leaf(tree: int, seed: int, node: int = 1) -> str:
+    if node >> RANDOM_DEPTH:
+        return str(node)
+    name, step = random_split(tree, node, seed)
+    split = f"({name} - min_{name}) * {STEPS} <= (max_{name} - min_{name}) * {step}"
+    return f"CASE WHEN {split} THEN {_leaf(tree, seed, 2 * node)} ELSE {_leaf(tree, seed, 2 * node + 1)} END"
+
+
+def _leaves(rel: str, seed: int, keep: str) -> str:
+    """``keep`` of each row of ``rel`` with tree and leaf, a row per tree."""
+    leaves = ", ".join(_leaf(tree, seed) for tree in range(RANDOM_TREES))
+    return f"""SELECT {keep}, unnest([{leaves}]) AS leaf, unnest(range({RANDOM_TREES})) AS tree FROM {rel}, ranges"""
+
+
+def forest(rows: str, training: str, key: str, seed: int = SEED, name: str = "") -> dict[str, str]:
+    """CTE ``scored{name}``: ``key``, prediction and confidence of ``rows`` by trees counted over ``training``."""
+    ends = ", ".join(f"min({f}) AS min_{f}, max({f}) AS max_{f}" for f in FEATURES)
+    share = "ones / nullif(n1, 0)::DOUBLE"
+    return {
+        "ranges": f"SELECT {ends} FROM {training}",
+        f"shares{name}": f"""SELECT tree, leaf, floor({LEAF_UNITS} * ({share}) / (zeros / nullif(n0, 0)::DOUBLE + {share})) AS units
+          FROM (SELECT tree, leaf, count(*) FILTER (label = 0) AS zeros, count(*) FILTER (label = 1) AS ones
+            FROM ({_leaves(training, seed, 'label')}) l GROUP BY 1, 2) c,
+            (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM {training}) n""",
+        f"scored{name}": f"""SELECT {key}, CAST(p > 0.5 AS INT) AS prediction, greatest(p, 1 - p) AS confidence
+          FROM (SELECT {key}, sum(coalesce(units, {LEAF_UNITS // 2})) / {float(LEAF_UNITS * RANDOM_TREES)} AS p
+            FROM ({_leaves(rows, seed, key)}) l LEFT JOIN shares{name} USING (tree, leaf) GROUP BY {key}) v""",
+    }

@@ -7,17 +7,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk.operators.links import crawl_frontier
+from urlrisk.plans.forest import Forest
 from urlrisk.plans.scoring import score_urls
 from urlrisk.schema import LINK_CAP
 
 
-def score_links(frontier: DataFrame, model: PipelineModel, dns: DataFrame) -> DataFrame:
+def score_links(frontier: DataFrame, model: PipelineModel | Forest, dns: DataFrame) -> DataFrame:
     """The frontier with ``url``, ``label`` and ``status``; a failed link has no label."""
     scored = score_urls(frontier.withColumnRenamed("link", "url"), model, dns)
     return scored.withColumnRenamed("prediction", "label").drop("confidence")
 
 
-def pseudo_label(frontier: DataFrame, model: PipelineModel, dns: DataFrame) -> DataFrame:
+def pseudo_label(frontier: DataFrame, model: PipelineModel | Forest, dns: DataFrame) -> DataFrame:
     """Label each link with the model; links without features are left out."""
     return score_links(frontier, model, dns).filter("status = 'ok'").select("url", "label")
 
@@ -50,7 +51,7 @@ def expand(
     links: DataFrame,
     visited: DataFrame,
     statuses: DataFrame,
-    model: PipelineModel,
+    model: PipelineModel | Forest,
     dns: DataFrame,
     cap: int | None = LINK_CAP,
 ) -> DataFrame:

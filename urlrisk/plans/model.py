@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from urlrisk.operators.metrics import eval_metrics
 from urlrisk.operators.sample import train_test_split, with_class_weight
+from urlrisk.plans.forest import Forest
 from urlrisk.schema import FEATURES, SEED
 from urlrisk.session import materialize
 
@@ -53,13 +54,20 @@ def fit(train: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SE
     return Pipeline(stages=[assembler, forest]).fit(weighted)
 
 
-def apply_model(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def apply_model(model: PipelineModel | Forest, rows: DataFrame) -> DataFrame:
     """Add ``prediction`` and ``confidence``, the probability of that prediction.
 
     Rows whose ``status`` is not ``ok`` pass through in the same projection and
     get nulls, so a bad URL never stops a batch and no second scan is needed.
     """
     ok = F.col("status") == "ok" if "status" in rows.columns else F.lit(True)
+    if isinstance(model, Forest):
+        chance = F.col("_chance")
+        return rows.withColumn("_chance", F.when(ok, model.probability())).select(
+            *rows.columns,
+            F.when(ok, (chance > 0.5).cast("int")).alias("prediction"),
+            F.when(ok, F.greatest(chance, 1 - chance)).alias("confidence"),
+        )
     filled = rows.withColumns({f"_{name}": F.col(name) for name in FEATURES}).withColumns(
         {name: F.when(ok, F.col(name)).otherwise(0) for name in FEATURES}
     )

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from urlrisk.operators.lookups import cache_lookup, extract, latest
 from urlrisk.operators.metrics import answer_columns
 from urlrisk.operators.skew import ROWS_PER_TASK, hot_keys, lookup_join
+from urlrisk.plans.forest import Forest
 from urlrisk.plans.model import apply_model
 
 
 def score_urls(
-    urls: DataFrame, model: PipelineModel, dns: DataFrame, row_id: Sequence[str] = ("url",),
+    urls: DataFrame, model: PipelineModel | Forest, dns: DataFrame, row_id: Sequence[str] = ("url",),
     store: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``prediction`` and ``confidence`` per row; nulls where features failed.
@@ -29,7 +30,7 @@ def score_urls(
     return apply_model(model, rows).select(*urls.columns, "prediction", "confidence", "status")
 
 
-def score_requests(requests: DataFrame, model: PipelineModel, dns: DataFrame) -> DataFrame:
+def score_requests(requests: DataFrame, model: PipelineModel | Forest, dns: DataFrame) -> DataFrame:
     """An answer for every request row.
 
     Each distinct URL is scored once (the distinct is partly done before the
