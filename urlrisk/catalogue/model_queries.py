@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from urlrisk.catalogue import sqltext as sql
 from urlrisk.catalogue.feature_queries import GIVEN_FIRST, TABLE_VIEWS, training_set
 from urlrisk.catalogue.fixtures import STATUS_SQL, oracle, view
 from urlrisk.catalogue.link_queries import FRONTIER_CAP, links_table, statuses, visited
 from urlrisk.catalogue.registry import query
-from urlrisk.catalogue.request_queries import request_files
+from urlrisk.catalogue.request_queries import FRESH, request_files
 from urlrisk.operators.sample import balanced_sample
 from urlrisk.plans import expand, forest, model, scoring
-from urlrisk.schema import FEATURES, LINK_CAP, SEED
+from urlrisk.schema import FEATURES, LINK_CAP, REQUESTS, SEED
 from urlrisk.session import materialize, new_path
 from urlrisk.sources.sinks import read_table
 from urlrisk.streaming import serve
@@ -148,16 +151,71 @@ def pseudo_label(spark, sf_dir):
     )
 
 
-@query()
-def stream_score(spark, sf_dir):
-    """The whole request table as a stream of files: answers with their log flag."""
-    out = new_path(spark, "stream")
+_ANSWERED = {
+    **FRESH,
+    **GIVEN_FIRST,
+    "asked": _with_features("(SELECT DISTINCT url FROM requests) r", "url"),
+    "usable": "SELECT * FROM asked WHERE status = 'ok'",
+    **sql.forest("usable", "feature_rows", "url"),
+}
+_ANSWER = """CASE WHEN prediction = 1 THEN 'Phishing' WHEN prediction = 0 THEN 'Legitimate' ELSE 'Error' END AS result,
+  coalesce(round(confidence * 100, 2), 0) AS confidence,
+  CASE WHEN prediction IS NULL THEN 'Unable to verify this URL' END AS error, confidence AS probability"""
+
+
+def _served(spark, sf_dir, files: str, out: str, seed: int = SEED):
     serve.stream_score(
-        serve.read_requests(spark, request_files(spark, sf_dir)),
-        trained(spark, sf_dir).model,
-        view(spark, sf_dir, "dns_snapshot"),
-        f"{out}/answers",
-        f"{out}/log",
-        f"{out}/checkpoint",
+        serve.read_requests(spark, files), random_trees(spark, sf_dir, seed), view(spark, sf_dir, "dns_snapshot"),
+        f"{out}/answers", f"{out}/log", f"{out}/checkpoint",
     ).awaitTermination()
     return read_table(spark, f"{out}/answers")
+
+
+@query(
+    oracle(
+        f"requests {_MODEL_VIEWS}",
+        f"SELECT event_id, user_id, ts, url, fresh, {_ANSWER} FROM walk LEFT JOIN scored USING (url)",
+        _ANSWERED,
+        recursive=True,
+    )
+)
+def stream_score(spark, sf_dir):
+    """The whole request table as a stream of files: answers with their log flag."""
+    return _served(spark, sf_dir, request_files(spark, sf_dir), new_path(spark, "stream"))
+
+
+# Grows the trees that replace the first ones in the middle of the stream.
+_LATER_SEED = SEED + 1
+
+
+@query(
+    oracle(
+        f"requests {_MODEL_VIEWS}",
+        f"""SELECT event_id, url, fresh, anchor < half AS first_model, {_ANSWER}
+        FROM walk CROSS JOIN halves LEFT JOIN (SELECT *, true AS early FROM scored UNION ALL SELECT *, false FROM scored2) s
+          ON s.url = walk.url AND s.early = (anchor < half)""".replace("event_id, url,", "event_id, walk.url AS url,"),
+        {
+            **_ANSWERED,
+            **sql.forest("usable", "feature_rows", "url", _LATER_SEED, "2"),
+            "halves": "SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS half FROM requests",
+        },
+        recursive=True,
+    )
+)
+def stream_answers(spark, sf_dir):
+    """Answers of a stream whose model is replaced half way: what repeats gets the answer of its first request."""
+    ts = F.col("ts").cast("timestamp")
+    requests = view(spark, sf_dir, "requests").withColumn("ts", ts).select(*REQUESTS.names)
+    ends = requests.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    half = (ends[0] + ends[1]) // 2
+    files, out = new_path(spark, "requests"), new_path(spark, "stream")
+    for early, seed in ((True, SEED), (False, _LATER_SEED)):
+        rows = requests.filter((F.unix_micros("ts") < half) == F.lit(early))
+        rows.repartitionByRange(2, "ts").write.mode("append").parquet(files)
+        served = _served(spark, sf_dir, files, out, seed)
+    # The anchor is the last fresh request of the URL, this one included.
+    order = Window.partitionBy("url").orderBy("ts", "event_id")
+    anchor = F.last(F.when(F.col("fresh"), F.unix_micros("ts")), ignorenulls=True).over(order)
+    return served.select(
+        "event_id", "url", "fresh", (anchor < half).alias("first_model"), "result", "confidence", "error", "probability"
+    )

@@ -15,7 +15,7 @@ from urlrisk.sources import sinks
 from urlrisk.streaming import audit, serve
 from urlrisk.streaming.fresh import flag_fresh
 
-_FRESH = {
+FRESH = {
     "ranked": "SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts, event_id) AS k FROM requests",
     "walk": """SELECT *, ts AS anchor, true AS fresh FROM ranked WHERE k = 1 UNION ALL
       SELECT r.*, CASE WHEN r.ts >= w.anchor + INTERVAL 1 HOUR THEN r.ts ELSE w.anchor END,
@@ -24,7 +24,7 @@ _FRESH = {
 }
 
 
-@query(oracle("requests", "SELECT event_id, user_id, ts, url FROM walk WHERE fresh", _FRESH, recursive=True))
+@query(oracle("requests", "SELECT event_id, user_id, ts, url FROM walk WHERE fresh", FRESH, recursive=True))
 def ttl_first_seen(spark, sf_dir):
     return ttl.first_seen(view(spark, sf_dir, "requests"))
 
@@ -37,7 +37,7 @@ def request_files(spark, sf_dir) -> str:
     return source
 
 
-@query(oracle("requests", "SELECT event_id, url, fresh FROM walk", _FRESH, recursive=True))
+@query(oracle("requests", "SELECT event_id, url, fresh FROM walk", FRESH, recursive=True))
 def stream_fresh(spark, sf_dir):
     """The flags a stream gives to the whole request table."""
     out = new_path(spark, "flags")
@@ -72,7 +72,7 @@ def rate_audit_min(spark, sf_dir):
 
 
 _LOG = {
-    **_FRESH,
+    **FRESH,
     "log": """SELECT ts, url, CASE WHEN prediction = 1 THEN 'Phishing' ELSE 'Legitimate' END AS result,
       confidence FROM walk JOIN raw_scores USING (url) WHERE fresh AND prediction IS NOT NULL""",
 }

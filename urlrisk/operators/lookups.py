@@ -28,7 +28,7 @@ def with_host(df: DataFrame, url: str = "url") -> DataFrame:
     return wide.select(*df.columns, parts.host.alias("host"))
 
 
-def _dns_table(dns: DataFrame) -> DataFrame:
+def dns_table(dns: DataFrame) -> DataFrame:
     """One row per host: it resolves if any of its rows says so, so a lookup never multiplies URLs."""
     return dns.groupBy("host").agg(F.max(F.col("resolved").cast("int")).alias("dns_record"))
 
@@ -47,15 +47,17 @@ def with_domain_age(
 
 def extract(
     urls: DataFrame, dns: DataFrame, row_id: Sequence[str],
-    features: FeatureSet = LEXICAL, rows_per_task: int = ROWS_PER_TASK,
+    features: FeatureSet = LEXICAL, rows_per_task: int = ROWS_PER_TASK, unique_hosts: bool = False,
 ) -> DataFrame:
     """All features of every URL plus ``status``; failed rows keep null features.
 
-    ``dns_record`` comes from a host snapshot; unknown and empty hosts get 0.
+    ``dns_record`` comes from a host snapshot; unknown and empty hosts get 0. With
+    ``unique_hosts`` the snapshot is what :func:`dns_table` returned. The URLs may
+    be a stream.
     """
     rows = url_features(urls, features=features, keep_host=True)
     hosts = with_host(urls).select("host")
-    joined = snapshot_join(rows, _dns_table(dns), "host", row_id, rows_per_task, hosts).drop("host")
+    joined = snapshot_join(rows, dns if unique_hosts else dns_table(dns), "host", row_id, rows_per_task, hosts).drop("host")
     resolved = F.when(F.col("status") == "ok", F.coalesce("dns_record", F.lit(0)))
     return joined.withColumn("dns_record", resolved)
 

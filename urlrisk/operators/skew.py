@@ -96,8 +96,11 @@ def snapshot_join(
 
     The snapshot is counted first. A small one is broadcast, and the facts are
     neither counted nor shuffled; a larger one goes through :func:`lookup_join`.
-    ``keys`` has the key column of ``facts`` from a cheaper plan.
+    ``keys`` has the key column of ``facts`` from a cheaper plan. Rows of a stream
+    are not counted: a trigger bounds what one micro-batch joins.
     """
+    if facts.isStreaming and not fits_broadcast(table, key):
+        return facts.join(table, key, "left")
     if fits_broadcast(table, key):
         return facts.join(F.broadcast(table), key, "left")
     hot = hot_keys(facts if keys is None else keys, key, rows_per_task)

@@ -9,7 +9,6 @@ from __future__ import annotations
 import argparse
 import logging
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from urlrisk.operators import dedupe, links, lookups, quality
 from urlrisk.operators.metrics import decode_scores, score_errors
 from urlrisk.operators.normalize import normalize_ranked, rename_precomputed, reconstruct_url, top_domains
 from urlrisk.operators.sample import balanced_sample
-from urlrisk.plans import expand, model as forest, prepare, scoring
+from urlrisk.plans import expand, forest, model as fitted, prepare, scoring
 from urlrisk.session import build_session, materialize
 from urlrisk.sources import readers, sinks
 from urlrisk.streaming import serve
@@ -82,8 +81,13 @@ def run_train(spark: SparkSession, args) -> None:
     features = lookups.feature_table(labelled.select("url"), precomputed, dns)
     if args.rejects:
         _write_failed(url_features(labelled.select("url")), args.rejects)
-    trained = forest.train(lookups.training_set(features, labelled), args.trees, args.depth)
-    trained.model.write().overwrite().save(args.model)
+    rows = lookups.training_set(features, labelled)
+    if args.random_trees:
+        trained = fitted.train_random(rows, args.random_trees)
+        trained.model.save(spark, args.model)
+    else:
+        trained = fitted.train(rows, args.trees, args.depth)
+        trained.model.write().overwrite().save(args.model)
     trained.metrics.show()
     trained.importances.orderBy(F.desc("importance")).show()
 
@@ -98,7 +102,7 @@ def run_score(spark: SparkSession, args) -> None:
     if args.input:
         urls = materialize(urls, "lines")
     scored = scoring.score_urls(
-        urls, PipelineModel.load(args.model), _parquet(spark, args.dns), ["line"], store
+        urls, forest.load(spark, args.model), _parquet(spark, args.dns), ["line"], store
     )
     if args.log:
         # Written once: the table and the log both read it.
@@ -115,7 +119,7 @@ def run_score(spark: SparkSession, args) -> None:
 def run_stream_score(spark: SparkSession, args) -> None:
     serve.stream_score(
         serve.read_requests(spark, args.input, args.files_per_trigger, args.bytes_per_trigger, args.bodies),
-        PipelineModel.load(args.model),
+        forest.load(spark, args.model),
         _parquet(spark, args.dns),
         args.answers,
         args.log,
@@ -127,7 +131,7 @@ def run_stream_score(spark: SparkSession, args) -> None:
 
 def run_expand_links(spark: SparkSession, args) -> None:
     pages, visited, statuses = (_parquet(spark, path) for path in (args.pages, args.visited, args.statuses))
-    model, dns = PipelineModel.load(args.model), _parquet(spark, args.dns)
+    model, dns = forest.load(spark, args.model), _parquet(spark, args.dns)
     found = materialize(links.found_links(pages), "links")
     frontier = links.crawl_frontier(found, visited, statuses, None)
     scored = materialize(expand.score_links(frontier, model, dns), "scored-links")
@@ -216,8 +220,9 @@ def parser() -> argparse.ArgumentParser:
     sub = job("train", run_train, "input", "dns", "model")
     sub.add_argument("--precomputed")
     sub.add_argument("--rejects", help="where to add URLs without features")
-    sub.add_argument("--trees", type=int, default=forest.TREES)
-    sub.add_argument("--depth", type=int, default=forest.DEPTH)
+    sub.add_argument("--trees", type=int, default=fitted.TREES)
+    sub.add_argument("--random-trees", type=int, help="grow so many randomised trees instead, in two passes")
+    sub.add_argument("--depth", type=int, default=fitted.DEPTH)
 
     sub = job("score", run_score, "model", "dns")
     source = sub.add_mutually_exclusive_group(required=True)

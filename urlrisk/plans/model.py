@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from urlrisk.operators.metrics import eval_metrics
 from urlrisk.operators.sample import train_test_split, with_class_weight
-from urlrisk.plans.forest import Forest
+from urlrisk.plans.forest import RANDOM_DEPTH, RANDOM_TREES, Forest, fit_random_trees
 from urlrisk.schema import FEATURES, SEED
 from urlrisk.session import materialize
 
@@ -23,7 +23,7 @@ DEPTH = 15
 
 @dataclass(frozen=True)
 class Trained:
-    model: PipelineModel
+    model: PipelineModel | Forest
     metrics: DataFrame
     importances: DataFrame
 
@@ -79,16 +79,20 @@ def apply_model(model: PipelineModel | Forest, rows: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(model: PipelineModel, test: DataFrame) -> DataFrame:
+def evaluate(model: PipelineModel | Forest, test: DataFrame) -> DataFrame:
     return eval_metrics(apply_model(model, test))
 
 
-def importances(model: PipelineModel) -> DataFrame:
-    """One row per feature; twelve rows, whatever the data size."""
+def importances(model: PipelineModel | Forest) -> DataFrame:
+    """One row per feature; twelve rows, whatever the data size. Randomised trees give the share of splits."""
     from pyspark.sql import SparkSession
 
-    weights = model.stages[-1].featureImportances
-    rows = [(name, float(weights[i])) for i, name in enumerate(FEATURES)]
+    if isinstance(model, Forest):
+        used = model.importances()
+        rows = [(name, used[name] / max(sum(used.values()), 1)) for name in FEATURES]
+    else:
+        weights = model.stages[-1].featureImportances
+        rows = [(name, float(weights[i])) for i, name in enumerate(FEATURES)]
     return SparkSession.active().createDataFrame(rows, "feature STRING, importance DOUBLE")
 
 
@@ -98,3 +102,11 @@ def train(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = S
     train_rows, test_rows = train_test_split(rows, seed)
     model = fit(train_rows, trees, depth, seed)
     return Trained(model, evaluate(model, test_rows), importances(model))
+
+
+def train_random(rows: DataFrame, trees: int = RANDOM_TREES, depth: int = RANDOM_DEPTH, seed: int = SEED) -> Trained:
+    """The same with randomised trees, which take two passes over the rows."""
+    rows = materialize(rows, "training-set")
+    train_rows, test_rows = train_test_split(rows, seed)
+    model = fit_random_trees(train_rows, trees, depth, seed)
+    return Trained(model, evaluate(model, test_rows), importances(model))

@@ -1,9 +1,10 @@
-"""Anchored time-to-live on a stream: the state per URL is one anchor."""
+"""Anchored time-to-live on a stream: the state per URL is one anchor and the answer given then."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from urlrisk.operators.ttl import fresh_positions
 from urlrisk.schema import CACHE_TTL_SECONDS
 
-_STATE = T.StructType([T.StructField("anchor", T.LongType())])
 # An anchor is kept this long after the last request of its URL has arrived.
 KEEP_SECONDS = 24 * 3600
 # Rows that never are fresh need no order and no state; they are dealt by event.
@@ -21,9 +21,18 @@ _LOOSE_PARTS = 1024
 
 
 def flag_fresh(
-    requests: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, keep_seconds: int = KEEP_SECONDS
+    requests: DataFrame,
+    ttl_seconds: int = CACHE_TTL_SECONDS,
+    keep_seconds: int = KEEP_SECONDS,
+    answer: Sequence[str] = (),
 ) -> DataFrame:
-    """Every request with ``fresh``: score and log it, or reuse the stored answer.
+    """Every request with ``fresh``: it is answered and logged, or gets the answer stored for its URL.
+
+    The columns named by ``answer`` hold what the row would be answered with. A
+    fresh row keeps them and they are stored with its anchor; every other row gets
+    the stored ones, those of the request it repeats, whatever has changed since:
+    a new model answers only what is fresh. A row that is late and older than the
+    anchor gets the anchor's answer too. Rows that never are fresh keep their own.
 
     ``requests`` is a stream without a watermark; a stream may have one only.
     No row is left out, however late: a request older than the anchor counts as
@@ -45,6 +54,8 @@ def flag_fresh(
         .withColumn("_part", F.when(usable, -1).otherwise(F.pmod(F.xxhash64("event_id"), F.lit(_LOOSE_PARTS))))
     )
     out = T.StructType([*requests.schema, T.StructField("fresh", T.BooleanType())])
+    stored = T.StructType([T.StructField("anchor", T.LongType()), *(requests.schema[name] for name in answer)])
+    answer = list(answer)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -57,13 +68,24 @@ def flag_fresh(
         rows = pd.concat(list(batches)).sort_values(["_micros", "event_id"], kind="stable")
         anchor = state.get[0] if state.exists else None
         fresh, anchor = fresh_positions(rows["_micros"].tolist(), ttl, anchor)
-        rows["fresh"] = False
-        rows.iloc[fresh, rows.columns.get_loc("fresh")] = True
-        state.update((anchor,))
+        is_fresh = np.zeros(len(rows), bool)
+        is_fresh[fresh] = True
+        rows["fresh"] = is_fresh
+        last = state.get[1:] if state.exists else (None,) * len(answer)
+        if answer:
+            # Row number of the fresh row that each row repeats or is; -1 where that was in an earlier batch.
+            source = np.where(is_fresh, np.arange(len(rows)), -1)
+            source = np.maximum.accumulate(source)
+            for name, before in zip(answer, last, strict=True):
+                values = rows[name].to_numpy(dtype=object)
+                rows[name] = pd.Series([before if k < 0 else values[k] for k in source], rows.index, dtype=object)
+            if fresh:
+                last = tuple(None if pd.isna(v) else v for v in rows[answer].iloc[-1])
+        state.update((anchor, *last))
         expiry = int(rows["_arrived_ms"].max()) + keep
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         yield rows[out.names]
 
     return keyed.groupBy("url", "_part").applyInPandasWithState(
-        update, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+        update, out, stored, "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -12,9 +12,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from urlrisk.functions.urls import strip
 from urlrisk.operators.dedupe import new_rows
-from urlrisk.plans.scoring import prediction_log, score_requests
+from urlrisk.operators.lookups import dns_table, extract
+from urlrisk.operators.metrics import answer_columns
+from urlrisk.plans.forest import Forest
+from urlrisk.plans.model import apply_model
+from urlrisk.plans.scoring import prediction_log
 from urlrisk.schema import CACHE_TTL_SECONDS, REQUESTS
-from urlrisk.session import delete_path, new_path
+from urlrisk.session import materialize
 from urlrisk.sources.readers import explode_requests
 from urlrisk.sources.sinks import append_segment, read_table
 from urlrisk.streaming.fresh import flag_fresh
@@ -50,7 +54,7 @@ def writer_of(batch: DataFrame, checkpoint: str) -> str:
 
 def stream_score(
     requests: DataFrame,
-    model: PipelineModel,
+    model: PipelineModel | Forest,
     dns: DataFrame,
     answers: str,
     log: str,
@@ -60,26 +64,30 @@ def stream_score(
 ) -> StreamingQuery:
     """Answer every request, however late; log only the fresh ones.
 
-    Each micro-batch writes its own segment of both tables, so a repeated
-    micro-batch replaces its first attempt.
+    Features, snapshot join and model are projections of the stream. A repeated
+    request gets the answer that the state of its URL holds, also after a restart
+    with another model or snapshot. Each micro-batch writes its own segment of
+    both tables, so a repeated micro-batch replaces its first attempt.
     """
     trimmed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
         "url", F.coalesce(strip("url"), F.lit(""))
     )
-    flagged = flag_fresh(trimmed, ttl_seconds)
+    # One row per host, written once: every micro-batch joins the same snapshot.
+    hosts = materialize(dns_table(dns), "hosts")
+    rows = apply_model(model, extract(trimmed, hosts, ["event_id"], unique_hosts=True))
+    scored = rows.select(*trimmed.columns, "prediction", "confidence")
+    flagged = flag_fresh(scored, ttl_seconds, answer=("prediction", "confidence"))
+    answered = flagged.select(
+        *trimmed.columns, "fresh", *answer_columns(), F.col("confidence").alias("probability")
+    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # Written first: scoring reads the rows several times, the state must run once.
         spark, writer = batch.sparkSession, writer_of(batch, checkpoint)
-        copy = new_path(spark, "micro-batch")
-        batch.write.parquet(copy)
-        rows = spark.read.schema(batch.schema).parquet(copy)
-        answered = append_segment(score_requests(rows, model, dns), answers, batch_id, writer)
-        append_segment(prediction_log(spark.read.parquet(answered).filter("fresh")), log, batch_id, writer)
-        delete_path(spark, copy)
+        path = append_segment(batch, answers, batch_id, writer)
+        append_segment(prediction_log(spark.read.parquet(path).filter("fresh")), log, batch_id, writer)
 
     return (
-        flagged.writeStream.foreachBatch(write)
+        answered.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
