@@ -43,6 +43,24 @@ def test_hot_keys_are_split(spark, facts):
     assert hot_keys(facts, "key").count() == 0
 
 
+def test_thousands_of_hot_keys_in_one_pass(spark):
+    """5,000 keys with ten rows each beside 10,000 rows of their own: all are split, none by a shuffle of keys."""
+    n = 5_000
+    facts = spark.range(0, 12 * n, 1, 6).select("id", F.when(F.col("id") < 10 * n, F.col("id") % n).otherwise(F.col("id")).alias("key"))
+    fans = {r._key: r._fan for r in hot_keys(facts, "key", 3).collect()}
+    want = spark.range(n).select(F.xxhash64("id")).collect()
+    assert len(fans) >= 0.95 * n and {r[0] for r in want} >= set(fans)
+    table = spark.range(n).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))
+    got = lookup_join(facts, table, "key", ["id"], "inner", rows_per_task=3)
+    assert got.agg(F.count("id"), F.sum("v")).first() == facts.join(table, "key").agg(F.count("id"), F.sum("v")).first()
+
+
+def test_broadcast_is_decided_by_whole_rows(spark, monkeypatch):
+    wide = spark.createDataFrame([("k", "x" * 1000)], "key STRING, v STRING")
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 500)
+    assert not skew.fits_broadcast(wide, "key") and skew.fits_broadcast(wide.select("key"), "key")
+
+
 def urls(spark, *values):
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id INT, url STRING")
 

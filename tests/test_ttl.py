@@ -36,14 +36,42 @@ def brute(events):
     return fresh
 
 
-@pytest.mark.parametrize("rows_per_task", [10**6, 100, 1])
+@pytest.mark.parametrize(("rows_per_task", "cell_rows"), [(10**6, 10), (100, 10**6), (100, 5), (1, 2)])
 @pytest.mark.parametrize("parts", [1, 16])
-def test_first_seen(spark, events, rows_per_task, parts):
+def test_first_seen(spark, events, rows_per_task, cell_rows, parts, monkeypatch):
+    monkeypatch.setattr(ttl, "TOP_CELLS", 4)
     df = spark.createDataFrame(events, REQUESTS).repartition(parts)
-    got = [r.event_id for r in ttl.first_seen(df, TTL, rows_per_task).collect()]
+    got = [r.event_id for r in ttl.first_seen(df, TTL, rows_per_task, cell_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(events)
 
 
+def test_dense_url_is_cut_below_one_time_to_live(spark, monkeypatch):
+    """All requests of a URL within two times to live, most of them in one second."""
+    rng = random.Random(4)
+    micros = [rng.randrange(1_000_000) for _ in range(1500)] + [rng.randrange(2 * TTL * 1_000_000) for _ in range(300)]
+    events = [(i, 0, START + timedelta(microseconds=m), "u") for i, m in enumerate(micros)]
+    df = spark.createDataFrame(events, REQUESTS)
+    at = df.select("url", ttl._micros().alias("_at")).distinct()
+    width = ttl.cell_width(at, TTL * 1_000_000, 40)
+    assert width < 1_000_000
+    largest = at.groupBy("url", F.floor(F.col("_at") / width)).count().agg(F.max("count")).first()[0]
+    assert largest <= 40
+    monkeypatch.setattr(ttl, "TOP_CELLS", 64)
+    assert {r.event_id for r in ttl.first_seen(df, TTL, 1, 40).collect()} == brute(events)
+
+
+def test_only_chained_requests_reach_python(spark, events):
+    df = spark.createDataFrame(events, REQUESTS)
+    cut = ttl.runs(df, TTL)
+    opens = cut.filter("_opens")
+    # What opens a run is fresh for sure, what neither opens one nor is chained is not.
+    assert {r.event_id for r in opens.collect()} <= brute(events)
+    sparse = df.filter("url <> 'hot'")
+    assert ttl.runs(sparse, TTL).filter("_chained").count() < 0.6 * sparse.count()
+    spaced = spark.createDataFrame([(i, 0, START + timedelta(seconds=700 * (i // 3)), "u") for i in range(90)], REQUESTS)
+    assert ttl.runs(spaced, TTL).filter("_chained").count() == 0 and ttl.first_seen(spaced, TTL).count() == 30
+
+
 def test_pointers_reach_over_empty_slices(spark):
     seconds = [0, 599, 600, 601, 1199, 1200, 5000, 5001, 5600, 9000]
     events = [(i, 0, START + timedelta(seconds=s), "u") for i, s in enumerate(seconds)]

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urlrisk.operators.skew import ROWS_PER_TASK, hot_keys_of_counts, lookup_join
+from urlrisk.operators.skew import ROWS_PER_TASK, lookup_join
 
 ROW_ORDER = ("src_priority", "row_ord")
 
@@ -48,10 +48,8 @@ def duplicate_members(
     The copies are counted map-side first; the rows of a hot URL are then spread
     over several tasks of the semi join.
     """
-    counts = df.groupBy("url").agg(F.count(F.lit(1)).alias("copies"))
-    repeated = counts.filter("copies > 1").select("url")
-    hot = hot_keys_of_counts(counts, "url", "copies", rows_per_task)
-    return lookup_join(df, repeated, "url", order, "left_semi", hot=hot).select(*df.columns)
+    repeated = df.groupBy("url").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("url")
+    return lookup_join(df, repeated, "url", order, "left_semi", rows_per_task).select(*df.columns)
 
 
 def label_conflicts(df: DataFrame) -> DataFrame:

@@ -7,42 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one key that a single task should get at most.
+# Rows of one key that a single task should get at most, on tables up to HOT_SHARE times as large.
 ROWS_PER_TASK = 1_000_000
-# The list of hot keys never exceeds this many 12-byte rows, whatever the data
-# size, so it is safe to broadcast. A key that is not on a full list holds less
-# than 1/MAX_HOT_KEYS of the rows.
-MAX_HOT_KEYS = 1_000
+# A key is hot if it holds more than this part of all rows, so fewer than HOT_SHARE keys can be:
+# the list of them needs no limit of its own, and a key that is not on it is no larger than a task's share.
+HOT_SHARE = 10_000
+# Keys that a sketch tracks. It overrates a count by less than 1 / (0.75 * TRACKED) of the rows, under half of a hot key.
+TRACKED = 1 << 15
+# Sketches of the tasks are merged in so many groups, then the groups.
+MERGERS = 64
 
 # A lookup table is broadcast by request only if it was counted to be within both.
 BROADCAST_ROWS = 500_000
-BROADCAST_KEY_BYTES = 32 * 2**20
+BROADCAST_BYTES = 32 * 2**20
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``(_key, _fan)``: hash of each hot key and into how many parts to split it.
 
-    Only an 8-byte hash per distinct key is shuffled, after map-side counting.
-    A hash collision merely splits a key that did not need it.
+    Found by a frequent-items sketch in one pass: no key is shuffled, each task
+    sends one sketch of bounded size. Hot are keys with more than
+    ``rows_per_task`` rows and more than 1 / HOT_SHARE of all. A hash collision or
+    an overrated count merely splits a key that did not need it.
     """
-    counts = df.groupBy(F.xxhash64(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    return _hottest(counts, rows_per_task)
-
-
-def hot_keys_of_counts(
-    counts: DataFrame, key: str, count: str, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """The same from rows per key that are counted already."""
-    return _hottest(counts.select(F.xxhash64(key).alias("_key"), F.col(count).alias("_n")), rows_per_task)
-
-
-def _hottest(counts: DataFrame, rows_per_task: int) -> DataFrame:
-    return (
-        counts.filter(F.col("_n") > rows_per_task)
-        .orderBy(F.desc("_n"), "_key")
-        .limit(MAX_HOT_KEYS)
-        .select("_key", F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_fan"))
+    part = F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("_part")
+    sketches = (
+        df.select(part, F.xxhash64(key).alias("_key"))
+        .groupBy("_part")
+        .agg(F.count(F.lit(1)).alias("_n"), F.expr(f"approx_top_k_accumulate(_key, {TRACKED})").alias("_sketch"))
     )
+    merged = F.expr(f"approx_top_k_estimate(approx_top_k_combine(_sketch, {TRACKED}), {HOT_SHARE})")
+    found = sketches.agg(F.sum("_n").alias("_n"), merged.alias("_top")).select("_n", F.inline("_top").alias("_key", "_count"))
+    unit = F.greatest(F.lit(rows_per_task), F.ceil(F.col("_n") / HOT_SHARE))
+    # Fewer than HOT_SHARE rows: kept here, so that the pass runs once for both sides of a join.
+    rows = found.filter(F.col("_count") > unit).select("_key", F.ceil(F.col("_count") / unit).cast("int").alias("_fan")).collect()
+    return df.sparkSession.createDataFrame([tuple(row) for row in rows], "_key long, _fan int")
 
 
 def lookup_join(
@@ -62,11 +61,14 @@ def lookup_join(
     every row where the first attempt did. When the table is small Spark turns
     the join into a broadcast join by its own size check.
 
-    ``hot`` is the result of :func:`hot_keys` where the caller can count the
-    keys on something cheaper than ``facts``, such as the input of an earlier
-    join that is part of ``facts``.
+    ``hot`` is the result of :func:`hot_keys` where the caller can find the keys
+    on something cheaper than ``facts``, such as the input of an earlier join that
+    is part of ``facts``. Without hot keys this is a plain join.
     """
-    hot = F.broadcast(hot_keys(facts, key, rows_per_task) if hot is None else hot)
+    hot = hot_keys(facts, key, rows_per_task) if hot is None else hot
+    if hot.isEmpty():
+        return facts.join(table, key, how)
+    hot = F.broadcast(hot)
     part = F.when(F.col("_fan").isNotNull(), F.pmod(F.xxhash64(*row_id), F.col("_fan"))).otherwise(0)
     spread = (
         facts.withColumn("_key", F.xxhash64(key))
@@ -108,7 +110,10 @@ def snapshot_join(
 
 
 def fits_broadcast(table: DataFrame, key: str) -> bool:
-    size = table.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("bytes")
-    ).first()
-    return size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_KEY_BYTES
+    """Whether the rows of ``table``, all their columns, are few and small enough to be sent to every task."""
+    width = F.lit(0)
+    for field in table.schema.fields:
+        simple = field.dataType.simpleString() in ("int", "bigint", "double", "date", "timestamp", "boolean")
+        width = width + (F.lit(8) if simple else F.coalesce(F.octet_length(F.col(field.name).cast("string")), F.lit(0)))
+    size = table.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
