@@ -24,7 +24,7 @@ def test_the_job_writes_them(spark, tmp_path, monkeypatch):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     rejects = spark.createDataFrame([], "seed_ord long, url string, reason string")
     monkeypatch.setattr(jobs, "_parquet", lambda spark, path: pages)
-    monkeypatch.setattr(jobs.PipelineModel, "load", lambda path: None)
+    monkeypatch.setattr(jobs.forest, "load", lambda spark, path: None)
     for name in ("found_links", "crawl_frontier", "link_rejects", "failed_pages"):
         monkeypatch.setattr(jobs.links, name, lambda *given: rejects)
     monkeypatch.setattr(jobs.expand, "score_links", lambda *given: scored_links(spark))

@@ -1,6 +1,7 @@
 """Readers, versioned tables, logs."""
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -90,8 +91,48 @@ def test_versions_and_segments(spark, tmp_path):
     # A rewrite may read the version it replaces.
     sinks.write_version(sinks.read_table(spark, root).filter("id > 1"), root)
     assert sorted(r.id for r in sinks.read_table(spark, root).collect()) == [2, 3, 4, 10, 11]
-    (tmp_path / "table" / "version=9" / "segment=0").mkdir(parents=True)
+    (tmp_path / "table" / "data" / "unfinished").mkdir(parents=True)
     assert sinks.versions(spark, root) == [0, 1]
+    # Segment 7 is in the rewritten version; a late repeat of it adds nothing, a new number does.
+    sinks.append_segment(spark.range(10, 14), root, segment=7)
+    assert sinks.read_table(spark, root).count() == 5
+    sinks.append_segment(spark.range(20, 21), root, segment=5)
+    assert sinks.read_table(spark, root).count() == 6
+
+
+def test_segments_are_merged_and_the_list_stays_short(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FAN", 3)
+    root = str(tmp_path / "table")
+    for n in range(30):
+        sinks.append_segment(spark.range(n, n + 1), root, segment=n, writer="a" if n % 2 else "b")
+    state = sinks.manifest.load(spark, root)[1]
+    assert len(state["segments"]) <= 2 * 4
+    assert sorted(r.id for r in sinks.read_table(spark, root).collect()) == list(range(30))
+    numbered = sinks.read_table(spark, root, with_segment=True).collect()
+    assert all(r.id == r.segment for r in numbered)
+    # Repeated batches, merged or not, change nothing; their own rows can be left out.
+    for n in (0, 13, 29):
+        sinks.append_segment(spark.range(n, n + 1), root, segment=n, writer="a" if n % 2 else "b")
+    assert sinks.read_table(spark, root).count() == 30
+    left = sinks.read_table(spark, root, below_segment=11, writer="a")
+    assert sorted(r.id for r in left.collect()) == [n for n in range(30) if n % 2 == 0 or n < 11]
+    manifests = list((tmp_path / "table" / "_manifests").glob("0*.json"))
+    assert len(manifests) <= sinks.manifest.KEPT + 1
+
+
+def test_two_writers_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FAN", 4)
+    root = str(tmp_path / "table")
+
+    def write(name):
+        for n in range(6):
+            sinks.append_segment(spark.range(1).selectExpr(f"'{name}{n}' AS x"), root, segment=n, writer=name)
+            sinks.append_segment(spark.range(1).selectExpr(f"'{name}any{n}' AS x"), root)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, ["p", "q", "r"]))
+    got = sorted(r.x for r in sinks.read_table(spark, root).collect())
+    assert got == sorted(f"{name}{kind}{n}" for name in "pqr" for kind in ("", "any") for n in range(6))
 
 
 def test_result_log(spark, tmp_path):

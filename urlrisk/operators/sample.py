@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from urlrisk.schema import CLASS_CAP, SEED
 from urlrisk.session import materialize
 
-# Hash prefixes of four hex digits: at most 65,536 per class.
-_PREFIX = 4
+# Hash prefixes grow by four hex digits: at most 65,536 counts each time.
+_PREFIX, _HASH_DIGITS = 4, 32
+# Rows of one prefix that are put in order.
+RANKED_ROWS = 100_000
 # First two hex digits below cd: 205 of 256 hash buckets, 80.1 %.
 _TRAIN_BELOW = "cd"
 
@@ -32,39 +34,45 @@ def class_balance(df: DataFrame, cap: int = CLASS_CAP) -> DataFrame:
 def balanced_sample(df: DataFrame, cap: int = CLASS_CAP, seed: int = SEED) -> DataFrame:
     """Exactly ``min(n0, n1, cap)`` rows of each class, without replacement.
 
-    ``df`` holds unique URLs. Ranking a whole class would send it to one task,
-    so the rows are first counted per hash prefix. The running count tells the
-    one prefix per class in which the sample ends: smaller prefixes are taken
-    whole, larger ones dropped unseen, and the kept rows (the sample and the rest
-    of one prefix) are ranked within their prefix, about 1/65536 of a class. The
-    count table has at most 131,072 rows and the table of end points two, so
-    neither grows with the data.
+    ``df`` holds unique URLs. The sample of a class is what comes first by hash, so
+    it is a filter up to its last row. That row is found by counting: the rows per
+    hash prefix tell in which prefix the sample ends, the rows of that prefix are
+    counted by a longer one, until few enough are left to be ordered. Classes are
+    never ranked, no row of the sample is shuffled for it, and a table of counts
+    has at most 65,536 rows per class whatever the size of the data. The rows are
+    written once, as they are read for each count.
     """
-    keyed = df.filter(F.col("label").isin(0, 1)).withColumn("_hash", sample_key(seed))
-    keyed = keyed.withColumn("_prefix", F.substring("_hash", 1, _PREFIX))
-    counts = materialize(
-        keyed.groupBy("label", "_prefix").agg(F.count(F.lit(1)).alias("_n")), "prefix-counts"
-    )
-    totals = {row["label"]: row["_n"] for row in counts.groupBy("label").agg(F.sum("_n").alias("_n")).collect()}
+    rows = df.filter(F.col("label").isin(0, 1))
+    keyed = materialize(rows.withColumn("_hash", sample_key(seed)), "sample-rows")
+    totals = {row["label"]: row["n"] for row in keyed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     target = min(totals.get(0, 0), totals.get(1, 0), cap)
-    running = Window.partitionBy("label").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
-    ends = (
-        counts.withColumn("_upto", F.sum("_n").over(running))
-        .filter((F.col("_upto") >= target) & (F.col("_upto") - F.col("_n") < target))
-        .select(
-            "label",
-            F.col("_prefix").alias("_end"),
-            (F.lit(target) - F.col("_upto") + F.col("_n")).alias("_left"),
+    if not target:
+        return df.limit(0)
+    keep = F.lit(False)
+    for label in (0, 1):
+        last_hash, last_url = _last_taken(keyed.filter(F.col("label") == label), target)
+        before = (F.col("_hash") < last_hash) | ((F.col("_hash") == last_hash) & (F.col("url") <= last_url))
+        keep = keep | ((F.col("label") == label) & before)
+    return keyed.filter(keep).select(*df.columns)
+
+
+def _last_taken(rows: DataFrame, left: int) -> tuple[str, str]:
+    """Hash and URL of the row at place ``left`` in the order of the hashes."""
+    size = _PREFIX
+    while True:
+        counts = materialize(
+            rows.groupBy(F.substring("_hash", 1, size).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n")), "prefix-counts"
         )
-    )
-    within = Window.partitionBy("label", "_prefix").orderBy("_hash", "url")
-    return (
-        keyed.join(F.broadcast(ends), "label")
-        .filter(F.col("_prefix") <= F.col("_end"))
-        .withColumn("_rank", F.row_number().over(within))
-        .filter((F.col("_prefix") < F.col("_end")) | (F.col("_rank") <= F.col("_left")))
-        .select(*df.columns)
-    )
+        upto = F.sum("_n").over(Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0))
+        end = counts.withColumn("_upto", upto).filter(F.col("_upto") >= left).orderBy("_prefix").first()
+        rows = rows.filter(F.substring("_hash", 1, size) == end["_prefix"])
+        left -= end["_upto"] - end["_n"]
+        if end["_n"] <= RANKED_ROWS or size >= _HASH_DIGITS:
+            break
+        size += _PREFIX
+    first = rows.select("_hash", "url").orderBy("_hash", "url").limit(left)
+    last = first.agg(F.max(F.struct("_hash", "url")).alias("_last")).first()["_last"]
+    return last["_hash"], last["url"]
 
 
 def is_train(seed: int = SEED) -> Column:
