@@ -32,5 +32,5 @@ def test_the_job_writes_them(spark, tmp_path, monkeypatch):
     args = jobs.parser().parse_args(["expand-links", *names, "--out", f"{tmp_path}/out", "--cap", "5", "--rejects", f"{tmp_path}/rejects/"])
     args.run(spark, args)
     beyond = spark.read.parquet(f"{tmp_path}/rejects-over-cap")
-    assert beyond.columns == ["seed_ord", "url", "reason", "rejected_at"] and beyond.count() == 11
+    assert beyond.columns == ["seed_ord", "url", "reason", "rejected_at", "run"] and beyond.count() == 11
     assert spark.read.parquet(f"{tmp_path}/rejects").count() == 4

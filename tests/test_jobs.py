@@ -41,7 +41,11 @@ def test_all_jobs(spark, tmp_path, capsys):
 
     run("features", ranked=path["ranked"], top=7, store=path["warm"], dns=path["dns"], rejects=path["failed"])
     assert sinks.read_table(spark, path["warm"]).count() == 7
-    assert spark.read.parquet(path["failed"]).columns == ["url", "reason", "rejected_at"]
+    assert spark.read.parquet(path["failed"]).columns == ["url", "reason", "rejected_at", "run"]
+    rejected = spark.read.parquet(path["rejects"]).count()
+    run("prepare", structured=path["structured"], flat=path["flat"], ranked=path["ranked"],
+        out=path["processed"], rejects=path["rejects"])
+    assert spark.read.parquet(path["rejects"]).count() == rejected
 
     given = view(spark, sf_dir, "precomputed").withColumnsRenamed(
         {"having_at": "having_@_symbol", "has_dash_in": "prefix_suffix_seperation"}

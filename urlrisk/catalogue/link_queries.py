@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from urlrisk.catalogue import sqltext as sql
 from urlrisk.catalogue.fixtures import STATUS_SQL, oracle, view
 from urlrisk.catalogue.registry import query
 from urlrisk.functions.html import page_features
 from urlrisk.operators import dedupe, links
-from urlrisk.session import materialize
+from urlrisk.session import materialize, new_path
+from urlrisk.sources import history
 
 
 def pages(spark, sf_dir):
@@ -135,3 +138,34 @@ def link_rejects(spark, sf_dir):
     found = links_table(spark, sf_dir)
     dropped = links.link_rejects(found, visited(spark, sf_dir), statuses(spark, found))
     return dropped.unionByName(links.failed_pages(pages(spark, sf_dir)))
+
+
+@query(
+    oracle(
+        "visited rich_pages",
+        """SELECT netloc, seed_ord, link, run FROM (
+          SELECT *, 1 AS run FROM firsts1 UNION ALL
+          SELECT *, 2 FROM firsts2 WHERE netloc NOT IN (SELECT netloc FROM firsts1)) x
+        WHERE netloc NOT IN (SELECT netloc FROM visited)""",
+        {
+            **sql.LINKS,
+            **{
+                f"firsts{run}": rf"""SELECT page_id AS seed_ord, link, regexp_extract(link, '^[^:]*://([^/?#]*)', 1) AS netloc
+                FROM links WHERE page_id % 2 = {run - 1} QUALIFY row_number() OVER (
+                  PARTITION BY regexp_extract(link, '^[^:]*://([^/?#]*)', 1) ORDER BY page_id, link) = 1"""
+                for run in (1, 2)
+            },
+        },
+    )
+)
+def visited_runs(spark, sf_dir):
+    """New domains of two runs, pages of even and of odd number, that share a history begun with the visited ones."""
+    known = history.History(spark, new_path(spark, "history"), "netloc", buckets=8)
+    known.add(visited(spark, sf_dir), "0")
+    taken = None
+    for run, part in ((1, "page_id % 2 = 0"), (2, "page_id % 2 = 1")):
+        found = materialize(links.found_links(pages(spark, sf_dir).filter(part)), f"links-{run}")
+        new = materialize(links.new_domains(found, known.read()).withColumn("run", F.lit(run)), f"new-{run}")
+        known.add(found.select("netloc"), str(run))
+        taken = new if taken is None else taken.unionByName(new)
+    return taken.select("netloc", "seed_ord", "link", "run")

@@ -7,6 +7,7 @@ Tables are the versioned folders of :mod:`urlrisk.sources.sinks`; snapshots
 from __future__ import annotations
 
 import argparse
+import hashlib
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from urlrisk.operators.sample import balanced_sample
 from urlrisk.plans import expand, forest, model as fitted, prepare, scoring
 from urlrisk.session import build_session, materialize
 from urlrisk.sources import readers, sinks
+from urlrisk.sources.history import History
 from urlrisk.streaming import serve
 
 logger = logging.getLogger(__name__)
@@ -39,8 +41,7 @@ def run_prepare(spark: SparkSession, args) -> None:
     sample = balanced_sample(prepare.clean_table(audited), args.cap, args.seed)
     sinks.write_version(sample, args.out)
     if args.rejects:
-        stamped = quality.rejects(audited).withColumn("rejected_at", F.current_timestamp())
-        stamped.write.mode("append").parquet(args.rejects)
+        _write_rejects(quality.rejects(audited), args.rejects, args)
     quality.drop_report(audited).show(truncate=False)
 
 
@@ -59,7 +60,7 @@ def run_features(spark: SparkSession, args) -> None:
     rows = materialize(lookups.extract(urls, _parquet(spark, args.dns), ["url"]), "extracted")
     stamped = rows.filter("status = 'ok'").drop("status")
     sinks.append_segment(stamped.withColumn("version", F.unix_micros(F.current_timestamp())), args.store)
-    _write_failed(rows, args.rejects)
+    _write_failed(rows, args.rejects, args)
 
 
 def run_train(spark: SparkSession, args) -> None:
@@ -80,7 +81,7 @@ def run_train(spark: SparkSession, args) -> None:
     dns = _parquet(spark, args.dns)
     features = lookups.feature_table(labelled.select("url"), precomputed, dns)
     if args.rejects:
-        _write_failed(url_features(labelled.select("url")), args.rejects)
+        _write_failed(url_features(labelled.select("url")), args.rejects, args)
     rows = lookups.training_set(features, labelled)
     if args.random_trees:
         trained = fitted.train_random(rows, args.random_trees)
@@ -130,22 +131,41 @@ def run_stream_score(spark: SparkSession, args) -> None:
 
 
 def run_expand_links(spark: SparkSession, args) -> None:
-    pages, visited, statuses = (_parquet(spark, path) for path in (args.pages, args.visited, args.statuses))
+    """Label the links of new domains; every domain a run meets is visited from then on.
+
+    With ``--history`` the visited domains are kept there between runs: those of
+    this run are added at the end, reachable or not, so that a repeated or later
+    run leaves them out. ``--visited`` names others, in a plain table.
+    """
+    pages, statuses = (_parquet(spark, path) for path in (args.pages, args.statuses))
+    visited = _parquet(spark, args.visited) if args.visited else None
+    kept = History(spark, args.history, "netloc") if args.history else None
+    if kept is not None:
+        # What this run itself has added in an earlier attempt does not count as visited.
+        before = kept.read().filter(F.col("run") != _run_id(args)).select("netloc")
+        visited = before if visited is None else visited.select("netloc").unionByName(before)
+    if visited is None:
+        visited = spark.createDataFrame([], "netloc string")
     model, dns = forest.load(spark, args.model), _parquet(spark, args.dns)
     found = materialize(links.found_links(pages), "links")
     frontier = links.crawl_frontier(found, visited, statuses, None)
     scored = materialize(expand.score_links(frontier, model, dns), "scored-links")
-    sinks.append_segment(expand.first_labelled(scored, None if args.no_cap else args.cap), args.out)
+    labelled = expand.first_labelled(scored, None if args.no_cap else args.cap)
+    if kept is None:
+        sinks.append_segment(labelled, args.out)
+    else:
+        sinks.append_segment(labelled, args.out, 0, f"run-{_run_id(args)}")
     if args.rejects:
         dropped = (
             links.link_rejects(found, visited, statuses)
             .unionByName(links.failed_pages(pages))
             .unionByName(expand.failed_links(scored))
         )
-        dropped.withColumn("rejected_at", F.current_timestamp()).write.mode("append").parquet(args.rejects)
+        _write_rejects(dropped, args.rejects, args)
         # Good links without a place are in a folder of their own beside the rejects.
-        beyond = expand.over_cap(scored, None if args.no_cap else args.cap).withColumn("rejected_at", F.current_timestamp())
-        beyond.write.mode("append").parquet(args.rejects.rstrip("/") + "-over-cap")
+        _write_rejects(expand.over_cap(scored, None if args.no_cap else args.cap), args.rejects.rstrip("/") + "-over-cap", args)
+    if kept is not None:
+        kept.add(found.select("netloc"), _run_id(args))
 
 
 def run_merge(spark: SparkSession, args) -> None:
@@ -162,11 +182,24 @@ def run_merge(spark: SparkSession, args) -> None:
         sinks.append_segment(added, args.table)
 
 
-def _write_failed(extracted: DataFrame, path: str | None) -> None:
+def _run_id(args) -> str:
+    """Name of a run: ``--run-id``, or else what the job was called with, so the same call is the same run."""
+    if args.run_id:
+        return args.run_id
+    given = {k: v for k, v in vars(args).items() if not callable(v)}
+    return hashlib.sha256(repr(sorted(given.items())).encode()).hexdigest()[:16]
+
+
+def _write_rejects(dropped: DataFrame, path: str, args) -> None:
+    """Rejects of a run in a folder of its own, which a repeated run replaces."""
+    stamped = dropped.withColumn("rejected_at", F.current_timestamp())
+    stamped.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={args.job}-{_run_id(args)}")
+
+
+def _write_failed(extracted: DataFrame, path: str | None, args) -> None:
     """URLs without features, as rejects; nothing without a path."""
     if path:
-        dropped = lookups.failed(extracted).select("url", F.lit("no_features").alias("reason"))
-        dropped.withColumn("rejected_at", F.current_timestamp()).write.mode("append").parquet(path)
+        _write_rejects(lookups.failed(extracted).select("url", F.lit("no_features").alias("reason")), path, args)
 
 
 def _ranked(spark: SparkSession, args) -> DataFrame:
@@ -197,6 +230,7 @@ def parser() -> argparse.ArgumentParser:
     def job(name: str, run, *required: str) -> argparse.ArgumentParser:
         sub = jobs.add_parser(name)
         sub.set_defaults(run=run)
+        sub.add_argument("--run-id", help="a run repeated under its id replaces what it has written; default: its options")
         for option in required:
             sub.add_argument(f"--{option}", required=True)
         return sub
@@ -239,7 +273,9 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--bodies", action="store_true", help="the input holds JSON request bodies")
     sub.add_argument("--every", help="trigger interval; default: handle what is there and stop")
 
-    sub = job("expand-links", run_expand_links, "pages", "visited", "statuses", "model", "dns", "out")
+    sub = job("expand-links", run_expand_links, "pages", "statuses", "model", "dns", "out")
+    sub.add_argument("--visited", help="table of domains to leave out")
+    sub.add_argument("--history", help="visited domains, kept and added to by each run")
     sub.add_argument("--cap", type=int, default=schema.LINK_CAP)
     sub.add_argument("--no-cap", action="store_true")
     sub.add_argument("--rejects")
