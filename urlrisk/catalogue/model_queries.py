@@ -18,7 +18,7 @@ from urlrisk.plans import expand, forest, model, scoring
 from urlrisk.schema import FEATURES, LINK_CAP, REQUESTS, SEED
 from urlrisk.session import materialize, new_path
 from urlrisk.sources.sinks import read_table
-from urlrisk.streaming import serve
+from urlrisk.streaming import reports, serve
 
 
 def trained(spark, sf_dir) -> model.Trained:
@@ -163,10 +163,10 @@ _ANSWER = """CASE WHEN prediction = 1 THEN 'Phishing' WHEN prediction = 0 THEN '
   CASE WHEN prediction IS NULL THEN 'Unable to verify this URL' END AS error, confidence AS probability"""
 
 
-def _served(spark, sf_dir, files: str, out: str, seed: int = SEED):
+def _served(spark, sf_dir, files: str, out: str, seed: int = SEED, counts: str | None = None):
     serve.stream_score(
         serve.read_requests(spark, files), random_trees(spark, sf_dir, seed), view(spark, sf_dir, "dns_snapshot"),
-        f"{out}/answers", f"{out}/log", f"{out}/checkpoint",
+        f"{out}/answers", f"{out}/log", f"{out}/checkpoint", counts=counts,
     ).awaitTermination()
     return read_table(spark, f"{out}/answers")
 
@@ -184,6 +184,20 @@ def stream_score(spark, sf_dir):
     return _served(spark, sf_dir, request_files(spark, sf_dir), new_path(spark, "stream"))
 
 
+def _in_halves(spark, sf_dir, out: str, seeds: tuple[int, int], counts: str | None = None):
+    """The requests streamed in two runs, by time, each with trees of its own seed: all answers, and where the second began."""
+    ts = F.col("ts").cast("timestamp")
+    requests = view(spark, sf_dir, "requests").withColumn("ts", ts).select(*REQUESTS.names)
+    ends = requests.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    half = (ends[0] + ends[1]) // 2
+    files = new_path(spark, "requests")
+    for early, seed in zip((True, False), seeds, strict=True):
+        rows = requests.filter((F.unix_micros("ts") < half) == F.lit(early))
+        rows.repartitionByRange(2, "ts").write.mode("append").parquet(files)
+        served = _served(spark, sf_dir, files, out, seed, counts)
+    return served, half
+
+
 # Grows the trees that replace the first ones in the middle of the stream.
 _LATER_SEED = SEED + 1
 
@@ -204,18 +218,36 @@ _LATER_SEED = SEED + 1
 )
 def stream_answers(spark, sf_dir):
     """Answers of a stream whose model is replaced half way: what repeats gets the answer of its first request."""
-    ts = F.col("ts").cast("timestamp")
-    requests = view(spark, sf_dir, "requests").withColumn("ts", ts).select(*REQUESTS.names)
-    ends = requests.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
-    half = (ends[0] + ends[1]) // 2
-    files, out = new_path(spark, "requests"), new_path(spark, "stream")
-    for early, seed in ((True, SEED), (False, _LATER_SEED)):
-        rows = requests.filter((F.unix_micros("ts") < half) == F.lit(early))
-        rows.repartitionByRange(2, "ts").write.mode("append").parquet(files)
-        served = _served(spark, sf_dir, files, out, seed)
+    served, half = _in_halves(spark, sf_dir, new_path(spark, "stream"), (SEED, _LATER_SEED))
     # The anchor is the last fresh request of the URL, this one included.
     order = Window.partitionBy("url").orderBy("ts", "event_id")
     anchor = F.last(F.when(F.col("fresh"), F.unix_micros("ts")), ignorenulls=True).over(order)
     return served.select(
         "event_id", "url", "fresh", (anchor < half).alias("first_model"), "result", "confidence", "error", "probability"
     )
+
+
+_BY = "GROUP BY 1, 2, 3, 4"
+_WINDOWED = "CAST(NULL AS VARCHAR) AS source, "
+
+
+@query(
+    oracle(
+        f"requests {_MODEL_VIEWS}",
+        f"""SELECT 'rate_second' AS report, date_trunc('second', ts) AS window_start, {_WINDOWED}
+          CAST(user_id AS VARCHAR) AS key, count(*) AS n, CAST(0 AS BIGINT) AS hits FROM requests {_BY}
+        UNION ALL SELECT 'rate_minute', date_trunc('minute', ts), {_WINDOWED} CAST(user_id AS VARCHAR), count(*), 0 FROM requests {_BY}
+        UNION ALL SELECT 'predictions_hourly', date_trunc('hour', ts), {_WINDOWED}
+          CASE WHEN prediction = 1 THEN 'Phishing' ELSE 'Legitimate' END, count(*), 0
+          FROM walk JOIN scored USING (url) WHERE fresh {_BY}
+        UNION ALL SELECT 'requests_hourly', date_trunc('hour', ts), {_WINDOWED} 'answers', count(*),
+          count(*) FILTER (NOT fresh) FROM walk {_BY}""",
+        _ANSWERED,
+        recursive=True,
+    )
+)
+def running_reports(spark, sf_dir):
+    """The reports that a stream over the whole request table leaves, stopped and started again half way."""
+    out = new_path(spark, "stream")
+    _in_halves(spark, sf_dir, out, (SEED, SEED), f"{out}/reports")
+    return reports.read(spark, f"{out}/reports")

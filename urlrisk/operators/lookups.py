@@ -100,6 +100,13 @@ def latest(store: DataFrame) -> DataFrame:
     return keep_first(store, "url", [F.desc("version")])
 
 
+def store_hits(requests: DataFrame, store: DataFrame, rows_per_task: int = ROWS_PER_TASK, row_id: Sequence[str] = ("line",)) -> DataFrame:
+    """``(url, hit)`` per request, without any features: what a report of hits needs."""
+    known = store.select("url", F.lit(True).alias("_hit")).distinct()
+    joined = lookup_join(requests, known, "url", row_id, "left", rows_per_task)
+    return joined.select("url", F.col("_hit").isNotNull().alias("hit"))
+
+
 def hit_ratio(looked_up: DataFrame) -> DataFrame:
     """One row: requests, hits and their share (null for no requests)."""
     return looked_up.agg(

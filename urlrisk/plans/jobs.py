@@ -23,7 +23,7 @@ from urlrisk.plans import expand, forest, model as fitted, prepare, scoring
 from urlrisk.session import build_session, materialize
 from urlrisk.sources import readers, sinks
 from urlrisk.sources.history import History
-from urlrisk.streaming import serve
+from urlrisk.streaming import reports, serve
 
 logger = logging.getLogger(__name__)
 
@@ -42,7 +42,10 @@ def run_prepare(spark: SparkSession, args) -> None:
     sinks.write_version(sample, args.out)
     if args.rejects:
         _write_rejects(quality.rejects(audited), args.rejects, args)
-    quality.drop_report(audited).show(truncate=False)
+    dropped = materialize(quality.drop_report(audited), "drops")
+    if args.reports:
+        reports.add(reports.of_prepare(quality.stage_counts(audited), dropped), args.reports, 0, f"prepare-{_run_id(args)}")
+    dropped.show(truncate=False)
 
 
 def run_features(spark: SparkSession, args) -> None:
@@ -102,9 +105,11 @@ def run_score(spark: SparkSession, args) -> None:
     urls = urls.withColumn("line", F.monotonically_increasing_id())
     if args.input:
         urls = materialize(urls, "lines")
-    scored = scoring.score_urls(
-        urls, forest.load(spark, args.model), _parquet(spark, args.dns), ["line"], store
-    )
+    model, dns = forest.load(spark, args.model), _parquet(spark, args.dns)
+    scored = scoring.score_urls(urls, model, dns, ["line"], store)
+    if args.reports and store is not None:
+        hits = lookups.store_hits(urls, store)
+        reports.add(reports.of_lookups(hits), args.reports, 0, f"score-{_run_id(args)}")
     if args.log:
         # Written once: the table and the log both read it.
         scored = materialize(scored, "scores")
@@ -127,9 +132,19 @@ def run_stream_score(spark: SparkSession, args) -> None:
         args.checkpoint,
         args.ttl,
         trigger={"processingTime": args.every} if args.every else None,
+        counts=args.reports,
     ).awaitTermination()
 
 
+def run_reports(spark: SparkSession, args) -> None:
+    """The running reports as they stand: written to ``--out`` or shown."""
+    found = reports.read(spark, args.reports, args.report)
+    if args.out:
+        found.write.mode("errorifexists").parquet(args.out)
+    else:
+        found.orderBy(*reports.KEYS).show(args.rows, truncate=False)
+
+
 def run_expand_links(spark: SparkSession, args) -> None:
     """Label the links of new domains; every domain a run meets is visited from then on.
 
@@ -239,6 +254,7 @@ def parser() -> argparse.ArgumentParser:
     for option in ("structured", "flat", "ranked", "rejects"):
         sub.add_argument(f"--{option}")
     sub.add_argument("--no-header", action="store_true", help="the ranked file has no header line")
+    sub.add_argument("--reports", help="running reports to add to")
     sub.add_argument("--cap", type=int, default=schema.CLASS_CAP)
     sub.add_argument("--seed", type=int, default=schema.SEED)
 
@@ -263,6 +279,7 @@ def parser() -> argparse.ArgumentParser:
     source.add_argument("--input", help="text file, one URL per line")
     source.add_argument("--url")
     sub.add_argument("--store", help="feature store to look in first")
+    sub.add_argument("--reports", help="running reports to add the store's hits to")
     sub.add_argument("--out")
     sub.add_argument("--log")
 
@@ -271,6 +288,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--files-per-trigger", type=int)
     sub.add_argument("--bytes-per-trigger", type=int, default=serve.BYTES_PER_TRIGGER)
     sub.add_argument("--bodies", action="store_true", help="the input holds JSON request bodies")
+    sub.add_argument("--reports", help="running reports to add to")
     sub.add_argument("--every", help="trigger interval; default: handle what is there and stop")
 
     sub = job("expand-links", run_expand_links, "pages", "statuses", "model", "dns", "out")
@@ -280,6 +298,11 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--no-cap", action="store_true")
     sub.add_argument("--rejects")
 
+    sub = job("reports", run_reports, "reports")
+    sub.add_argument("--report", help="one report; default: all")
+    sub.add_argument("--out")
+    sub.add_argument("--rows", type=int, default=1000, help="rows to show")
+
     sub = job("merge", run_merge, "table", "found")
     sub.add_argument("--dry-run", action="store_true")
     return top

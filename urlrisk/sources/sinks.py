@@ -12,6 +12,7 @@ stays short and a micro-batch costs the same after any number of others.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,10 +75,12 @@ def write_version(df: DataFrame, root: str) -> str:
     return path
 
 
-def append_segment(df: DataFrame, root: str, segment: int | None = None, writer: str = "") -> str:
+def append_segment(
+    df: DataFrame, root: str, segment: int | None = None, writer: str = "", combine: Callable[[DataFrame], DataFrame] | None = None
+) -> str:
     """Add rows to the current version as segment number ``segment`` of ``writer``, or the next free number.
 
-    Only the same number of the same writer is replaced; one that has been merged
+    Segments are merged as they are, or by ``combine``, see :func:`merge_segments`. Only the same number of the same writer is replaced; one that has been merged
     or rewritten since is in the table already and is left as it is. Returns where
     the rows were written.
     """
@@ -101,7 +104,7 @@ def append_segment(df: DataFrame, root: str, segment: int | None = None, writer:
 
         manifest.commit(spark, root, change)
         if not taken:
-            merge_segments(spark, root)
+            merge_segments(spark, root, combine=combine)
             return path
 
 
@@ -111,11 +114,16 @@ def _next_number(state: dict) -> int:
     return max([*listed, *gone], default=-1) + 1
 
 
-def merge_segments(spark: SparkSession, root: str, fan: int | None = None) -> bool:
+def merge_segments(
+    spark: SparkSession, root: str, fan: int | None = None, combine: Callable[[DataFrame], DataFrame] | None = None
+) -> bool:
     """Merge the oldest segments of a level that has ``fan`` of them; whether there was one.
 
     The files are read and written without a shuffle; a scan packs small ones into
-    one task, so that is also how large the new ones are.
+    one task, so that is also how large the new ones are. ``combine`` turns the
+    rows of some segments into fewer that stand for them, such as their sums; it
+    must not matter which segments are combined first, and the numbers of the
+    segments are lost.
     """
     fan = fan or FAN
     state = _filled(manifest.load(spark, root)[1])
@@ -127,7 +135,10 @@ def merge_segments(spark: SparkSession, root: str, fan: int | None = None) -> bo
             continue
         merged = entries[:fan]
         path = f"{root}/data/{uuid.uuid4().hex}"
-        spark.read.parquet(*(f"{root}/{entry['path']}" for entry in merged)).write.parquet(path)
+        rows = spark.read.parquet(*(f"{root}/{entry['path']}" for entry in merged))
+        if combine is not None:
+            rows = _stamped(combine(rows.drop(*_OWN)), merged[-1]["number"], "")
+        rows.write.parquet(path)
 
         def change(state: dict) -> dict | None:
             state = _filled(state)

@@ -21,6 +21,7 @@ from urlrisk.schema import CACHE_TTL_SECONDS, REQUESTS
 from urlrisk.session import materialize
 from urlrisk.sources.readers import explode_requests
 from urlrisk.sources.sinks import append_segment, read_table
+from urlrisk.streaming import reports
 from urlrisk.streaming.fresh import flag_fresh
 
 # Input of one micro-batch, where the caller names no number of files.
@@ -61,9 +62,12 @@ def stream_score(
     checkpoint: str,
     ttl_seconds: int = CACHE_TTL_SECONDS,
     trigger: dict | None = None,
+    counts: str | None = None,
 ) -> StreamingQuery:
     """Answer every request, however late; log only the fresh ones.
 
+    With ``counts`` each micro-batch adds to the running reports there.
+
     Features, snapshot join and model are projections of the stream. A repeated
     request gets the answer that the state of its URL holds, also after a restart
     with another model or snapshot. Each micro-batch writes its own segment of
@@ -84,7 +88,10 @@ def stream_score(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, writer = batch.sparkSession, writer_of(batch, checkpoint)
         path = append_segment(batch, answers, batch_id, writer)
-        append_segment(prediction_log(spark.read.parquet(path).filter("fresh")), log, batch_id, writer)
+        written = spark.read.parquet(path)
+        append_segment(prediction_log(written.filter("fresh")), log, batch_id, writer)
+        if counts:
+            reports.add(reports.of_answers(written), counts, batch_id, writer)
 
     return (
         answered.writeStream.foreachBatch(write)
