@@ -27,7 +27,22 @@ def test_csv_record_over_several_lines(spark, tmp_path):
     path = write(tmp_path / "a.csv", 'URL,LABEL\n"a.com/\nb",good\nc.com,bad\n')
     rows = readers.read_csv(spark, path).orderBy("row_ord").collect()
     assert [(r.URL, r.LABEL) for r in rows] == [("a.com/\nb", "good"), ("c.com", "bad")]
-    assert not readers._has_open_quotes(spark, write(tmp_path / "b.csv", 'x\n"a ""quoted"" word"\n'))
+    assert not readers._files_with_open_quotes(spark, write(tmp_path / "b.csv", 'x\n"a ""quoted"" word"\n'))
+
+
+def test_one_odd_file_leaves_the_others_split(spark, tmp_path):
+    folder = tmp_path / "in put"
+    folder.mkdir()
+    write(folder / "a b.csv", 'URL,LABEL\n"a.com/\nb",good\nz.com,bad\n')
+    write(folder / "c.csv", "URL,LABEL\n" + "".join(f"u{i}.com,1\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        table = readers.read_csv(spark, str(folder))
+        assert table.rdd.getNumPartitions() > 8
+        rows = table.orderBy("row_ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.URL for r in rows] == ["a.com/\nb", "z.com", *(f"u{i}.com" for i in range(3000))]
 
 
 def test_file_order_survives_splits(spark, tmp_path):

@@ -15,7 +15,7 @@ from urlrisk.catalogue.registry import query
 from urlrisk.catalogue.request_queries import FRESH, request_files
 from urlrisk.operators.sample import balanced_sample
 from urlrisk.plans import expand, forest, model, scoring
-from urlrisk.schema import FEATURES, LINK_CAP, REQUESTS, SEED
+from urlrisk.schema import CLASS_CAP, FEATURES, LINK_CAP, REQUESTS, SEED
 from urlrisk.session import materialize, new_path
 from urlrisk.sources.sinks import read_table
 from urlrisk.streaming import reports, serve
@@ -40,6 +40,50 @@ def train_score(spark, sf_dir):
     return trained(spark, sf_dir).metrics
 
 
+_TRAIN = f"substr(md5('split|{SEED}|' || url), 1, 2) < 'cd'"
+_SAMPLED = {
+    **GIVEN_FIRST,
+    "balance": f"""SELECT least(count(*) FILTER (label = 0), count(*) FILTER (label = 1), {CLASS_CAP}) AS target FROM feature_rows""",
+    "sampled": f"""SELECT * FROM feature_rows QUALIFY row_number() OVER (
+      PARTITION BY label ORDER BY md5('{SEED}|' || url), url) <= (SELECT target FROM balance)""",
+}
+
+
+@query(
+    oracle(
+        TABLE_VIEWS,
+        f"""SELECT count(*) FILTER ({_TRAIN}) AS n_train, count(*) FILTER ({_TRAIN} AND label = 1) AS n_train_phishing,
+          count(*) FILTER (NOT {_TRAIN}) AS n_test, {len(FEATURES)} AS n_features, {model.TREES} AS n_trees FROM sampled""",
+        _SAMPLED,
+    )
+)
+def train_summary(spark, sf_dir):
+    """What the forest was fitted on and how large it is: the part of the fit that does not depend on its chances."""
+    return trained(spark, sf_dir).summary
+
+
+@query(
+    oracle(
+        TABLE_VIEWS,
+        """SELECT count(*) AS n, tp, fp, fn, CAST(sum(CAST(label = prediction AS INT)) AS DOUBLE) / count(*) AS accuracy,
+          coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS precision,
+          coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS recall
+        FROM (SELECT *, count(*) FILTER (label = 1 AND prediction = 1) OVER () AS tp,
+          count(*) FILTER (label = 0 AND prediction = 1) OVER () AS fp,
+          count(*) FILTER (label = 1 AND prediction = 0) OVER () AS fn FROM test JOIN scored USING (url)) x GROUP BY tp, fp, fn""",
+        {
+            **_SAMPLED,
+            "train": f"SELECT * FROM sampled WHERE {_TRAIN}",
+            "test": f"SELECT * FROM sampled WHERE NOT {_TRAIN}",
+            **sql.forest("test", "train", "url"),
+        },
+    )
+)
+def train_random(spark, sf_dir):
+    """Randomised trees grown on the train part of the balanced sample, measured on the rest."""
+    return model.train_random(balanced_sample(training_set(spark, sf_dir))).metrics
+
+
 @query()
 def feature_importance(spark, sf_dir):
     return trained(spark, sf_dir).importances

@@ -89,6 +89,13 @@ def merge_report(existing: DataFrame, incoming: DataFrame, order: Sequence[str])
     )
 
 
+def size_report(existing: DataFrame, added: DataFrame) -> DataFrame:
+    """The same row where the rows to add are known already: nothing is joined."""
+    before = existing.agg(F.count(F.lit(1)).alias("rows_before"))
+    new = added.agg(F.count(F.lit(1)).alias("rows_new")).first()[0]
+    return before.select("rows_before", (F.col("rows_before") + new).alias("rows_after"), F.lit(new).alias("rows_new"))
+
+
 def upsert(store: DataFrame, changes: DataFrame, key: str = "url", version: str = "version") -> DataFrame:
     """Latest row per key over an append-only store and its changes."""
     return keep_first(store.unionByName(changes), key, [F.desc(version)])

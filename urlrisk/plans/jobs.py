@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import hashlib
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,12 +58,14 @@ def run_features(spark: SparkSession, args) -> None:
         urls = top_domains(normalize_ranked(_ranked(spark, args)), args.top).select("url").distinct()
     else:
         urls = _table(spark, args.input).select("url").distinct()
-    store = sinks.read_table(spark, args.store)
-    if store is not None and not args.refresh:
-        urls = urls.join(store.select("url"), "url", "left_anti")
+    known, run = _known_urls(spark, args.store), f"{args.job}-{uuid.uuid4().hex}"
+    if not args.refresh:
+        urls = known.lacking(urls)
     rows = materialize(lookups.extract(urls, _parquet(spark, args.dns), ["url"]), "extracted")
     stamped = rows.filter("status = 'ok'").drop("status")
     sinks.append_segment(stamped.withColumn("version", F.unix_micros(F.current_timestamp())), args.store)
+    # A run lost before this line adds its URLs again, as a newer version of the same rows.
+    known.add(stamped, run)
     _write_failed(rows, args.rejects, args)
 
 
@@ -191,10 +194,27 @@ def run_merge(spark: SparkSession, args) -> None:
     if incoming is None:
         incoming = spark.createDataFrame([], schema.LABELLED).withColumn("segment", F.lit(0))
     order = ("segment", "label")
-    dedupe.merge_report(existing, incoming, order).show()
-    if not args.dry_run:
-        added = dedupe.new_rows(existing, incoming, order).select("url", "label")
-        sinks.append_segment(added, args.table)
+    if args.dry_run:
+        dedupe.merge_report(existing, incoming, order).show()
+        return
+    known, run = _known_urls(spark, args.table), _run_id(args)
+    # Only the found rows are shuffled. What an earlier attempt of this run has added counts as found.
+    before = known.read().filter(F.col("run") != run)
+    added = materialize(dedupe.new_rows(before, incoming, order).select("url", "label"), "merged")
+    dedupe.size_report(existing, added).show()
+    if not added.isEmpty():
+        sinks.append_segment(added, args.table, 0, f"merge-{run}")
+        known.add(added, run)
+
+
+def _known_urls(spark: SparkSession, root: str) -> History:
+    """URLs of the current version of a table, bucketed; filled from the table when it is first asked for."""
+    version = (sinks.versions(spark, root) or [0])[-1]
+    known = History(spark, f"{root.rstrip('/')}/_urls-{version}", "url")
+    if not known.exists():
+        table = sinks.read_table(spark, root)
+        known.add(spark.createDataFrame([], "url string") if table is None else table, "table")
+    return known
 
 
 def _run_id(args) -> str:

@@ -26,6 +26,7 @@ class Trained:
     model: PipelineModel | Forest
     metrics: DataFrame
     importances: DataFrame
+    summary: DataFrame
 
 
 def fit(train: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> PipelineModel:
@@ -96,12 +97,26 @@ def importances(model: PipelineModel | Forest) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, "feature STRING, importance DOUBLE")
 
 
+def summary(model: PipelineModel | Forest, train_rows: DataFrame, test_rows: DataFrame) -> DataFrame:
+    """One row: rows of both parts, phishing rows of the first, features and trees."""
+    if isinstance(model, Forest):
+        features, trees = len(FEATURES), len({node.tree for node in model.nodes})
+    else:
+        features, trees = model.stages[-1].numFeatures, model.stages[-1].getNumTrees
+    parts = train_rows.select(F.lit(True).alias("_train"), "label").unionByName(test_rows.select(F.lit(False).alias("_train"), "label"))
+    return parts.agg(
+        F.count_if("_train").alias("n_train"),
+        F.count_if(F.col("_train") & (F.col("label") == 1)).alias("n_train_phishing"),
+        F.count_if(~F.col("_train")).alias("n_test"),
+    ).select("*", F.lit(features).alias("n_features"), F.lit(trees).alias("n_trees"))
+
+
 def train(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Trained:
     """Split by URL, fit on the train part, measure on the rest."""
     rows = materialize(rows, "training-set")
     train_rows, test_rows = train_test_split(rows, seed)
     model = fit(train_rows, trees, depth, seed)
-    return Trained(model, evaluate(model, test_rows), importances(model))
+    return Trained(model, evaluate(model, test_rows), importances(model), summary(model, train_rows, test_rows))
 
 
 def train_random(rows: DataFrame, trees: int = RANDOM_TREES, depth: int = RANDOM_DEPTH, seed: int = SEED) -> Trained:
@@ -109,4 +124,4 @@ def train_random(rows: DataFrame, trees: int = RANDOM_TREES, depth: int = RANDOM
     rows = materialize(rows, "training-set")
     train_rows, test_rows = train_test_split(rows, seed)
     model = fit_random_trees(train_rows, trees, depth, seed)
-    return Trained(model, evaluate(model, test_rows), importances(model))
+    return Trained(model, evaluate(model, test_rows), importances(model), summary(model, train_rows, test_rows))

@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 
 from urlrisk.sources import manifest
 
-BUCKETS = 200
 # Runs whose files lie side by side in a bucket before they are merged.
 RUNS = 50
 
 
 class History:
-    """The history at ``root``; ``buckets`` counts for a new one."""
+    """The history at ``root``. A new one gets ``buckets``, about one per 128 MB of keys, or else the shuffle partitions."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, key: str, buckets: int | None = None):
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
         self.new = {"key": key, "buckets": buckets, "folder": f"data/{uuid.uuid4().hex}", "runs": []}
 
@@ -44,6 +44,9 @@ class History:
         )
         return name
 
+    def exists(self) -> bool:
+        return bool(self._state())
+
     def read(self) -> DataFrame:
         """``(key, run)``: every key and the run that added it."""
         state = self._state()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import re
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,17 +23,27 @@ def read_csv(
     """A CSV table as text columns plus ``row_ord``, its position in the input.
 
     Missing-value spellings become null. A record may hold line breaks inside
-    quotes only if some line has an odd number of quotes; when none has, which
-    one parallel pass over the lines tells, the files are read in splits.
-    Pass ``quoted_newlines`` to skip that pass.
+    quotes only if some line of its file has an odd number of quotes; one parallel
+    pass over the lines finds these files. They are read whole, each by one task,
+    all other files in splits. Pass ``quoted_newlines`` to skip that pass and read
+    all files the same way.
     """
-    if quoted_newlines is None:
-        quoted_newlines = _has_open_quotes(spark, path)
+    if quoted_newlines is not None:
+        return _csv(spark, [path], header, quoted_newlines)
+    whole = _files_with_open_quotes(spark, path)
+    if not whole:
+        return _csv(spark, [path], header, False)
+    split = [file for file in map(_plain, spark.read.text(path).inputFiles()) if file not in whole]
+    rows = _csv(spark, sorted(whole), header, True)
+    return rows.unionByName(_csv(spark, split, header, False)) if split else rows
+
+
+def _csv(spark: SparkSession, paths: list[str], header: bool, quoted_newlines: bool) -> DataFrame:
     table = (
         spark.read.option("header", header)
         .option("escape", '"')
         .option("multiLine", quoted_newlines)
-        .csv(path)
+        .csv(paths)
     )
     return table.select(
         *[missing_to_null(f"`{name}`").alias(name) for name in table.columns],
@@ -43,9 +55,16 @@ def read_csv(
     )
 
 
-def _has_open_quotes(spark: SparkSession, path: str) -> bool:
+def _plain(uri: str) -> str:
+    """A file as a reader takes it; local files are spelled with one or three slashes."""
+    return re.sub("^file:/+", "file:///", unquote(uri))
+
+
+def _files_with_open_quotes(spark: SparkSession, path: str) -> set[str]:
+    """Files in which some line has an odd number of quotes."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return {_plain(row["file"]) for row in lines.filter(quotes % 2 == 1).select("file").distinct().collect()}
 
 
 def read_required(spark: SparkSession, path: str, **options) -> DataFrame:
