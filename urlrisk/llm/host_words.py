@@ -31,7 +31,8 @@ COMMON_WORDS = ("best", "buy", "cheap", "farm", "free", "online", "shop", "site"
 SEED_PER_10000 = 18
 # Share of an unknown word, a tenth of it for each letter.
 UNKNOWN_SHARE = 1 / 30_000
-MAX_WORD = 20
+# Words of up to so many letters are looked up as they are, longer ones by their first so many.
+DIRECT = 20
 # Smoothing of the Bayes model: added to each token count, a share of the mean count; to each class, of all rows.
 SMOOTHING = 0.01
 
@@ -68,17 +69,24 @@ def tokens(text: Column) -> Column:
 def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     """``(name, parts array<string>)``: each name cut into its likeliest words.
 
-    ``counts`` has ``(word, n)``. Every part of a name of up to ``MAX_WORD``
-    letters is looked up by a join, so the word table may have any size; a task
-    sees the known words of one name at a time. An unknown stretch costs ten
-    times more with each letter. Counts multiplied by a number give the same parts.
+    ``counts`` has ``(word, n)``. Every part of a name that may be a word is looked
+    up by a join, so the word table may have any size and words any length; a task
+    sees the known words of one name at a time. An unknown stretch may be of any
+    length and costs ten times more with each letter. Counts multiplied by a number
+    give the same parts.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     spans = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("_at"))
     spans = spans.select(
-        "name", "_at", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("name") - F.col("_at") + 1))).alias("_n")
-    ).withColumn("word", F.expr("substring(name, _at, _n)"))
-    known = spans.join(counts, "word").groupBy("name").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+        "name", "_at", F.explode(F.sequence(F.lit(1), F.least(F.lit(DIRECT), F.length("name") - F.col("_at") + 1))).alias("_n")
+    ).withColumn("_part", F.expr("substring(name, _at, _n)"))
+    short = spans.join(counts.filter(F.length("word") <= DIRECT).withColumn("_part", F.col("word")), "_part")
+    # A longer word begins with a part of full length and goes on as the name does.
+    long = counts.filter(F.length("word") > DIRECT).withColumn("_part", F.substring("word", 1, DIRECT))
+    goes_on = F.expr("startswith(substring(name, _at), word)")
+    long = spans.filter(F.col("_n") == DIRECT).join(long, "_part").filter(goes_on)
+    found = short.select("name", "word", "n").unionByName(long.select("name", "word", "n"))
+    known = found.groupBy("name").agg(F.collect_set(F.struct("word", "n")).alias("known"))
 
     def cut(name: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([viterbi(a, {w["word"]: w["n"] for w in b} if b is not None else {}, total) for a, b in zip(name, known, strict=True)])
@@ -88,18 +96,30 @@ def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def viterbi(name: str, counts: dict[str, int], total: float) -> list[str]:
-    """Likeliest split under independent words; of equal ones the one with the longer last word."""
+    """Likeliest split under independent words; of equal ones the one with the longer last word.
+
+    A known word costs what its share says, any other stretch what its length says.
+    The cheapest beginning of an unknown stretch is kept as the end moves on.
+    """
+    letter, unknown = math.log(10), -math.log(UNKNOWN_SHARE)
+    lengths = sorted({len(word) for word, n in counts.items() if n}, reverse=True)
     best, start = [0.0], [0]
+    opened, opening = 0.0, 0  # least cost of all before a stretch, less its letters so far
     for end in range(1, len(name) + 1):
-        options = []
-        for begin in range(max(0, end - MAX_WORD), end):
-            word = name[begin:end]
-            n = counts.get(word)
-            cost = math.log(total / n) if n else len(word) * math.log(10) - math.log(UNKNOWN_SHARE)
-            options.append((best[begin] + cost, begin))
-        value, begin = min(options)
+        value, begin = opened + letter * end + unknown, opening
+        if counts.get(name[begin:end]):
+            # This stretch is a word: the cheapest that is none begins elsewhere.
+            others = [(best[b] + letter * (end - b) + unknown, b) for b in range(end) if not counts.get(name[b:end])]
+            value, begin = min(others, default=(math.inf, 0))
+        for length in lengths:
+            if length <= end:
+                n = counts.get(name[end - length : end])
+                if n:
+                    value, begin = min((value, begin), (best[end - length] + math.log(total / n), end - length))
         best.append(value)
         start.append(begin)
+        if value - letter * end < opened - 1e-12:
+            opened, opening = value - letter * end, end
     out, end = [], len(name)
     while end:
         out.append(name[start[end] : end])
@@ -142,7 +162,7 @@ def judge_urls(
     # Counts of words over all titles and paths, and the seeds with a share of their sum; whole numbers in 1/10,000.
     # An empty list still counts once as itself, so it is removed before exploding.
     seen = urls.select(F.explode(F.concat(tokens(F.col("_title")), tokens(F.col("_shape")))).alias("word"))
-    seen = seen.filter(F.length("word") <= MAX_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    seen = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     seen = materialize(seen, "seen-words")
     seed = SEED_PER_10000 * max(seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"], 1)
     known = pages.sparkSession.createDataFrame([(w, seed) for w in sorted({*seeds, *COMMON_WORDS})], "word string, n long")
