@@ -55,6 +55,19 @@ def test_thousands_of_hot_keys_in_one_pass(spark):
     assert got.agg(F.count("id"), F.sum("v")).first() == facts.join(table, "key").agg(F.count("id"), F.sum("v")).first()
 
 
+def test_hot_keys_over_empty_partitions(spark, facts):
+    assert hot_keys(facts.limit(0), "key").count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        for part in (facts, facts.repartition(40, "key"), facts.filter("id < 3").repartition(30)):
+            assert hot_keys(part, "key", 100).count() == (2 if part.count() > 3 else 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_broadcast_is_decided_by_whole_rows(spark, monkeypatch):
     wide = spark.createDataFrame([("k", "x" * 1000)], "key STRING, v STRING")
     monkeypatch.setattr(skew, "BROADCAST_BYTES", 500)
