@@ -38,7 +38,7 @@ def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> Dat
     )
     merged = F.expr(f"approx_top_k_estimate(approx_top_k_combine(_sketch, {TRACKED}), {HOT_SHARE})")
     # Grouped by a constant: an empty partition would have a sketch of no type, which can not be merged.
-    found = sketches.groupBy(F.lit(0)).agg(F.sum("_n").alias("_n"), merged.alias("_top"))
+    found = sketches.groupBy(F.lit("all")).agg(F.sum("_n").alias("_n"), merged.alias("_top"))
     found = found.select("_n", F.inline("_top").alias("_key", "_count"))
     unit = F.greatest(F.lit(rows_per_task), F.ceil(F.col("_n") / HOT_SHARE))
     # Fewer than HOT_SHARE rows: kept here, so that the pass runs once for both sides of a join.
