@@ -193,7 +193,9 @@ def brute_repeats(texts):
     return out
 
 
-def test_repeats_match_brute_force(spark, docs, empty):
+@pytest.mark.parametrize("hot_runs", [0, 3, 2048])
+def test_repeats_match_brute_force(spark, docs, empty, monkeypatch, hot_runs):
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot_runs)
     texts = [t if len(t[1] or "") < 12000 else (t[0], t[1][:12000]) for t in odd_texts()]
     texts += [(200 + k, passage(300 + k, 20) + passage(77, 60)[k:] + passage(400 + k, 20)) for k in range(12)]
     texts += [(300, "ab" * 300), (301, "x" + "ab" * 150), (302, passage(500, 30) * 3)]

@@ -6,6 +6,8 @@ runs with equal k-grams need to be compared. Runs are grouped by it:
 
 * a run that is alone in its group has no repeat;
 * runs that are equal as a whole repeat entirely;
+* where a k-gram has very many other runs, each of their strings is dealt by a
+  hash of its bytes, and strings that agree in a second hash too are equal;
 * for the rest the starts inside the runs are sorted as suffixes: a mergesort in
   which two suffixes are compared by prefix polynomial hashes and binary search
   for their common extension. Neighbours that agree in ``LENGTH`` bytes are
@@ -39,6 +41,7 @@ from urlrisk.llm.arrays import (
     slices,
     text_bytes,
     unpack,
+    word_hashes,
 )
 from urlrisk.session import materialize
 
@@ -52,6 +55,10 @@ KEY_BYTES = 6
 # Suffixes that are hashed and that are sorted in one go; groups that may be equal are never split.
 HASHED_AT_ONCE = 1 << 18
 SORTED_AT_ONCE = 1 << 16
+# Undecided runs of one k-gram that are sorted by one task. Of more, the single strings are dealt by their hashes.
+HOT_RUNS = 2048
+HOT = 256
+SECOND_BYTES = 4
 NO_ID = -(1 << 63)
 _MAX = np.iinfo(np.uint64).max
 
@@ -151,7 +158,7 @@ def _pack_runs(parts: int, bits: int):
 
 
 def _judge_runs(bits: int):
-    """Per part: runs that repeat as a whole (mark 1) and runs whose text must be looked at (mark 2)."""
+    """Per part: runs that repeat as a whole (mark 1), runs whose text must be looked at (2), whose strings must be (4)."""
 
     def work(batches: Iterator[pa.RecordBatch]):
         for table in grouped(batches, "part"):
@@ -173,7 +180,9 @@ def _judge_runs(bits: int):
             kind = np.cumsum(new_w) - 1
             in_kind = np.bincount(kind)[kind]
             kinds_in_group = np.bincount(group[new_w])[group]
-            mark = (in_kind > 1) * 1 + ((kinds_in_group > 1) & new_w) * 2
+            undecided = (kinds_in_group > 1) & new_w
+            crowded = np.bincount(group[undecided], minlength=int(group[-1]) + 1)[group] > HOT_RUNS
+            mark = (in_kind > 1) * 1 + undecided * np.where(crowded, 4, 2)
             marks = np.empty(len(order), np.uint8)
             marks[order] = mark
             keep = marks > 0
@@ -203,8 +212,8 @@ MARKED = "id long, mark long, cover binary, sent binary"
 def _by_document(bits: int):
     """Per chunk: spans of runs that repeat as a whole and runs to be sent, for each document that has any.
 
-    ``cover`` holds pairs of start and end, ``sent`` start, number of starts and
-    k-gram, all as little-endian integers.
+    ``cover`` holds pairs of start and end, ``sent`` start, number of starts (and
+    ``HOT`` for strings to be dealt) and k-gram, all as little-endian integers.
     """
 
     def work(batches: Iterator[pa.RecordBatch]):
@@ -224,8 +233,9 @@ def _by_document(bits: int):
             mark = np.frombuffer(joined["marks"], np.uint8)
             order = np.lexsort((start, doc))
             doc, start, count, mark, gram = (x[order] for x in (doc, start, count, mark, gram))
-            full, sent = (mark & 1) > 0, (mark & 2) > 0
-            spans = np.stack([start[full], start[full] + count[full] + LENGTH - 1], 1).astype("<u4")
+            full, sent = (mark & 1) > 0, (mark & 6) > 0
+            count = count + HOT * ((mark & 4) > 0)
+            spans = np.stack([start[full], start[full] + count[full] % HOT + LENGTH - 1], 1).astype("<u4")
             wanted = np.stack([start[sent].astype("<u8"), count[sent].astype("<u8"), gram[sent]], 1)
             present = np.flatnonzero(np.bincount(doc))
             low, high = np.searchsorted(doc[full], present), np.searchsorted(doc[full], present, "right")
@@ -253,14 +263,22 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:] - 1, len(spans) - 1)]], 1).astype("<u4")
 
 
-SENT = "part int, grams binary, counts binary, texts binary, ids binary, marks binary, starts binary"
+# Kind 2: texts of runs by k-gram. Kind 1: strings by their hash, which is in ``grams``, the second hash in ``counts``.
+# Kind 0: ids and marks of the documents that the strings of a chunk lie in.
+SENT = "kind int, chunk long, part int, grams binary, counts binary, texts binary, ids binary, marks binary, starts binary, docs binary"
 _SENT_NAMES = [c.split()[0] for c in SENT.split(", ")]
 
 
 def _send_runs(parts: int, bits: int):
-    """Texts of undecided runs, packed by k-gram."""
+    """Texts of undecided runs, packed by k-gram, and hashes of the strings of hot ones, packed by hash."""
+    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        arrays = [pa.array([r.get(n) for r in rows], t) for n, t in zip(_SENT_NAMES, types, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, _SENT_NAMES)
 
     def work(batches: Iterator[pa.RecordBatch]):
+        tables: dict = {}
         for batch in slices(batches, "_text"):
             data, at = text_bytes(batch.column("_text"))
             sent = batch.column("_sent").to_pylist()
@@ -271,6 +289,12 @@ def _send_runs(parts: int, bits: int):
             table, doc = table[order], doc[order]
             fresh = np.append(True, (doc[1:] != doc[:-1]) | (table[1:, 0] != table[:-1, 0])) if len(doc) else np.zeros(0, bool)
             table, doc = table[fresh], doc[fresh]
+            hot = table[:, 1] >= HOT
+            if hot.any():
+                ids, marks = _longs(batch.column("_id")).tobytes(), _longs(batch.column("_mark")).tobytes()
+                rolling = Rolling(data, tables=tables)
+                yield batch_of(_strings(data, at, rolling, table[hot], doc[hot], ids, marks, parts, bits))
+                table, doc = table[~hot], doc[~hot]
             if not len(doc):
                 continue
             gram = table[:, 2]
@@ -280,21 +304,45 @@ def _send_runs(parts: int, bits: int):
             start, count = table[:, 0].astype(np.int64), table[:, 1].astype(np.int64)
             ids, marks = _longs(batch.column("_id"))[doc], _longs(batch.column("_mark"))[doc]
             edges = np.searchsorted(part, np.arange(parts + 1))
-            out: dict[str, list] = {n: [] for n in _SENT_NAMES}
+            out = []
             for p in np.flatnonzero(np.diff(edges)).tolist():
                 x = slice(edges[p], edges[p + 1])
                 text = data[ragged(at[doc[x]] + start[x], count[x] + LENGTH - 1)]
-                values = (p, table[x, 2].tobytes(), count[x].astype(np.uint8).tobytes(), text.tobytes(), ids[x].tobytes(),
-                          marks[x].tobytes(), start[x].astype("<u4").tobytes())
-                for n, value in zip(_SENT_NAMES, values, strict=True):
-                    out[n].append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[n], pa.int32() if n == "part" else pa.binary()) for n in _SENT_NAMES], _SENT_NAMES
-            )
+                out.append(
+                    {"kind": 2, "chunk": 0, "part": p, "grams": table[x, 2].tobytes(), "counts": count[x].astype(np.uint8).tobytes(),
+                     "texts": text.tobytes(), "ids": ids[x].tobytes(), "marks": marks[x].tobytes(), "starts": start[x].astype("<u4").tobytes()}
+                )
+            yield batch_of(out)
 
     return work
 
 
+def _strings(data, at, rolling: Rolling, table: np.ndarray, doc: np.ndarray, ids: bytes, marks: bytes, parts: int, bits: int) -> list[dict]:
+    """Rows of :data:`SENT` for every string of the hot runs of one slice."""
+    start, count = table[:, 0].astype(np.int64), table[:, 1].astype(np.int64) - HOT
+    inside, owner = ragged(start, count), np.repeat(doc, count)
+    place = at[owner] + inside
+    key = mix(rolling.of(place, place + LENGTH))
+    second = np.empty(len(place), np.uint64)
+    for k in range(0, len(place), 1 << 13):
+        some = slice(k, k + (1 << 13))
+        second[some] = word_hashes(data, place[some], place[some] + LENGTH)
+    chunk = content_number(ids, marks, start.tobytes())
+    part = (key >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    keys, seconds = pack(key[order], KEY_BYTES), pack(second[order], SECOND_BYTES)
+    inside, owner = inside[order].astype("<u4"), owner[order].astype("<u4")
+    rows = [{"kind": 0, "chunk": chunk, "part": chunk % parts, "ids": ids, "marks": marks}]
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        x = slice(edges[p], edges[p + 1])
+        rows.append(
+            {"kind": 1, "chunk": chunk, "part": p, "grams": keys[x].tobytes(), "counts": seconds[x].tobytes(),
+             "starts": inside[x].tobytes(), "docs": owner[x].tobytes()}
+        )
+    return rows
+
+
 class RunHashes:
     """Prefix polynomial hashes of many short runs, exponents counted from the start of each run."""
 
@@ -414,9 +462,79 @@ def _same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sort_runs(batches: Iterator[pa.RecordBatch]):
-    """Per part: the span of repeated strings in each undecided run, packed per document row."""
+# Kind 2: a span of repeated strings. Kinds 1 and 0: repeated strings of a chunk and its documents, as in SENT.
+DECIDED = "kind int, chunk long, id long, mark long, cover binary, starts binary, docs binary, ids binary, marks binary"
+_DECIDED_NAMES = [c.split()[0] for c in DECIDED.split(", ")]
+_DECIDED_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5)
+
+
+def _decided(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    arrays = [columns.get(name, pa.nulls(n, t)) for name, t in zip(_DECIDED_NAMES, _DECIDED_TYPES, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, _DECIDED_NAMES)
+
+
+def _decide(batches: Iterator[pa.RecordBatch]):
+    """Per part: sorts its runs, compares the hashes of its strings, hands on the documents of chunks."""
     for table in grouped(batches, "part"):
+        kinds = table.column("kind").to_numpy()
+        heads, strings, runs = (table.filter(pa.array(kinds == k)) for k in (0, 1, 2))
+        del table
+        if heads.num_rows:
+            names = ("chunk", "ids", "marks")
+            columns = {n: heads.column(n).combine_chunks() for n in names}
+            columns = {n: c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for n, c in columns.items()}
+            yield _decided(heads.num_rows, kind=pa.array([0] * heads.num_rows, pa.int32()), **columns)
+        if strings.num_rows:
+            yield from _repeated_strings(strings)
+        if runs.num_rows:
+            for batch in _sort_runs(runs):
+                n = batch.num_rows
+                yield _decided(n, kind=pa.array([2] * n, pa.int32()), chunk=pa.array([0] * n, pa.int64()),
+                               id=batch.column("id"), mark=batch.column("mark"), cover=batch.column("cover"))
+
+
+def _repeated_strings(table: pa.Table):
+    """The strings, of one part, whose two hashes another string has too."""
+    joined = {n: b"".join(table.column(n).to_pylist()) for n in ("grams", "counts", "starts", "docs")}
+    key, second = unpack(joined["grams"], KEY_BYTES), unpack(joined["counts"], SECOND_BYTES)
+    row = np.repeat(np.arange(table.num_rows), [len(x) // KEY_BYTES for x in table.column("grams").to_pylist()])
+    order = np.lexsort((second, key))
+    same = (key[order][1:] == key[order][:-1]) & (second[order][1:] == second[order][:-1])
+    repeats = np.zeros(len(order), bool)
+    repeats[order[1:][same]] = repeats[order[:-1][same]] = True
+    cuts = np.searchsorted(row[repeats], np.arange(table.num_rows + 1))
+    starts, docs = (np.frombuffer(joined[n], "<u4")[repeats] for n in ("starts", "docs"))
+    some = np.flatnonzero(np.diff(cuts))
+    if len(some):
+        chunk = table.column("chunk").to_numpy()[some]
+        packed = {n: pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()) for n, x in (("starts", starts), ("docs", docs))}
+        yield _decided(len(some), kind=pa.array([1] * len(some), pa.int32()), chunk=pa.array(chunk, pa.int64()), **packed)
+
+
+def _cover_strings(batches: Iterator[pa.RecordBatch]):
+    """Per chunk: the spans of its repeated strings, for each document that has any."""
+    for table in grouped(batches, "chunk"):
+        kinds = table.column("kind").to_numpy()
+        own = table.filter(pa.array(kinds == 1))
+        if not own.num_rows:
+            continue
+        head = table.filter(pa.array(kinds == 0)).slice(0, 1).to_pylist()[0]
+        ids, marks = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["marks"], np.int64)
+        start, doc = (np.frombuffer(b"".join(own.column(n).to_pylist()), "<u4").astype(np.int64) for n in ("starts", "docs"))
+        order = np.lexsort((start, doc))
+        start, doc = start[order], doc[order]
+        present = np.flatnonzero(np.bincount(doc))
+        low, high = np.searchsorted(doc, present), np.searchsorted(doc, present, "right")
+        spans = np.stack([start, start + LENGTH], 1)
+        covers = [merged(spans[a:b]).tobytes() for a, b in zip(low, high, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[present]), pa.array(marks[present]), pa.array(covers, pa.binary())], ["id", "mark", "cover"]
+        )
+
+
+def _sort_runs(table: pa.Table):
+    """The span of repeated strings in each undecided run of one part, packed per document row."""
+    if table.num_rows:
         gram = np.frombuffer(b"".join(table.column("grams").to_pylist()), "<u8")
         count = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).astype(np.int64)
         order = np.argsort(gram, kind="stable")
@@ -481,10 +599,13 @@ def _covers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wanted = marked.filter(F.length("sent") > 0).groupBy("id", "mark").agg(F.collect_set("sent").alias("_sent"))
     sending = rows.join(wanted, (rows["_id"] == wanted["id"]) & (rows["_mark"] == wanted["mark"])).select("_id", "_mark", "_text", "_sent")
     sent = sending.mapInArrow(_send_runs(parts, bits), SENT)
-    sorted_runs = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_sort_runs, "id long, mark long, cover binary")
-    found = materialize(sorted_runs, "repeat-spans")
+    decided = sent.repartition(parts, "part").sortWithinPartitions("part", "kind", "chunk").mapInArrow(_decide, DECIDED)
+    decided = materialize(decided, "repeat-spans")
+    found = decided.filter("kind = 2").select("id", "mark", "cover")
+    strings = decided.filter("kind < 2").repartition("chunk").sortWithinPartitions("chunk")
+    dealt = strings.mapInArrow(_cover_strings, "id long, mark long, cover binary")
     whole = marked.filter(F.length("cover") > 0).select("id", "mark", "cover")
-    return whole.unionByName(found).groupBy("id", "mark").agg(F.collect_set("cover").alias("cover"))
+    return whole.unionByName(found).unionByName(dealt).groupBy("id", "mark").agg(F.collect_set("cover").alias("cover"))
 
 
 def _keyed(id_col: str, text_col: str):
