@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from urlrisk.llm.arrays import (
     BASE,
     BASE_INVERSE,
+    MIX_B,
     Rolling,
     byte_codes,
     content_number,
@@ -101,7 +102,8 @@ def runs_of(data: np.ndarray, at: np.ndarray, rolling: Rolling):
     count = np.diff(np.append(first, len(valid)))
     start = valid[first]
     whole = mix(rolling.of(start, start + count + LENGTH - 1) + count.astype(np.uint64))
-    return start, count, own[first], whole, np.searchsorted(at, start, "right") - 1
+    # The smallest of many hashes is a small number; mixed again, its high bits deal the runs evenly.
+    return start, count, mix(own[first] ^ np.uint64(MIX_B)), whole, np.searchsorted(at, start, "right") - 1
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
