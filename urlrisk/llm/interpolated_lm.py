@@ -19,7 +19,6 @@ held-back words, and of the ratios between the estimates of a token.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlrisk.llm.arrays import ASCII_SPACE, BASE, MIX_B, grouped, mix, pack, slices, text_bytes, unpack, word_hashes, words
-from urlrisk.session import new_path
+from urlrisk.llm.blocks import batches_of, save_bucketed
 
 ORDER = 3
 # Bytes of text in a block (or one longer text) and, about, in the n-grams of a bucket.
@@ -228,30 +227,9 @@ def _answers(runs: pa.Table, bits: int) -> Iterator[dict]:
     yield {"block": -1 - bucket, "bucket": bucket, "counts": None, "learned": None, "bins": bins}
 
 
-def _batches(rows: Iterator[dict], schema: pa.Schema, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += 64 + sum(len(v) for v in row.values() if isinstance(v, bytes))
-        if size > limit:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
-
-
 # ---------------------------------------------------------------- tables
 
 
-def _save(table: DataFrame, name: str, buckets: int) -> str:
-    """Write a table bucketed by block to the shared folder; its name."""
-    spark = table.sparkSession
-    name = f"{name}_{uuid.uuid4().hex}"
-    writer = table.write.option("path", new_path(spark, name)).option("compression", "zstd")
-    writer.bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
-    return name
-
-
 def count_corpus(
     docs: DataFrame, learn: str, hold_back: str, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER
 ) -> CountedCorpus:
@@ -308,7 +286,7 @@ def count_corpus(
                 yield block(back)
 
     schema = f"block long, held boolean, ids array<{id_type}>, parts array<int>, texts array<string>"
-    blocks = _save(narrow.mapInArrow(cut, schema), "lm_blocks", buckets)
+    blocks = save_bucketed(narrow.mapInArrow(cut, schema), "lm_blocks", buckets, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]):
         asked = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("held", pa.bool_()), ("n", pa.int32()),
@@ -316,14 +294,14 @@ def count_corpus(
         for batch in batches:
             for k in range(batch.num_rows):
                 texts, part = batch.column("texts")[k].values, batch.column("parts")[k].values.to_numpy()
-                yield from _batches(_requests(batch.column("block")[k].as_py(), texts, part, order, bits), asked)
+                yield from batches_of(_requests(batch.column("block")[k].as_py(), texts, part, order, bits), asked)
 
     def answer(batches: Iterator[pa.RecordBatch]):
         a_bin = pa.struct([("bin", pa.int32()), ("types", pa.int64()), ("weight", pa.float64()), ("total", pa.float64())])
         told = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("learned", pa.binary()),
                           ("bins", pa.list_(a_bin))])
         for runs in grouped(batches, "bucket"):
-            yield from _batches(_answers(runs, bits), told)
+            yield from batches_of(_answers(runs, bits), told)
 
     asked = spark.table(blocks).select("block", "parts", "texts").mapInArrow(ask, REQUEST)
     told = asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(answer, ANSWER)
@@ -332,7 +310,7 @@ def count_corpus(
         F.sort_array(F.collect_list(F.struct("bucket", "counts", "learned"))).alias("answers"),
         F.first("bins", ignorenulls=True).alias("bins"),
     )
-    return CountedCorpus(spark, blocks, _save(per_block, "lm_answers", buckets), order, bits, id_type)
+    return CountedCorpus(spark, blocks, save_bucketed(per_block, "lm_answers", buckets, "block"), order, bits, id_type)
 
 
 # ---------------------------------------------------------------- estimates of a block
