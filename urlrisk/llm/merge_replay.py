@@ -296,8 +296,8 @@ def _by_bucket(lengths: np.ndarray, data: np.ndarray, bits: int) -> tuple[np.nda
 def _requests(block: int, lengths: np.ndarray, data: np.ndarray, bits: int) -> Iterator[dict]:
     order, bucket = _by_bucket(lengths, data, bits)
     starts = np.cumsum(lengths) - lengths
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+    edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(order)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
         some = order[a:b]
         spelt = data[ragged(starts[some], lengths[some])].tobytes()
         yield {"bucket": int(bucket[a]), "block": block, "lengths": _numbers(lengths[some]), "words": _squeezed(spelt)}
