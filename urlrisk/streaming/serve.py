@@ -68,19 +68,22 @@ def stream_score(
 
     With ``counts`` each micro-batch adds to the running reports there.
 
-    Features, snapshot join and model are projections of the stream. A repeated
-    request gets the answer that the state of its URL holds, also after a restart
-    with another model or snapshot. Each micro-batch writes its own segment of
-    both tables, so a repeated micro-batch replaces its first attempt.
+    Features, snapshot join and model are projections of the stream, made once for
+    each URL of a pack (:mod:`urlrisk.streaming.fresh`). A repeated request gets the
+    answer that the state of its URL holds, also after a restart with another model
+    or snapshot. Each micro-batch writes its own segment of both tables, so a
+    repeated micro-batch replaces its first attempt.
     """
     trimmed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
         "url", F.coalesce(strip("url"), F.lit(""))
     )
     # One row per host, written once: every micro-batch joins the same snapshot.
     hosts = materialize(dns_table(dns), "hosts")
-    rows = apply_model(model, extract(trimmed, hosts, ["event_id"], unique_hosts=True))
-    scored = rows.select(*trimmed.columns, "prediction", "confidence")
-    flagged = flag_fresh(scored, ttl_seconds, answer=("prediction", "confidence"))
+
+    def scored(urls: DataFrame) -> DataFrame:
+        return apply_model(model, extract(urls, hosts, ["url"], unique_hosts=True))
+
+    flagged = flag_fresh(trimmed, ttl_seconds, answer=("prediction", "confidence"), scored=scored)
     answered = flagged.select(
         *trimmed.columns, "fresh", *answer_columns(), F.col("confidence").alias("probability")
     )
