@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from urlrisk.catalogue import sqltext as sql
@@ -12,8 +11,9 @@ from urlrisk.catalogue.feature_queries import GIVEN_FIRST, TABLE_VIEWS, training
 from urlrisk.catalogue.fixtures import STATUS_SQL, oracle, view
 from urlrisk.catalogue.link_queries import FRONTIER_CAP, links_table, statuses, visited
 from urlrisk.catalogue.registry import query
-from urlrisk.catalogue.request_queries import FRESH, request_files
+from urlrisk.catalogue.request_queries import FRESH, add_files, request_files
 from urlrisk.operators.sample import balanced_sample
+from urlrisk.operators.skew import lookup_join
 from urlrisk.plans import expand, forest, model, scoring
 from urlrisk.schema import CLASS_CAP, FEATURES, LINK_CAP, REQUESTS, SEED
 from urlrisk.session import materialize, new_path
@@ -232,12 +232,14 @@ def _in_halves(spark, sf_dir, out: str, seeds: tuple[int, int], counts: str | No
     """The requests streamed in two runs, by time, each with trees of its own seed: all answers, and where the second began."""
     ts = F.col("ts").cast("timestamp")
     requests = view(spark, sf_dir, "requests").withColumn("ts", ts).select(*REQUESTS.names)
-    ends = requests.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    requests = materialize(requests, "request-table")
+    micros = F.unix_micros("ts")
+    ends = requests.agg(F.min(micros), F.max(micros)).first()
     half = (ends[0] + ends[1]) // 2
     files = new_path(spark, "requests")
     for early, seed in zip((True, False), seeds, strict=True):
-        rows = requests.filter((F.unix_micros("ts") < half) == F.lit(early))
-        rows.repartitionByRange(2, "ts").write.mode("append").parquet(files)
+        rows = requests.filter((micros < half) == F.lit(early))
+        add_files(rows, files, rows.count(), 2)
         served = _served(spark, sf_dir, files, out, seed, counts)
     return served, half
 
@@ -263,11 +265,16 @@ _LATER_SEED = SEED + 1
 def stream_answers(spark, sf_dir):
     """Answers of a stream whose model is replaced half way: what repeats gets the answer of its first request."""
     served, half = _in_halves(spark, sf_dir, new_path(spark, "stream"), (SEED, _LATER_SEED))
-    # The anchor is the last fresh request of the URL, this one included.
-    order = Window.partitionBy("url").orderBy("ts", "event_id")
-    anchor = F.last(F.when(F.col("fresh"), F.unix_micros("ts")), ignorenulls=True).over(order)
-    return served.select(
-        "event_id", "url", "fresh", (anchor < half).alias("first_model"), "result", "confidence", "error", "probability"
+    # The anchor is the last fresh request of the URL, this one included: of the first model from the first fresh
+    # request on, until one of the second half is fresh. Two requests of a URL tell, so its others need no order.
+    at = F.struct("ts", "event_id")
+    fresh = served.filter("fresh").groupBy("url").agg(
+        F.min(at).alias("_first"), F.min(F.when(F.unix_micros("ts") >= half, at)).alias("_later")
+    )
+    joined = lookup_join(served, fresh, "url", ["event_id"])
+    first_model = F.when(at >= F.col("_later"), False).when(at >= F.col("_first"), True)
+    return joined.select(
+        "event_id", "url", "fresh", first_model.alias("first_model"), "result", "confidence", "error", "probability"
     )
 
 

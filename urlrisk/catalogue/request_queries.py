@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlrisk.catalogue.fixtures import oracle, view
@@ -10,7 +13,7 @@ from urlrisk.functions.labels import result_name
 from urlrisk.operators import metrics, ttl
 from urlrisk.operators.skew import hot_keys, lookup_join
 from urlrisk.schema import REQUESTS, REQUESTS_PER_SECOND
-from urlrisk.session import new_path
+from urlrisk.session import materialize, new_path
 from urlrisk.sources import sinks
 from urlrisk.streaming import audit, serve
 from urlrisk.streaming.fresh import flag_fresh
@@ -29,11 +32,35 @@ def ttl_first_seen(spark, sf_dir):
     return ttl.first_seen(view(spark, sf_dir, "requests"))
 
 
+# Requests in one file of a stream's source; a micro-batch reads whole files.
+FILE_ROWS = 1_000_000
+
+
+def add_files(requests: DataFrame, path: str, n: int, least: int) -> None:
+    """Add ``n`` requests to a stream's source as ``least`` files or more, which the stream reads in order of time."""
+    spark, before = requests.sparkSession, set(_files(requests.sparkSession, path))
+    parts = max(least, -(-n // FILE_ROWS))
+    requests.repartitionByRange(parts, "ts", "event_id").write.mode("append").parquet(path)
+    # A stream takes files by their time of modification, and tasks end in any order.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, now = folder.getFileSystem(spark._jsc.hadoopConfiguration()), int(time.time() * 1000)
+    for k, name in enumerate(sorted(set(_files(spark, path)) - before)):
+        files.setTimes(spark._jvm.org.apache.hadoop.fs.Path(folder, name), now + k, -1)
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in files.listStatus(folder)] if files.exists(folder) else []
+    return [name for name in names if name.startswith("part-")]
+
+
 def request_files(spark, sf_dir) -> str:
     """The request table as files in order of time, what a stream reads."""
     source = new_path(spark, "requests")
     requests = view(spark, sf_dir, "requests").withColumn("ts", F.col("ts").cast("timestamp"))
-    requests.select(*REQUESTS.names).repartitionByRange(4, "ts").write.parquet(source)
+    requests = materialize(requests.select(*REQUESTS.names), "request-table")
+    add_files(requests, source, requests.count(), 4)
     return source
 
 
